@@ -14,9 +14,11 @@ from lexsieve.operators.terms import (
     join_counted_terms,
     patch_tokens,
     term_counts,
+    term_frequencies,
     token_rows,
     tokens_of,
 )
+from lexsieve.sources.shared import settle
 
 # Up to this many terms, testing each token against a list is cheaper than a join.
 LIST_LIMIT = 500
@@ -38,23 +40,18 @@ def doc_terms(df: DataFrame, key: str, col: str) -> DataFrame:
     """Exact document-term table: (key, term, tf, df, tfidf).
 
     ``tf`` counts the term in the document, ``df`` the documents with the term, and
-    ``tfidf = tf * ln((m + 1) / (df + 1))`` over ``m`` documents. Rows with the same
-    key are one document; those without text are not counted.
+    ``tfidf = tf * ln((m + 1) / (df + 1))`` over the ``m`` documents with a text.
+    ``key`` tells the documents apart. Document counts are settled first.
     """
-    tokens = tokens_of(df, col)
-    tf = (
-        df.select(key, F.explode(tokens).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    df_counts = tf.groupBy("term").agg(F.count("*").alias("n"))
-    documents = (
-        df.filter(F.col(col).isNotNull())
-        .agg(F.count_distinct(F.struct(key)).alias("documents"))
-        .scalar()
-    )
-    idf = F.log((documents + F.lit(1.0)) / (F.col("n") + F.lit(1.0)))
-    return join_counted_terms(tf, df_counts).select(
+    frequencies = term_frequencies(df.filter(F.col(col).isNotNull()), key, tokens_of(df, col))
+    # The null term stands for the document itself: one pass counts terms and documents.
+    terms = F.transform("terms", lambda t: t["term"])
+    itself = F.array(F.lit(None).cast("string"))
+    counts = settle(term_counts(frequencies, F.concat(itself, terms)))
+    documents = counts.filter("term is null").first()
+    idf = F.log(F.lit((documents["n"] if documents else 0) + 1.0) / (F.col("n") + F.lit(1.0)))
+    tf = frequencies.select(key, F.explode("terms").alias("t")).select(key, "t.*")
+    return join_counted_terms(tf, counts.filter("term is not null")).select(
         key, "term", "tf", F.col("n").alias("df"), (F.col("tf") * idf).alias("tfidf")
     )
 
@@ -81,9 +78,8 @@ def remove_frequent(
     tokens = tokens_of(df, col)
     if mode == "compat":
         return df.withColumn(out, remove_stop_words(tokens))
-    top = frequent_terms(df, col, k)
     if k <= LIST_LIMIT:
-        listed = top.agg(F.collect_list("term").alias("terms")).scalar()
+        listed = frequent_terms(df, col, k).agg(F.collect_list("term").alias("terms")).scalar()
         return (
             df.withColumn("_drop", listed)
             .withColumn(
@@ -93,12 +89,11 @@ def remove_frequent(
         )
     if key is None:
         raise ValueError(f"more than {LIST_LIMIT} terms need a document key")
-    counts = term_counts(df, tokens)
-    dropped = counts.join(top.select("term", F.lit(True).alias("drop")), "term", "left")
-    hits = (
-        join_counted_terms(token_rows(df, key, tokens), dropped)
-        .filter("drop")
-        .select(key, "pos", F.lit(None).cast("string").alias("word"))
+    counts = settle(term_counts(df, tokens))
+    top = counts.orderBy(F.desc("n"), "term").limit(k).select("term", F.lit(True).alias("drop"))
+    table = settle(counts.join(top, "term", "left"))
+    hits = join_counted_terms(token_rows(df, key, tokens), table, F.col("drop").isNotNull()).select(
+        key, "pos", F.lit(None).cast("string").alias("word")
     )
     return patch_tokens(df, key, tokens, hits, out)
 
@@ -114,16 +109,15 @@ def remove_rare(
 ) -> DataFrame:
     """Add the tokens without the terms seen fewer than ``min_count`` times.
 
+    The counts are settled first; only rare tokens are shuffled.
     ``mode='compat'`` counts nothing: see :func:`thin_unlisted`.
     """
     tokens = tokens_of(df, col)
     if mode == "compat":
         return thin_unlisted(df.withColumn("_tokens", tokens), "_tokens", out, words).drop("_tokens")
-    counts = term_counts(df, tokens)
-    hits = (
-        join_counted_terms(token_rows(df, key, tokens), counts)
-        .filter(F.col("n") < min_count)
-        .select(key, "pos", F.lit(None).cast("string").alias("word"))
+    counts = settle(term_counts(df, tokens))
+    hits = join_counted_terms(token_rows(df, key, tokens), counts, F.col("n") < min_count).select(
+        key, "pos", F.lit(None).cast("string").alias("word")
     )
     return patch_tokens(df, key, tokens, hits, out)
 

@@ -73,11 +73,9 @@ def _negates(w: Column, lists: WordLists) -> Column:
     return F.coalesce(low.isin(list(lists.negations)) | low.contains("n't"), F.lit(False))
 
 
-def _lookup(c: Column, table: dict[str, float]) -> Column:
-    found = F.lit(None).cast("double")
-    for text, value in table.items():
-        found = F.when(c == text, F.lit(value)).otherwise(found)
-    return found
+def _idiom_value(*names: str) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in IDIOMS.items() for x in pair])
+    return F.element_at(table, F.concat_ws(" ", *names))
 
 
 def _exclaim(c: Column) -> Column:
@@ -100,18 +98,21 @@ def _positions(df: DataFrame, key: str, col: str) -> DataFrame:
 
     shouted = F.size(F.filter(w, _shouts))
     but = F.array_position(F.transform(w, F.lower), "but")
-    return (
-        df.select(key, sentiment_words(col).alias("_words"), _exclaim(F.col(col)).alias("emphasis"))
-        .select(
-            key,
-            "emphasis",
-            F.size(w).alias("n"),
-            ((shouted > 0) & (shouted < F.size(w))).alias("mixed"),
-            F.when(but > 0, but - 1).alias("but"),
-            F.posexplode_outer(F.transform(w, lambda _, i: near(i))).alias("i", "near"),
-        )
-        .select(key, "emphasis", "n", "mixed", "but", "i", "near.*")
+    # What holds for the whole document is worked out before its words are exploded.
+    documents = df.select(
+        key, sentiment_words(col).alias("_words"), _exclaim(F.col(col)).alias("emphasis")
+    ).select(
+        key,
+        "emphasis",
+        F.size(w).alias("n"),
+        ((shouted > 0) & (shouted < F.size(w))).alias("mixed"),
+        F.when(but > 0, but - 1).alias("but"),
+        F.transform(w, lambda _, i: near(i)).alias("_near"),
+    )
+    exploded = documents.select(
+        key, "emphasis", "n", "mixed", "but", F.posexplode_outer("_near").alias("i", "near")
     )
+    return exploded.select(key, "emphasis", "n", "mixed", "but", "i", "near.*")
 
 
 def _boosted(df: DataFrame, back: int, lists: WordLists) -> DataFrame:
@@ -141,22 +142,20 @@ def _boosted(df: DataFrame, back: int, lists: WordLists) -> DataFrame:
 def _idiom(df: DataFrame) -> DataFrame:
     """Set phrases around the word, and two-word boosters before it."""
 
-    def phrase(*names: str) -> Column:
-        return F.concat_ws(" ", *names)
-
-    def known(first: list[Column]) -> Column:
-        return F.coalesce(*[_lookup(p, IDIOMS) for p in first])
-
-    before = known(
-        [
-            phrase("w1", "w0"), phrase("w2", "w1", "w0"), phrase("w2", "w1"),
-            phrase("w3", "w2", "w1"), phrase("w3", "w2"),
-        ]
+    value = F.coalesce(
+        F.when(F.col("n2").isNotNull(), _idiom_value("w0", "n1", "n2")),
+        F.when(F.col("n1").isNotNull(), _idiom_value("w0", "n1")),
+        _idiom_value("w1", "w0"),
+        _idiom_value("w2", "w1", "w0"),
+        _idiom_value("w2", "w1"),
+        _idiom_value("w3", "w2", "w1"),
+        _idiom_value("w3", "w2"),
+        F.col("v"),
+    )
+    weak = F.concat_ws(" ", "w3", "w2").isin(WEAKER_PHRASES) | F.concat_ws(" ", "w2", "w1").isin(
+        WEAKER_PHRASES
     )
-    two_after = F.when(F.col("n2").isNotNull(), _lookup(phrase("w0", "n1", "n2"), IDIOMS))
-    one_after = F.when(F.col("n1").isNotNull(), _lookup(phrase("w0", "n1"), IDIOMS))
-    weak = phrase("w3", "w2").isin(WEAKER_PHRASES) | phrase("w2", "w1").isin(WEAKER_PHRASES)
-    value = F.coalesce(two_after, one_after, before, F.col("v")) - F.when(weak, BOOST).otherwise(0.0)
+    value = value - F.when(weak, BOOST).otherwise(0.0)
     applies = (F.col("i") >= 3) & F.col("in3").isNull()
     return df.withColumn("v", F.when(applies, value).otherwise(F.col("v")))
 

@@ -14,6 +14,7 @@ from lexsieve.operators.terms import (
     token_rows,
     tokens_of,
 )
+from lexsieve.sources.shared import settle
 
 
 def shortened(word: Column, distance: int) -> Column:
@@ -85,14 +86,12 @@ def spell_correct(
     """Add the tokens with each unknown one replaced by its best vocabulary word.
 
     ``vocab`` has columns ``word`` and ``freq``. A token without a word within
-    ``max_distance`` edits stays.
+    ``max_distance`` edits stays. Counts and corrections are settled on the way.
     """
     tokens = tokens_of(df, col)
-    counts = term_counts(df, tokens)
-    table = counts.join(corrections(counts, vocab, max_distance), "term", "left")
-    hits = (
-        join_counted_terms(token_rows(df, key, tokens), table)
-        .filter(F.col("word").isNotNull())
-        .select(key, "pos", "word")
-    )
+    counts = settle(term_counts(df, tokens))
+    table = settle(counts.join(corrections(counts, vocab, max_distance), "term", "left"))
+    hits = join_counted_terms(
+        token_rows(df, key, tokens), table, F.col("word").isNotNull()
+    ).select(key, "pos", "word")
     return patch_tokens(df, key, tokens, hits, out)

@@ -44,23 +44,48 @@ def term_counts(df: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
-def _is_hot(counts: DataFrame) -> Column:
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    return F.col("n") * HOT_SHARE >= total
+def term_frequencies(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, terms): per document an array of its distinct terms with their counts.
 
+    The terms are counted in place, as runs of the sorted tokens, so the rows of all
+    documents and terms need not be shuffled to be counted.
+    """
+    words, starts = F.col("_words"), F.col("_starts")
+    is_start = F.transform(
+        words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)
+    )
 
-def join_counted_terms(rows: DataFrame, table: DataFrame) -> DataFrame:
+    def run(start: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(starts, j + 1), F.size(words))
+        return F.struct(F.get(words, start).alias("term"), (end - start).cast("bigint").alias("tf"))
+
+    return (
+        df.select(key, F.array_sort(tokens).alias("_words"))
+        .withColumn("_starts", F.filter(is_start, lambda i: i.isNotNull()))
+        .select(key, F.transform(starts, run).alias("terms"))
+    )
+
+
+def join_counted_terms(
+    rows: DataFrame, table: DataFrame, wanted: Column | None = None
+) -> DataFrame:
     """Inner join of ``rows`` with a per-term table that grows with the corpus.
 
-    ``table`` has a row for each term of the rows, with its number ``n`` of rows.
-    Frequent terms are joined in place; the others are shuffled, and none of them
-    has more than 1/HOT_SHARE of the rows.
+    ``table`` is a settled table with a row for each term of the rows and its number
+    ``n`` of rows; ``wanted`` tells which of its rows matter. Frequent terms are joined
+    in place, if any is wanted; the others are shuffled, and none of them has more
+    than 1/HOT_SHARE of the rows.
     """
-    hot = table.filter(_is_hot(table.select("term", "n")))
-    cold = table.filter(~_is_hot(table.select("term", "n")))
-    hot_rows = rows.join(F.broadcast(hot), "term")
-    cold_rows = rows.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term")
-    return hot_rows.unionByName(cold_rows)
+    total = table.agg(F.sum("n").alias("total")).first()["total"] or 0
+    wanted = F.lit(True) if wanted is None else wanted
+    hot = table.filter(F.col("n") * HOT_SHARE >= total)
+    cold = table.filter((F.col("n") * HOT_SHARE < total) & wanted)
+    others = rows.join(F.broadcast(hot.select("term")), "term", "left_anti")
+    joined = others.join(cold, "term")
+    hot_wanted = hot.filter(wanted)
+    if hot_wanted.isEmpty():
+        return joined
+    return rows.join(F.broadcast(hot_wanted), "term").unionByName(joined)
 
 
 def fits_broadcast(table: DataFrame) -> bool:
@@ -95,13 +120,13 @@ def patch_tokens(
 ) -> DataFrame:
     """Add ``out``: the tokens with ``hits`` (key, pos, word) put in.
 
-    ``key`` tells the rows of ``df`` apart. A document's hits are never more than its
+    ``key`` tells the rows of ``df`` apart and is never null. A document's hits are never more than its
     tokens; tokens are made after the join, so only the text itself is shuffled.
     """
     changes = hits.groupBy(F.col(key).alias("_key")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_changes")
     )
-    joined = df.join(changes, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
+    joined = df.join(changes, F.col(key) == F.col("_key"), "left").withColumn(
         "_tokens", tokens
     )
     patched = apply_changes(F.col("_tokens"), F.col("_changes"))

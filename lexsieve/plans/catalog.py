@@ -33,9 +33,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    return io.spread(table(spark, folder, name), key)
+
+
 def _text(function: Callable[[str], Column], out: str, name="documents", key="doc_id", col="text") -> Query:
     """A query of one column function next to the key."""
-    return lambda spark, folder: table(spark, folder, name).select(key, function(col).alias(out))
+    return lambda spark, folder: texts(spark, folder, name, key).select(
+        key, function(col).alias(out)
+    )
 
 
 def _tokens(function: Callable[[str], Column], out: str, **where) -> Query:
@@ -55,7 +61,7 @@ def _tokens(function: Callable[[str], Column], out: str, **where) -> Query:
 def _clean(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without punctuation, other scripts and digits."""
     clean = fn.strip_digits(fn.strip_non_ascii(fn.strip_punct("text")))
-    return table(spark, folder, "documents").select("doc_id", clean.alias("text"))
+    return texts(spark, folder).select("doc_id", clean.alias("text"))
 
 
 def _common_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +94,7 @@ def translate(spark: SparkSession, folder: str) -> DataFrame:
     glossary = _benchmark_terms(spark, folder).select(
         F.lit("xx").alias("lang"), "term", F.reverse("term").alias("target")
     )
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder).select("doc_id", "text")
     return _joined(op.translate_terms(documents, "doc_id", "text", glossary, "xx"), "translated")
 
 
@@ -97,21 +103,21 @@ def sentiment(spark: SparkSession, folder: str) -> DataFrame:
         "term", ((F.length("term") % 7) - 3.0).alias("valence")
     )
     scored = op.sentiment(
-        table(spark, folder, "documents"), "doc_id", "text", lexicon, lists=SENTIMENT_LISTS
+        texts(spark, folder), "doc_id", "text", lexicon, lists=SENTIMENT_LISTS
     )
     return scored.select("doc_id", "sentiment.*")
 
 
 def normalized(spark: SparkSession, folder: str) -> DataFrame:
     stages = normalize(
-        table(spark, folder, "documents"), "doc_id", "text", lemmas=_common_words(spark, folder)
+        texts(spark, folder), "doc_id", "text", lemmas=_common_words(spark, folder)
     )
     return io.flatten_arrays(stages, " ")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Text cleaning without a shuffle: punctuation to stop words and stems."""
-    return io.flatten_arrays(normalize(table(spark, folder, "documents"), "doc_id", "text"), " ")
+    return io.flatten_arrays(normalize(texts(spark, folder), "doc_id", "text"), " ")
 
 
 def date_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +136,7 @@ def order_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hashed_tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = op.hashed_tfidf(table(spark, folder, "documents"), "text")
+    vectors = op.hashed_tfidf(texts(spark, folder), "text")
     tf, tfidf = vector_to_array("tf"), vector_to_array("tfidf")
     return vectors.select(
         "doc_id",
@@ -140,29 +146,29 @@ def hashed_tfidf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_terms(spark: SparkSession, folder: str) -> DataFrame:
-    terms = op.doc_terms(table(spark, folder, "documents"), "doc_id", "text")
+    terms = op.doc_terms(texts(spark, folder), "doc_id", "text")
     return terms.withColumn("tfidf", F.round("tfidf", 6))
 
 
 def remove_frequent(spark: SparkSession, folder: str) -> DataFrame:
-    return _joined(op.remove_frequent(table(spark, folder, "documents"), "text", 20), "kept")
+    return _joined(op.remove_frequent(texts(spark, folder), "text", 20), "kept")
 
 
 def remove_frequent_compat(spark: SparkSession, folder: str) -> DataFrame:
-    return _joined(op.remove_frequent(table(spark, folder, "documents"), "text", mode="compat"), "kept")
+    return _joined(op.remove_frequent(texts(spark, folder), "text", mode="compat"), "kept")
 
 
 def remove_rare(spark: SparkSession, folder: str) -> DataFrame:
-    return _joined(op.remove_rare(table(spark, folder, "documents"), "doc_id", "text", 3), "kept")
+    return _joined(op.remove_rare(texts(spark, folder), "doc_id", "text", 3), "kept")
 
 
 def remove_rare_compat(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder)
     return _joined(op.remove_rare(documents, "doc_id", "text", mode="compat"), "kept")
 
 
 def frequent_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return op.frequent_terms(table(spark, folder, "documents"), "text", 20)
+    return op.frequent_terms(texts(spark, folder), "text", 20)
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,7 +177,7 @@ def summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def summary_of_text(spark: SparkSession, folder: str) -> DataFrame:
-    return op.column_summary(table(spark, folder, "documents").drop("doc_id"), "text")
+    return op.column_summary(texts(spark, folder).drop("doc_id"), "text")
 
 
 def uniques(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,13 +238,13 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flat_arrays(spark: SparkSession, folder: str) -> DataFrame:
-    talks = table(spark, folder, "conversations")
+    talks = texts(spark, folder, "conversations", "conv_id")
     tokens = talks.select("conv_id", "turn", fn.tokenize("text").alias("tokens"))
     return io.flatten_arrays(tokens, ",")
 
 
 def bracketed_lists(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
+    pages = texts(spark, folder, "pages", "page_id")
     return pages.select("page_id", fn.bracketed_text(fn.extract_urls("url")).alias("urls"))
 
 

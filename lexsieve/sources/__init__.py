@@ -1,10 +1,10 @@
 """Readers and writers."""
 
-from lexsieve.sources.readers import jdbc_options, parse_json, query_view, read, read_json
+from lexsieve.sources.readers import jdbc_options, parse_json, query_view, read, read_json, spread
 from lexsieve.sources.shared import new_path, settle, shared_folder
 from lexsieve.sources.writers import flatten_arrays, to_json_lines, vector_text, write
 
 __all__ = [
     "flatten_arrays", "jdbc_options", "new_path", "parse_json", "query_view", "read",
-    "read_json", "settle", "shared_folder", "to_json_lines", "vector_text", "write",
+    "read_json", "settle", "shared_folder", "spread", "to_json_lines", "vector_text", "write",
 ]

@@ -33,6 +33,16 @@ def parse_json(df: DataFrame, col: str, schema: StructType | str) -> DataFrame:
     return df.select(F.explode(as_array).alias("row")).filter("row is not null").select("row.*")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a few files out to all cores, by key where one is given.
+
+    A Parquet row group is read by one task, so a single file can leave a cluster
+    idle. A table of at least as many files as there are cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+
+
 def jdbc_options(
     url: str,
     table: str,
