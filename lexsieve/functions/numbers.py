@@ -27,7 +27,7 @@ SCALES = ["", " thousand"] + [
     for name in [*LATIN_LOW, *(u + t for t in LATIN_TENS for u in LATIN_UNITS), "cent"]
 ]
 
-NUMBER = "^([+-]?)([0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE]([+-]?[0-9]{1,3}))?$"
+NUMBER = "^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:E[+-]?[0-9]{1,3})?$"
 
 
 def _literal(values: list[str]) -> Column:
@@ -36,16 +36,17 @@ def _literal(values: list[str]) -> Column:
 
 def _whole_and_rest(s: Column) -> tuple[Column, Column]:
     """Digits before and after the decimal point, after any exponent is worked in."""
-    mantissa = F.regexp_extract(s, NUMBER, 2)
+    unsigned = F.ltrim(s, F.lit("+-"))
+    mantissa = F.substring_index(unsigned, "E", 1)
     whole = F.substring_index(mantissa, ".", 1)
     rest = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
     digits = F.concat(whole, rest)
-    point = F.length(whole) + F.regexp_extract(s, NUMBER, 3).try_cast("int")
+    point = F.length(whole) + F.substring_index(s, "E", -1).try_cast("int")
     moved_whole = F.when(point > 0, F.rpad(F.substring(digits, F.lit(1), point), point, "0")).otherwise("")
     moved_rest = F.when(point > 0, F.substring(digits, point + 1, F.length(digits))).otherwise(
         F.concat(F.repeat(F.lit("0"), -point), digits)
     )
-    has_exponent = s.rlike("[eE]")
+    has_exponent = s.contains("E")
     return (
         F.ltrim(F.when(has_exponent, moved_whole).otherwise(whole), F.lit("0")),
         F.rtrim(F.when(has_exponent, moved_rest).otherwise(rest), F.lit("0")),
@@ -90,7 +91,7 @@ def number_to_words(c: Column | str) -> Column:
     Works on the decimal text, so no digit is lost: up to 306 digits before the
     point, and every digit after it, trailing zeros aside.
     """
-    s = F.trim(to_column(c).cast("string"))
+    s = F.translate(F.trim(to_column(c).cast("string")), "e", "E")
     whole, rest = _whole_and_rest(s)
     minus = F.when(s.startswith("-") & ((whole != "") | (rest != "")), "minus ").otherwise("")
     ones = _literal(ONES)
@@ -101,7 +102,5 @@ def number_to_words(c: Column | str) -> Column:
             F.array_join(F.transform(F.split(rest, ""), lambda d: ones[d.cast("int")]), " "),
         ),
     ).otherwise("")
-    return F.when(
-        s.rlike(NUMBER) & (F.length(whole) <= 3 * len(SCALES)),
-        F.concat(minus, _cardinal(whole), decimals),
-    )
+    short_enough = F.length(whole) <= 3 * len(SCALES)
+    return F.when(s.rlike(NUMBER) & short_enough, F.concat(minus, _cardinal(whole), decimals))

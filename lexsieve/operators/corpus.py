@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from lexsieve.functions.stopwords import ENGLISH_STOP_WORDS
 from lexsieve.functions.tokens import remove_stop_words
 from lexsieve.operators.terms import (
+    distinct_terms,
     join_counted_terms,
     patch_tokens,
+    sorted_runs,
     term_counts,
     term_frequencies,
     token_rows,
@@ -43,14 +45,13 @@ def doc_terms(df: DataFrame, key: str, col: str) -> DataFrame:
     ``tfidf = tf * ln((m + 1) / (df + 1))`` over the ``m`` documents with a text.
     ``key`` tells the documents apart. Document counts are settled first.
     """
-    frequencies = term_frequencies(df.filter(F.col(col).isNotNull()), key, tokens_of(df, col))
+    runs = sorted_runs(df.filter(F.col(col).isNotNull()), key, tokens_of(df, col))
     # The null term stands for the document itself: one pass counts terms and documents.
-    terms = F.transform("terms", lambda t: t["term"])
     itself = F.array(F.lit(None).cast("string"))
-    counts = settle(term_counts(frequencies, F.concat(itself, terms)))
+    counts = settle(term_counts(runs, F.concat(itself, distinct_terms())))
     documents = counts.filter("term is null").first()
     idf = F.log(F.lit((documents["n"] if documents else 0) + 1.0) / (F.col("n") + F.lit(1.0)))
-    tf = frequencies.select(key, F.explode("terms").alias("t")).select(key, "t.*")
+    tf = term_frequencies(runs, key)
     return join_counted_terms(tf, counts.filter("term is not null")).select(
         key, "term", "tf", F.col("n").alias("df"), (F.col("tf") * idf).alias("tfidf")
     )

@@ -28,8 +28,10 @@ SALTS = 64
 
 
 def tokens_of(df: DataFrame, col: str) -> Column:
-    """The column itself if it holds token arrays, else its tokens."""
-    return F.col(col) if isinstance(df.schema[col].dataType, ArrayType) else tokenize(col)
+    """The tokens of a text column, or of an array column its items but for nulls."""
+    if isinstance(df.schema[col].dataType, ArrayType):
+        return F.filter(col, lambda w: w.isNotNull())
+    return tokenize(col)
 
 
 def token_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -44,26 +46,35 @@ def term_counts(df: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
-def term_frequencies(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, terms): per document an array of its distinct terms with their counts.
-
-    The terms are counted in place, as runs of the sorted tokens, so the rows of all
-    documents and terms need not be shuffled to be counted.
-    """
-    words, starts = F.col("_words"), F.col("_starts")
-    is_start = F.transform(
+def sorted_runs(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, words, starts): sorted tokens, and where each run of equal ones starts."""
+    words = F.col("words")
+    starts = F.transform(
         words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)
     )
+    return df.select(key, F.sort_array(tokens).alias("words")).withColumn(
+        "starts", F.filter(starts, lambda i: i.isNotNull())
+    )
+
+
+def distinct_terms() -> Column:
+    """Each term of a row of :func:`sorted_runs` once."""
+    return F.transform("starts", lambda start: F.get("words", start))
+
+
+def term_frequencies(runs: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf) from :func:`sorted_runs`: counted in place, without a shuffle.
+
+    The array is exploded as an expression, not as a column: for a column Spark adds
+    a filter on its size, which would work out the array a second time.
+    """
+    words, starts = F.col("words"), F.col("starts")
 
     def run(start: Column, j: Column) -> Column:
         end = F.coalesce(F.get(starts, j + 1), F.size(words))
         return F.struct(F.get(words, start).alias("term"), (end - start).cast("bigint").alias("tf"))
 
-    return (
-        df.select(key, F.array_sort(tokens).alias("_words"))
-        .withColumn("_starts", F.filter(is_start, lambda i: i.isNotNull()))
-        .select(key, F.transform(starts, run).alias("terms"))
-    )
+    return runs.select(key, F.explode(F.transform(starts, run)).alias("t")).select(key, "t.*")
 
 
 def join_counted_terms(

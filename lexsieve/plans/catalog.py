@@ -127,7 +127,7 @@ def date_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_words(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
+    return texts(spark, folder, "orders", "o_orderkey").select(
         "o_orderkey",
         fn.number_to_words("o_orderkey").alias("key_words"),
         fn.number_to_words("o_totalprice").alias("price_words"),
