@@ -23,7 +23,7 @@ from lexsieve.operators.terms import (
 from lexsieve.sources.shared import settle
 
 # Up to this many terms, testing each token against a list is cheaper than a join.
-LIST_LIMIT = 500
+LIST_LIMIT = 200
 
 
 def hashed_tfidf(df: DataFrame, col: str, num_features: int = 3) -> DataFrame:

@@ -65,10 +65,10 @@ def _clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _common_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of the cleaned documents seen 20 times or more: (word, freq)."""
+    """Words of the cleaned documents seen 20 times or more, as a table: (word, freq)."""
     counts = term_counts(_clean(spark, folder), fn.tokenize("text"))
     common = counts.filter("n >= 20 and length(term) >= 4")
-    return common.select(F.col("term").alias("word"), F.col("n").alias("freq"))
+    return io.settle(common.select(F.col("term").alias("word"), F.col("n").alias("freq")))
 
 
 def _benchmark_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +86,7 @@ def lemmatize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spell_correct(spark: SparkSession, folder: str) -> DataFrame:
-    words = io.settle(_common_words(spark, folder))
+    words = _common_words(spark, folder)
     return _joined(op.spell_correct(_clean(spark, folder), "doc_id", "text", words), "corrected")
 
 

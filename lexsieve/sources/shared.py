@@ -15,7 +15,6 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
         folder = tempfile.mkdtemp(prefix="lexsieve-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
@@ -25,6 +24,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a table once and keep it in the shared folder, safe from lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Compute a table once, as files in the shared folder, and go on from those.
+
+    What follows neither repeats the work nor loses it with an executor, and is
+    planned with the table's true size.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
