@@ -36,6 +36,9 @@ IDIOMS = {
     "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0,
     "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0,
 }
+PHRASE_WORDS = sorted(
+    {w for phrase in [*IDIOMS, *WEAKER_PHRASES] for w in phrase.split()} - {"the", "to", "of"}
+)
 MARKS = [
     ".", "!", "?", ",", ";", ":", "-", "'", '"', "!!", "!!!", "??", "???", "?!?", "!?!",
     "?!?!", "!?!?",
@@ -68,8 +71,7 @@ def _shouts(w: Column) -> Column:
     return (w == F.upper(w)) & (w != F.lower(w))
 
 
-def _negates(w: Column, lists: WordLists) -> Column:
-    low = F.lower(w)
+def _negates(low: Column, lists: WordLists) -> Column:
     return F.coalesce(low.isin(list(lists.negations)) | low.contains("n't"), F.lit(False))
 
 
@@ -89,16 +91,13 @@ def _exclaim(c: Column) -> Column:
 
 
 def _positions(df: DataFrame, key: str, col: str) -> DataFrame:
-    """One row per word with its neighbours and what the rules need of its document."""
+    """One row per word, with what the rules need to know of its document."""
     w = F.col("_words")
-
-    def near(i: Column) -> Column:
-        offsets = {"w3": -3, "w2": -2, "w1": -1, "w0": 0, "n1": 1, "n2": 2}
-        return F.struct(*[F.get(w, i + d).alias(name) for name, d in offsets.items()])
-
     shouted = F.size(F.filter(w, _shouts))
     but = F.array_position(F.transform(w, F.lower), "but")
     # What holds for the whole document is worked out before its words are exploded.
+    # Exploding a plain column keeps all that follows in one compiled stage, where
+    # the array of words is only pointed at.
     documents = df.select(
         key, sentiment_words(col).alias("_words"), _exclaim(F.col(col)).alias("emphasis")
     ).select(
@@ -107,18 +106,23 @@ def _positions(df: DataFrame, key: str, col: str) -> DataFrame:
         F.size(w).alias("n"),
         ((shouted > 0) & (shouted < F.size(w))).alias("mixed"),
         F.when(but > 0, but - 1).alias("but"),
-        F.transform(w, lambda _, i: near(i)).alias("_near"),
-    )
-    exploded = documents.select(
-        key, "emphasis", "n", "mixed", "but", F.posexplode_outer("_near").alias("i", "near")
+        "_words",
     )
-    return exploded.select(key, "emphasis", "n", "mixed", "but", "i", "near.*")
+    return documents.select("*", F.posexplode_outer("_words").alias("i", "w0"))
+
+
+def _neighbours(df: DataFrame) -> DataFrame:
+    """Add the three words before, also in lower case, and the two after."""
+    offsets = {"w3": -3, "w2": -2, "w1": -1, "n1": 1, "n2": 2}
+    near = [F.get("_words", F.col("i") + d).alias(name) for name, d in offsets.items()]
+    lowered = [F.lower(f"w{back}").alias(f"l{back}") for back in (1, 2, 3)]
+    return df.select("*", *near).drop("_words").select("*", *lowered)
 
 
 def _boosted(df: DataFrame, back: int, lists: WordLists) -> DataFrame:
     """Effect of the word ``back`` places before: booster, then negation."""
-    w, v = F.col(f"w{back}"), F.col("v")
-    low, sign = F.lower(w), F.when(F.col("v") < 0, -1.0).otherwise(1.0)
+    w, low, v = F.col(f"w{back}"), F.col(f"l{back}"), F.col("v")
+    sign = F.when(v < 0, -1.0).otherwise(1.0)
     scalar = F.when(low.isin(list(lists.stronger)), sign * BOOST).when(
         low.isin(list(lists.weaker)), sign * -BOOST
     )
@@ -128,7 +132,7 @@ def _boosted(df: DataFrame, back: int, lists: WordLists) -> DataFrame:
     fade = {1: 1.0, 2: 0.95, 3: 0.9}[back]
     applies = (F.col("i") >= back) & F.col(f"in{back}").isNull()
     raised = v + F.coalesce((scalar + caps) * fade, F.lit(0.0))
-    negated = F.when(_negates(w, lists), F.lit(NEGATION)).otherwise(1.0)
+    negated = F.when(_negates(low, lists), F.lit(NEGATION)).otherwise(1.0)
     emphatic = ["so", "this"]
     if back == 2:
         never_so = (F.col("w2") == "never") & F.col("w1").isin(emphatic)
@@ -156,13 +160,17 @@ def _idiom(df: DataFrame) -> DataFrame:
         WEAKER_PHRASES
     )
     value = value - F.when(weak, BOOST).otherwise(0.0)
-    applies = (F.col("i") >= 3) & F.col("in3").isNull()
+    # No phrase is put together unless a word that only phrases have is near.
+    marked = F.lit(False)
+    for name in ("w3", "w2", "w1", "w0", "n1", "n2"):
+        marked = marked | F.coalesce(F.col(name).isin(PHRASE_WORDS), F.lit(False))
+    applies = (F.col("i") >= 3) & F.col("in3").isNull() & marked
     return df.withColumn("v", F.when(applies, value).otherwise(F.col("v")))
 
 
 def _least(df: DataFrame) -> DataFrame:
-    least = (F.lower("w1") == "least") & F.col("in1").isNull()
-    spared = (F.col("i") > 1) & F.lower("w2").isin("at", "very")
+    least = (F.col("l1") == "least") & F.col("in1").isNull()
+    spared = (F.col("i") > 1) & F.col("l2").isin("at", "very")
     turned = F.when(least & ~F.coalesce(spared, F.lit(False)), F.col("v") * NEGATION)
     return df.withColumn("v", F.coalesce(turned, F.col("v")))
 
@@ -189,17 +197,18 @@ def sentiment(
         found = join_given_terms(with_term, table, "left", small=small)
         return found.withColumnRenamed("valence", name).drop("term")
 
-    at = listed(_positions(df, key, col), F.lower("w0"), "v0")
-    low = F.lower("w0")
+    at = listed(_positions(df, key, col).withColumn("l0", F.lower("w0")), F.col("l0"), "v0")
+    low = F.col("l0")
     unscored = low.isin([*lists.stronger, *lists.weaker]) | (
-        (low == "kind") & (F.coalesce(F.lower("n1"), F.lit("")) == "of")
+        (low == "kind") & (F.coalesce(F.lower(F.get("_words", F.col("i") + 1)), F.lit("")) == "of")
     )
     # From here on only lexicon words count, and one row of every document.
     at = at.withColumn("v0", F.when(~unscored, F.col("v0"))).filter(
         "v0 is not null or i is null or i = 0"
     )
+    at = _neighbours(at)
     for back in (1, 2, 3):
-        neighbour = F.when(F.col("v0").isNotNull(), F.lower(f"w{back}"))
+        neighbour = F.when(F.col("v0").isNotNull(), F.col(f"l{back}"))
         at = listed(at, neighbour, f"in{back}")
     shout = F.when(_shouts(F.col("w0")) & F.col("mixed"), F.lit(CAPS)).otherwise(0.0)
     at = at.withColumn("v", F.col("v0") + F.when(F.col("v0") > 0, shout).otherwise(-shout))
