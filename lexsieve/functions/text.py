@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 # 0x1C-0x1F, NEL, and categories Zs, Zl, Zp), as a regex class.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE = "[\\t-\\r\\x1C-\\x20\\x85\\p{Z}]"
-NOT_SPACE = "[^\\t-\\r\\x1C-\\x20\\x85\\p{Z}]"
 ASCII_SPACE = " \t\n\x0b\f\r"
 
 
@@ -62,9 +61,13 @@ def extract_emails(c: Column | str) -> Column:
     """White-space separated pieces with an ``@`` that is neither first nor last.
 
     Testing whole pieces finds the same addresses as searching the text for
-    ``\\S+@\\S+``, but without that regex's backtracking over long pieces.
+    ``\\S+@\\S+``, but without that regex's backtracking over long pieces. Text without
+    any ``@`` is not split.
     """
-    return F.filter(F.split(to_column(c), SPACE + "+"), lambda w: w.like("_%@%_"))
+    c = to_column(c)
+    found = F.filter(F.split(c, SPACE + "+"), lambda w: w.like("_%@%_"))
+    nothing = F.array().cast("array<string>")
+    return F.when(c.contains("@"), found).when(c.isNotNull(), nothing)
 
 
 def extract_urls(c: Column | str) -> Column:
@@ -76,14 +79,10 @@ def extract_urls(c: Column | str) -> Column:
 
 
 def avg_word_length(c: Column | str) -> Column:
-    """Mean length of the words; null if there are none.
-
-    Words are counted by shrinking each, with the space around it, to one letter.
-    """
+    """Mean length of the words; null if there are none."""
     c = to_column(c)
     letters = F.length(F.regexp_replace(c, SPACE + "+", ""))
-    count = F.length(F.regexp_replace(c, f"{SPACE}*+{NOT_SPACE}++{SPACE}*+", "x"))
-    return F.when(letters > 0, letters / count)
+    return F.try_divide(letters, F.size(words(c)))
 
 
 def word_count(c: Column | str) -> Column:

@@ -197,16 +197,21 @@ def sentiment(
         found = join_given_terms(with_term, table, "left", small=small)
         return found.withColumnRenamed("valence", name).drop("term")
 
-    at = listed(_positions(df, key, col).withColumn("l0", F.lower("w0")), F.col("l0"), "v0")
+    at = _positions(df, key, col).withColumn("l0", F.lower("w0"))
+    if not small:  # rows will be shuffled, and the array of words must not travel with each
+        at = _neighbours(at)
+    at = listed(at, F.col("l0"), "v0")
     low = F.col("l0")
+    next_word = F.get("_words", F.col("i") + 1) if small else F.col("n1")
     unscored = low.isin([*lists.stronger, *lists.weaker]) | (
-        (low == "kind") & (F.coalesce(F.lower(F.get("_words", F.col("i") + 1)), F.lit("")) == "of")
+        (low == "kind") & (F.coalesce(F.lower(next_word), F.lit("")) == "of")
     )
     # From here on only lexicon words count, and one row of every document.
     at = at.withColumn("v0", F.when(~unscored, F.col("v0"))).filter(
         "v0 is not null or i is null or i = 0"
     )
-    at = _neighbours(at)
+    if small:
+        at = _neighbours(at)
     for back in (1, 2, 3):
         neighbour = F.when(F.col("v0").isNotNull(), F.col(f"l{back}"))
         at = listed(at, neighbour, f"in{back}")

@@ -121,7 +121,7 @@ def join_given_terms(
     if small:
         return rows.join(F.broadcast(table), on, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    others = [c for c in rows.columns if c != on]
+    others = [f.name for f in rows.schema if f.name != on and not isinstance(f.dataType, ArrayType)]
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
     return salted.join(table.withColumn("salt", salts), [on, "salt"], how).drop("salt")
 
