@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 # The 32 ASCII punctuation characters, and the characters that
 # count as white space in Unicode text (the ASCII ones, the four separators
-# 0x1C-0x1F, NEL, and categories Zs, Zl, Zp), as a regex class.
+# 0x1C-0x1F, NEL, and categories Zs, Zl, Zp), one by one and as a regex class.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPACES = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE = "[\\t-\\r\\x1C-\\x20\\x85\\p{Z}]"
 ASCII_SPACE = " \t\n\x0b\f\r"
 
@@ -82,7 +85,8 @@ def avg_word_length(c: Column | str) -> Column:
     """Mean length of the words; null if there are none."""
     c = to_column(c)
     letters = F.length(F.regexp_replace(c, SPACE + "+", ""))
-    return F.try_divide(letters, F.size(words(c)))
+    count = F.size(F.split(F.btrim(c, F.lit(SPACES)), SPACE + "+"))
+    return F.when(letters > 0, letters / count)
 
 
 def word_count(c: Column | str) -> Column:
