@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsieve.llm import bpe, chat, fingerprints, mixing, secrets, sharding
+from lexsieve.llm import bpe, chat, fingerprints, jaccard, mixing, secrets, sharding, toxicity
 from lexsieve.llm.common import code_points, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,19 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(documents).select("doc_id", "class_id", "n_links", "kept")
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, folder, "labels"))
+    return toxicity.score(documents, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.round_trip(documents, TOKENIZER).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -96,7 +109,9 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
     "op6_fingerprints": op6_fingerprints,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_chat": op8_chat,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
