@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsieve.llm import bpe, chat, fingerprints, jaccard, mixing, secrets, sharding, toxicity
+from lexsieve.llm import (
+    bpe, chat, embeddings, fingerprints, jaccard, mixing, quality, secrets, sharding, toxicity,
+)
 from lexsieve.llm.common import code_points, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +27,16 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.classify(documents).select("doc_id", "quality", "keep")
+
+
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = embeddings.near_vectors(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"), weights=(5, 2, 1), share=1.5, most=2)
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -106,6 +118,8 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
     "op6_fingerprints": op6_fingerprints,
