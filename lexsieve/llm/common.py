@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +45,9 @@ def parallelism(spark: SparkSession) -> int:
 def code_points(text: Column) -> Column:
     """Text or, for null, the empty text."""
     return F.coalesce(text, F.lit(""))
+
+
+def objects(values) -> pd.Series:
+    """A column of Python objects: pandas' own string columns come in chunks, which Spark's way
+    back to Arrow does not take."""
+    return pd.Series(list(values), dtype=object)

@@ -6,9 +6,9 @@ it. Adjacency lists of a vector from all its shards are united. A search starts
 medoid, goes greedily to the nearest vectors, and from the first one in range goes on through
 all that are in range. Links are verified by the exact cosine, and recall is audited.
 
-The overlap makes shards safe: a vector joins every shard whose border is no farther from it
-than two linked vectors can be from each other, so both ends of a link are in the home shard of
-either.
+A vector joins every shard whose border is near to it, measured against how far two linked
+vectors can be apart in the direction of that border, so that the two ends of a link are both in
+the home shard of either, and the link can be found from either side.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from lexsieve.llm.common import named, packed, parallelism, unpacked
+from lexsieve.llm.common import named, objects, packed, parallelism, unpacked
 from lexsieve.llm.components import components
 from lexsieve.sources.shared import settle
 
@@ -72,7 +73,7 @@ def robust_prune(
 
 
 def build_graph(
-    vectors: np.ndarray, degree: int = 24, alpha: float = 1.2, pool: int = 64
+    vectors: np.ndarray, degree: int = 16, alpha: float = 1.2, pool: int = 40
 ) -> list[list[int]]:
     """Adjacency lists of a shard: each vector's pool of nearest ones, pruned, with edges back;
     every vector is tied to the medoid's tree by its nearest neighbour nearer to the medoid."""
@@ -134,59 +135,74 @@ def range_search(
     return ids[scores >= least]
 
 
-def _split(df: DataFrame, rows: int, reach: float, seed: int, most_centres: int = 64) -> DataFrame:
-    """Cut the groups of (rid, vec, home, grp) with more than ``rows`` members into overlapping
-    cells around sampled members; one level at a time, until groups are small or don't shrink.
+def _overlap(centres: list, reach: float) -> float:
+    """Expected share of a group's cells that a vector would join, from the centres themselves,
+    each seen by the others."""
+    points, n = _stack(pd.Series([c["vec"] for c in centres])), len(centres)
+    if n < 4:
+        return 1.0
+    joined = [borders(points[[i]], np.delete(points, i, 0), reach)[1].sum() for i in range(n)]
+    return float(np.mean(joined)) / n
 
-    A level has at most ``most_centres`` centres for a group, sampled by hash, so a deep corpus takes more
-    levels, not more centres. Groups that do not shrink are left to the blocks of the search.
+
+def _split(df: DataFrame, kind: str, rows: int, reach: float, seed: int, most_centres: int = 256) -> DataFrame:
+    """Cut the groups of (rid, vec, home, grp) with more than twice ``rows`` members into
+    overlapping cells around sampled members, one level at a time.
+
+    A level has at most ``most_centres`` centres for a group, chosen by hash, so a deep corpus takes
+    more levels, not more centres. A group whose cells would overlap too much (a dense place) is
+    left whole, to the blocks of the search.
     """
-    done = None
-    for level in range(8):
-        sizes = settle(df.groupBy("grp").agg(F.count("*").alias("n")))
-        large = sizes.filter(F.col("n") > rows)
-        if large.isEmpty():
-            break
-        small = df.join(sizes.filter(F.col("n") <= rows).select("grp"), "grp", "left_semi")
-        done = small if done is None else done.unionByName(small)
-        wanted = F.least(F.ceil(F.col("n") / (rows / 2)), F.lit(most_centres))
-        chance = F.pmod(F.xxhash64(F.lit(seed + level), "rid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        picked = df.join(large, "grp").filter(chance < wanted * 1.5 / F.col("n")).groupBy("grp").agg(
-            F.slice(F.sort_array(F.collect_list(F.struct(chance.alias("c"), "vec"))), 1, most_centres).alias("centres")
-        ).join(large, "grp")
-
-        def deal(group: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-            if not len(group) or not len(centres):
-                return pd.DataFrame(columns=["rid", "vec", "home", "grp"])
-            middle = _stack(pd.Series([c["vec"] for c in centres["centres"].iloc[0]]))
-            home, member = borders(_stack(group["vec"]), middle, reach)
-            row, cell = np.nonzero(member)
-            taken = group.iloc[row]
-            return pd.DataFrame({
-                "rid": taken["rid"].to_numpy(), "vec": taken["vec"].to_numpy(),
-                "home": taken["home"].to_numpy() & (home[row] == cell),
-                "grp": [f"{g}/{c}" for g, c in zip(taken["grp"], cell, strict=True)],
-            })
 
+    @F.pandas_udf("double")
+    def overlap(centres: pd.Series) -> pd.Series:
+        return pd.Series([_overlap(list(c), reach) for c in centres])
+
+    def deal(group: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(centres):
+            return pd.DataFrame(columns=["rid", "vec", "home", "grp"])
+        middle = _stack(pd.Series([c["vec"] for c in centres["centres"].iloc[0]]))
+        home, member = borders(_stack(group["vec"]), middle, reach)
+        row, cell = np.nonzero(member)
+        taken = group.iloc[row]
+        return pd.DataFrame({
+            "rid": objects(taken["rid"]), "vec": objects(taken["vec"]),
+            "home": taken["home"].to_numpy() & (home[row] == cell),
+            "grp": objects([f"{g}/{c}" for g, c in zip(taken["grp"], cell, strict=True)]),
+        })
+
+    done, level = None, 0
+    while True:
+        sizes = df.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * rows)
+        wanted = F.least(F.ceil(3 * F.col("n") / rows), F.lit(most_centres))
+        chance = F.pmod(F.xxhash64(F.lit(seed + level), "rid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        picked = settle(
+            df.join(sizes, "grp").filter(chance < 1.5 * wanted / F.col("n")).groupBy("grp", "n").agg(
+                F.sort_array(F.collect_list(F.struct(chance.alias("c"), "vec"))).alias("centres")
+            )
+            .withColumn("centres", F.slice("centres", F.lit(1), wanted.cast("int")))
+            .filter(overlap("centres") < 0.5)
+        )
+        if picked.isEmpty():
+            return df if done is None else done.unionByName(df)
+        whole = df.join(picked.select("grp"), "grp", "left_anti")
+        done = whole if done is None else done.unionByName(whole)
         # Members meet the centres in chunks, so a large group is many tasks.
         chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        members = df.join(large, "grp").withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks).cast("int")).drop("n")
-        centres = settle(picked).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("n")
-        cut = settle(members.groupBy("grp", "chunk").cogroup(centres.groupBy("grp", "chunk")).applyInPandas(
-            deal, "rid string, vec array<double>, home boolean, grp string"
+        members = df.join(picked.select("grp", "n"), "grp").withColumn(
+            "chunk", F.pmod(F.xxhash64("rid"), chunks).cast("int")
+        ).drop("n")
+        each = F.explode(F.sequence(F.lit(0), chunks - 1))
+        centres = picked.select("grp", "centres", each.alias("chunk"))
+        df = settle(members.groupBy("grp", "chunk").cogroup(centres.groupBy("grp", "chunk")).applyInPandas(
+            deal, f"rid string, vec array<{kind}>, home boolean, grp string"
         ))
-        missed = df.join(large.join(picked, "grp", "left_anti"), "grp", "left_semi")
-        done = done.unionByName(missed)
-        before, after = (x.groupBy("grp").count().agg(F.max("count").alias("m")).first()["m"] or 0 for x in (df, cut))
-        df = cut
-        if after > 0.9 * before:
-            break
-    return df if done is None else done.unionByName(df)
+        level += 1
 
 
 def near_vectors(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
-    least: float = 0.98, shard_rows: int = 1_000, degree: int = 24, alpha: float = 1.2,
+    least: float = 0.98, shard_rows: int = 400, spread: float = 1.5, degree: int = 16, alpha: float = 1.2,
     block: int = 2_000, seed: int = 4,
 ) -> DataFrame:
     """All rows with ``n_links`` (other rows linked directly), ``component_id`` (least key
@@ -198,14 +214,19 @@ def near_vectors(
     large groups of copies cost nothing; their links are counted by multiplication. A null key
     is never a component_id while another key is reachable.
 
+    Two linked vectors are up to r = sqrt(2 - 2 * least) apart; in the direction of one border that is
+    about r / sqrt(dimensions), and ``spread`` times that is how near a border must be for a vector to
+    join the shard beyond it. A link is missed only if both ends are farther than that from the border
+    between their homes, on its two sides. :func:`audit_recall` measures what is found.
+
     Shards have about ``shard_rows`` vectors; where a dense place cannot be cut, its shard is searched
     in blocks of ``block`` vectors against one another, so a task stays bounded.
     """
-    reach = float(np.sqrt(2 - 2 * least))
+    kind = "float" if isinstance(df.schema[vector].dataType.elementType, FloatType) else "double"
     valid_row = valid(named(vector)) & named(label).isNotNull()
-    doubles = named(vector).cast("array<double>")
-    rid = F.when(valid_row, F.md5(F.concat_ws("|", named(label).cast("string"), F.array_join(doubles, ","))))
-    rows = packed(df, OUTPUTS, key=named(key), rid=rid, label=named(label).cast("string"), vec=doubles)
+    given = named(vector).cast(f"array<{kind}>")
+    rid = F.when(valid_row, F.md5(F.concat_ws("|", named(label).cast("string"), F.array_join(given, ","))))
+    rows = packed(df, OUTPUTS, key=named(key), rid=rid, label=named(label).cast("string"), vec=given)
     vectors = settle(
         rows.filter("rid is not null").groupBy("rid").agg(
             F.count("*").alias("copies"), F.min("key").alias("key"),
@@ -215,34 +236,38 @@ def near_vectors(
     start = vectors.select(
         "rid", "vec", F.lit(True).alias("home"), F.concat_ws(":", "label", F.size("vec")).alias("grp")
     )
-    shards = settle(_split(start, shard_rows, reach, seed))
+    dimensions = vectors.agg(F.max(F.size("vec")).alias("n")).first()["n"] or 1
+    reach = min(1.0, spread / dimensions**0.5) * float(np.sqrt(2 - 2 * least))
+    shards = _split(start, kind, shard_rows, reach, seed)
     sizes = shards.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    shards = settle(shards.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")))
+    shards = settle(shards.join(sizes, "grp").withColumn("node", F.xxhash64("rid")).withColumn(
+        "part", F.pmod("node", F.col("blocks")).cast("int")
+    ))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         lists = build_graph(_stack(rows["vec"]), degree, alpha)
-        rid = rows["rid"].to_numpy()
-        return pd.DataFrame({"rid": rid, "near": [rid[x].tolist() for x in lists]})
+        node = rows["node"].to_numpy()
+        return pd.DataFrame({"rid": objects(rows["rid"]), "near": objects([node[x].tolist() for x in lists])})
 
-    built = shards.groupBy("grp", "part").applyInPandas(build, "rid string, near array<string>")
+    built = shards.groupBy("grp", "part").applyInPandas(build, "rid string, near array<bigint>")
     united = built.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = settle(shards.join(united, "rid"))
 
     # Nodes of a block, and the home vectors of each block of the shard as queries.
     nodes = graph.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "grp", "part", "q", "rid", "vec", "near", F.lit(True).alias("is_node")
+        "grp", "part", "q", "rid", "node", "vec", "near", F.lit(True).alias("is_node")
     )
     queries = graph.filter("home").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "grp", F.col("p").alias("part"), F.col("part").alias("q"), "rid", "vec",
-        F.array().cast("array<string>").alias("near"), F.lit(False).alias("is_node"),
+        "grp", F.col("p").alias("part"), F.col("part").alias("q"), "rid", "node", "vec",
+        F.array().cast("array<bigint>").alias("near"), F.lit(False).alias("is_node"),
     )
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         inside, asked = rows[rows["is_node"]], rows[~rows["is_node"]]
         if not len(inside) or not len(asked):
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": objects([]), "b": objects([])})
         points, rid = _stack(inside["vec"]), inside["rid"].to_numpy()
-        place = {r: i for i, r in enumerate(rid)}
+        place = {x: i for i, x in enumerate(inside["node"])}
         edges = [
             np.array([place[x] for x in near if x in place], np.int64) for near in inside["near"]
         ]
@@ -252,7 +277,7 @@ def near_vectors(
             hits = range_search(points, edges, query, top, least - 1e-9)
             hits = hits[(points[hits] * query).sum(1) >= least]
             found += [(own, rid[h]) for h in hits if rid[h] != own]
-        return pd.DataFrame(found, columns=["a", "b"])
+        return pd.DataFrame({name: objects([f[i] for f in found]) for i, name in enumerate("ab")})
 
     hits = nodes.unionByName(queries).groupBy("grp", "part", "q").applyInPandas(search, "a string, b string")
     links = settle(hits.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexsieve.llm.common import code_points, named, packed, unpacked
+from lexsieve.llm.common import code_points, named, objects, packed, unpacked
 from lexsieve.llm.components import components
 from lexsieve.sources.shared import settle
 
@@ -209,9 +209,10 @@ def near_classes(
             rank = np.empty(len(tid), int)
             rank[order] = np.arange(len(tid))
             reached = tid[order][_least_reachable(near[np.ix_(order, order)])]
-            out.append(pd.DataFrame({"tid": tid, "linked": linked, "hub": reached[rank]}))
-        found = pd.concat(out)
-        return found[found["linked"] > 0]
+            some = linked > 0
+            out.append((tid[some], linked[some], reached[rank][some]))
+        tid, linked, hub = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"tid": objects(tid), "linked": linked, "hub": objects(hub)})
 
     verified = settle(
         dealt.groupBy("bin", "whole", "p", "q").applyInPandas(verify, "tid string, linked long, hub string")
