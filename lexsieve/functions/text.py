@@ -52,7 +52,8 @@ def strip_digits(c: Column | str) -> Column:
 
 def strip_tags(c: Column | str) -> Column:
     """Delete ``<...>`` tags that open and close on one line; the text inside stays."""
-    return F.regexp_replace(to_column(c), "<[^>\\n]*+>", "")
+    # A stretch that does not close is kept whole, so it is not searched again from each "<".
+    return F.regexp_replace(to_column(c), "<[^>\\n]*+>|(<[^>\\n]*+)", "$1")
 
 
 def words(c: Column | str) -> Column:

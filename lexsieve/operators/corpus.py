@@ -29,13 +29,16 @@ LIST_LIMIT = 200
 def hashed_tfidf(df: DataFrame, col: str, num_features: int = 3) -> DataFrame:
     """Add ``tokens``, hashed term counts ``tf`` and ``tfidf`` vectors (Spark ML).
 
-    Fitting sends one vector of ``num_features`` numbers to the driver.
+    Fitting sends one vector of ``num_features`` numbers to the driver. Rows with a null text
+    are kept, with null vectors.
     """
     tokens = df.withColumn("tokens", tokens_of(df, col))
     present = tokens.filter(F.col("tokens").isNotNull())
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     counted = tf.transform(present)
-    return IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
+    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
+    absent = tokens.filter(F.col("tokens").isNull())
+    return weighted.unionByName(absent, allowMissingColumns=True)
 
 
 def doc_terms(df: DataFrame, key: str, col: str) -> DataFrame:

@@ -34,13 +34,17 @@ def parse_json(df: DataFrame, col: str, schema: StructType | str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a few files out to all cores, by key where one is given.
+    """Deal the rows of a small table out to all cores, by key where one is given.
 
-    A Parquet row group is read by one task, so a single file can leave a cluster
-    idle. A table of at least as many files as there are cores is left as it is.
+    A Parquet row group is read by one task, so a small file can leave a cluster idle. A table
+    that fills one scan partition per core by Spark's own estimate is left as it is, so a big
+    table is never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    scan = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if estimate >= cores * scan else df.repartition(cores, *keys)
 
 
 def jdbc_options(

@@ -199,3 +199,9 @@ def test_lists_as_text(spark):
 
 def test_functions_take_columns(spark):
     assert one(spark, "A", "string", fn.lower(F.col("v"))) == "a"
+
+
+def test_open_tags_take_linear_time(spark):
+    hostile = spark.createDataFrame([("<" * 1_000_000,), ("<a<b>c<",), ("<x\n<y>z",)], "t string")
+    got = [r[0] for r in hostile.select(fn.strip_tags("t")).collect()]
+    assert got == ["<" * 1_000_000, "c<", "<x\nz"]

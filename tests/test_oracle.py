@@ -1,8 +1,9 @@
-"""Every registered query against its SQL twin."""
+"""Every query of the library against its SQL twin."""
 
 import pytest
 
-import __spark_entry__ as entry_points
+from lexsieve.plans.catalog import QUERIES
+from oracle import ORACLE
 from tests.compare import duck, duck_rows, spark_rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,12 +15,12 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", entry_points.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_same_rows(spark, connection, name):
-    names, got = spark_rows(entry_points.queries()[name](spark, FOLDER))
-    want_names, want = duck_rows(connection, entry_points.oracle_sql()[name])
+    names, got = spark_rows(QUERIES[name](spark, FOLDER))
+    want_names, want = duck_rows(connection, ORACLE[name])
     assert names == want_names
     assert got == want
