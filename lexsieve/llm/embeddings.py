@@ -315,7 +315,7 @@ def audit_recall(
     result of :func:`near_vectors`) has, by brute force against all rows of the same label, in blocks
     of queries and rows. 1.0 if there is no link."""
     rows = df.filter(valid(named(vector)) & named(label).isNotNull()).select(
-        named(key).alias("key"), named(label).cast("string").alias("label"),
+        named(key).alias("key"), F.concat_ws(":", named(label).cast("string"), F.size(named(vector))).alias("label"),
         named(vector).cast("array<double>").alias("vec"),
     )
     parts = parallelism(df.sparkSession)
