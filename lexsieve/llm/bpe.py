@@ -63,7 +63,7 @@ class Tokenizer:
         keys = left.astype(np.int64) << 32 | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def _ranks(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and place in the pair table of each symbol with the next one."""
@@ -127,11 +127,11 @@ class Tokenizer:
             self.known.clear()
         new = list({w for p in pieces for w in p if w not in self.known and isinstance(w, str)})
         if new:
-            self.known.update(zip(new, self.encode_words(new), strict=True))
-        empty = np.zeros(0, "<u4")
-        single = {i: np.array([i], "<u4") for i in self.special.values()}
+            # Bytes, as a small array of numpy takes several times their memory.
+            self.known.update(zip(new, (ids.tobytes() for ids in self.encode_words(new)), strict=True))
+        special = {i: i.to_bytes(4, "little") for i in self.special.values()}
         return [
-            np.concatenate([single[w] if isinstance(w, int) else self.known[w] for w in p]) if p else empty
+            np.frombuffer(b"".join([special[w] if isinstance(w, int) else self.known[w] for w in p]), "<u4")
             for p in pieces
         ]
 
@@ -145,9 +145,9 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _batches(texts: Iterator[pd.Series], most: int = 4_000_000) -> Iterator[list[str] | None]:
-    """Arrow's batches of texts in parts of about ``most`` characters, so that neither a batch
-    of long texts nor its tokens fill the memory; None after each whole batch."""
+def _parts(texts: Iterator[pd.Series], most: int = 1_000_000) -> Iterator[list[str]]:
+    """Arrow's batches of texts in parts of about ``most`` characters. Results are given back part
+    by part, so that neither a batch of long texts nor its tokens fill the memory."""
     for series in texts:
         part, size = [], 0
         for text in series:
@@ -156,8 +156,8 @@ def _batches(texts: Iterator[pd.Series], most: int = 4_000_000) -> Iterator[list
             if size >= most:
                 yield part
                 part, size = [], 0
-        yield part
-        yield None
+        if part:
+            yield part
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -170,13 +170,9 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("array<bigint>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder, out = tokenizer(_local(path)), []
-        for part in _batches(texts):
-            if part is None:
-                yield pd.Series(out, dtype=object)
-                out = []
-            elif part:
-                out += [x.astype(np.int64) for x in coder.encode(part)]
+        coder = tokenizer(_local(path))
+        for part in _parts(texts):
+            yield pd.Series([x.astype(np.int64) for x in coder.encode(part)], dtype=object)
 
     rows = packed(df, ["ids"], text=code_points(named(text)))
     return unpacked(rows.withColumn("ids", ids("text")), "ids")
@@ -205,15 +201,13 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder, out = tokenizer(_local(path)), []
-        for part in _batches(texts):
-            if part is None:
-                yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-                out = []
-            elif part:
-                for ids in coder.encode(part):
-                    decoded = coder.decode(ids).encode("utf-8")
-                    out.append((len(ids), sha256(ids.tobytes()).hexdigest(), sha256(decoded).hexdigest()))
+        coder = tokenizer(_local(path))
+        for part in _parts(texts):
+            out = []
+            for ids in coder.encode(part):
+                decoded = coder.decode(ids).encode("utf-8")
+                out.append((len(ids), sha256(ids.tobytes()).hexdigest(), sha256(decoded).hexdigest()))
+            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     outputs = ["n_tokens", "ids_sha256", "decoded_sha256"]
     rows = packed(df, outputs, text=code_points(named(text)))
