@@ -14,6 +14,7 @@ from lexsieve.operators.terms import (
     distinct_terms,
     join_counted_terms,
     patch_tokens,
+    row_key,
     sorted_runs,
     term_counts,
     term_frequencies,
@@ -76,7 +77,7 @@ def remove_frequent(
     """Add the tokens without the ``k`` most frequent terms of the corpus.
 
     A short list is tested in place, so documents are not shuffled. Beyond
-    LIST_LIMIT terms the list is joined instead, and ``key`` is needed.
+    LIST_LIMIT terms the list is joined instead, by ``key``; without one the rows are numbered.
     ``mode='compat'`` drops English stop words and counts nothing.
     """
     tokens = tokens_of(df, col)
@@ -91,8 +92,7 @@ def remove_frequent(
             )
             .drop("_drop")
         )
-    if key is None:
-        raise ValueError(f"more than {LIST_LIMIT} terms need a document key")
+    df, key = row_key(df, key)
     counts = settle(term_counts(df, tokens))
     top = counts.orderBy(F.desc("n"), "term").limit(k).select("term", F.lit(True).alias("drop"))
     table = settle(counts.join(top, "term", "left"))
@@ -104,7 +104,7 @@ def remove_frequent(
 
 def remove_rare(
     df: DataFrame,
-    key: str,
+    key: str | None,
     col: str,
     min_count: int = 2,
     out: str = "kept",
@@ -113,12 +113,14 @@ def remove_rare(
 ) -> DataFrame:
     """Add the tokens without the terms seen fewer than ``min_count`` times.
 
-    The counts are settled first; only rare tokens are shuffled.
+    The counts are settled first; only rare tokens are shuffled. ``key`` tells the rows
+    apart; with None they are numbered.
     ``mode='compat'`` counts nothing: see :func:`thin_unlisted`.
     """
     tokens = tokens_of(df, col)
     if mode == "compat":
         return thin_unlisted(df.withColumn("_tokens", tokens), "_tokens", out, words).drop("_tokens")
+    df, key = row_key(df, key)
     counts = settle(term_counts(df, tokens))
     hits = join_counted_terms(token_rows(df, key, tokens), counts, F.col("n") < min_count).select(
         key, "pos", F.lit(None).cast("string").alias("word")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexsieve.functions.tokens import keep_longer
-from lexsieve.operators.terms import join_given_terms, patch_tokens, token_rows, tokens_of
+from lexsieve.operators.terms import join_given_terms, patch_tokens, row_key, token_rows, tokens_of
 
 # Noun endings and what they stand for in the base form.
 NOUN_ENDINGS = [
@@ -65,7 +65,7 @@ def lemma_hits(
 
 def lemmatize_tokens(
     df: DataFrame,
-    key: str,
+    key: str | None,
     col: str,
     lemmas: DataFrame,
     min_len: int = 3,
@@ -75,7 +75,9 @@ def lemmatize_tokens(
     """Add the noun lemmas of the tokens, those of at least ``min_len`` characters.
 
     ``lemmas`` has a column ``word``. Tokens the dictionary cannot explain stay.
+    ``key`` tells the rows apart; with None they are numbered.
     """
+    df, key = row_key(df, key)
     tokens = tokens_of(df, col)
     hits = lemma_hits(df, key, tokens, lemmas, exceptions)
     return patch_tokens(df, key, tokens, hits, out).withColumn(out, keep_longer(out, min_len))

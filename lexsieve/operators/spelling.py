@@ -10,6 +10,7 @@ from lexsieve.operators.terms import (
     join_counted_terms,
     join_given_terms,
     patch_tokens,
+    row_key,
     term_counts,
     token_rows,
     tokens_of,
@@ -81,13 +82,15 @@ def corrections(counts: DataFrame, vocab: DataFrame, max_distance: int = 1) -> D
 
 
 def spell_correct(
-    df: DataFrame, key: str, col: str, vocab: DataFrame, max_distance: int = 1, out: str = "corrected"
+    df: DataFrame, key: str | None, col: str, vocab: DataFrame, max_distance: int = 1, out: str = "corrected"
 ) -> DataFrame:
     """Add the tokens with each unknown one replaced by its best vocabulary word.
 
     ``vocab`` has columns ``word`` and ``freq``. A token without a word within
-    ``max_distance`` edits stays. Counts and corrections are settled on the way.
+    ``max_distance`` edits stays. Counts and corrections are settled on the way. ``key``
+    tells the rows apart; with None they are numbered.
     """
+    df, key = row_key(df, key)
     tokens = tokens_of(df, col)
     counts = settle(term_counts(df, tokens))
     table = settle(counts.join(corrections(counts, vocab, max_distance), "term", "left"))

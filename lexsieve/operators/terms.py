@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from lexsieve.functions.tokens import apply_changes, tokenize
+from lexsieve.sources.shared import settle
 
 # A term is frequent if it has at least 1/HOT_SHARE of all occurrences, so there
 # are at most HOT_SHARE such terms, and together they hold at most HOT_SHARE
@@ -25,6 +26,7 @@ from lexsieve.functions.tokens import apply_changes, tokenize
 HOT_SHARE = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
+ROW = "_row"
 
 
 def tokens_of(df: DataFrame, col: str) -> Column:
@@ -34,6 +36,17 @@ def tokens_of(df: DataFrame, col: str) -> Column:
     return tokenize(col)
 
 
+def row_key(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
+    """The table and the column that tells its rows apart.
+
+    Without a key the rows are numbered. The numbered table is written once, as numbers
+    given anew in a second pass could differ; :func:`patch_tokens` takes them off again.
+    """
+    if key is not None:
+        return df, key
+    return settle(df.withColumn(ROW, F.monotonically_increasing_id())), ROW
+
+
 def token_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """One row per token: (key, pos, term)."""
     return df.select(key, F.posexplode(tokens).alias("pos", "term"))
@@ -141,4 +154,4 @@ def patch_tokens(
         "_tokens", tokens
     )
     patched = apply_changes(F.col("_tokens"), F.col("_changes"))
-    return joined.withColumn(out, patched).drop("_key", "_changes", "_tokens")
+    return joined.withColumn(out, patched).drop("_key", "_changes", "_tokens", ROW)

@@ -1,5 +1,6 @@
 """Operators against brute force on small inputs, through every way of joining."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -86,17 +87,17 @@ def test_remove_frequent_compat(docs):
 
 
 def thinned(ws, listed):
-    """In each run of unlisted words those at even places lose their first copy in the text that
-    is still there, and the word after a removed one is passed over."""
-    left, at = list(ws), 0
-    while at < len(left):
-        if left[at] in listed:
-            at += 1
-            continue
-        first = left.index(left[at])
-        left = left[:first] + left[first + 1 :]
-        at += 1
-    return left
+    """The rule by counting: a word struck r times loses its first r copies, and of each run of
+    unlisted words the first, third, fifth and so on are struck."""
+    struck, seen, kept = Counter(), Counter(), []
+    for unlisted, run in itertools.groupby(ws, key=lambda w: w not in listed):
+        if unlisted:
+            struck.update(list(run)[::2])
+    for w in ws:
+        seen[w] += 1
+        if seen[w] > struck[w]:
+            kept.append(w)
+    return kept
 
 
 def test_remove_rare_compat(spark, docs):
@@ -127,9 +128,11 @@ def test_doc_terms(docs, join_way):
 
 
 def test_hashed_tfidf(docs):
-    rows = op.hashed_tfidf(docs, "text").collect()
+    every = op.hashed_tfidf(docs, "text").collect()
+    assert len(every) == len(DOCS)
+    assert all(r.tf is None and r.tfidf is None for r in every if r.text is None)
+    rows = [r for r in every if r.text is not None]
     m = len(rows)
-    assert m == sum(t is not None for _, t in DOCS)
     for b in range(3):
         df = sum(r.tf[b] > 0 for r in rows)
         for r in rows:
@@ -250,3 +253,29 @@ def test_frequent_terms(docs):
     got = [(r.term, r.n) for r in op.frequent_terms(docs, "text", 5).collect()]
     assert got == sorted(COUNTS.items(), key=lambda p: (-p[1], p[0]))[:5]
     assert docs.select(F.lit(1)).count() == len(DOCS)
+
+
+def test_rows_without_a_key(spark):
+    """Equal rows, rows under one id and null ids are each patched for themselves."""
+    rows = [(1, "cat a b"), (1, "dog cat a b"), (None, "cat"), (None, "cat"), (2, None), (1, "cat a b")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    glossary = spark.createDataFrame([("fr", "cat", "chat")], "lang string, term string, target string")
+    vocab = spark.createDataFrame([("cat", 5), ("a", 5), ("b", 5)], "word string, freq bigint")
+    listed = [w for _, t in rows if t for w in t.split(" ")]
+    frequent = [f"w{i}" for i in range(250)]
+    many = spark.createDataFrame([(t,) for t in [" ".join(frequent)] * 2 + ["w1 rare", "w2 rare"]], "text string")
+
+    def outs(got, out):
+        return sorted(str(r[out]) for r in got.select(out).collect())
+
+    def by_rule(rule):
+        return sorted(str(None if t is None else rule(t.split(" "))) for _, t in rows)
+
+    translated = op.translate_terms(df, None, "text", glossary, "fr")
+    assert translated.columns == ["id", "text", "translated"]
+    assert outs(translated, "translated") == by_rule(lambda ws: ["chat" if w == "cat" else w for w in ws])
+    assert outs(op.remove_rare(df, None, "text"), "kept") == by_rule(lambda ws: [w for w in ws if listed.count(w) > 1])
+    assert outs(op.spell_correct(df, None, "text", vocab), "corrected") == by_rule(lambda ws: ws)
+    assert outs(op.lemmatize_tokens(df, None, "text", vocab), "lemmas") == by_rule(lambda ws: [w for w in ws if len(w) > 2])
+    # 251 terms: all but the last of the rarest are among the 250 most frequent.
+    assert outs(op.remove_frequent(many, "text", 250), "kept") == ["['w99']"] * 2 + ["[]"] * 2
