@@ -26,30 +26,35 @@ SCALES = ["", " thousand"] + [
     f" {name}illion"
     for name in [*LATIN_LOW, *(u + t for t in LATIN_TENS for u in LATIN_UNITS), "cent"]
 ]
+# Beyond the last name, names start again with it as their unit: a thousand centillion and so on.
+LAST_SCALE = len(SCALES) - 1
 
-NUMBER = "^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:E[+-]?[0-9]{1,3})?$"
+NUMBER = "^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:E[+-]?[0-9]+)?$"
 
 
 def _literal(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _whole_and_rest(s: Column) -> tuple[Column, Column]:
-    """Digits before and after the decimal point, after any exponent is worked in."""
+def _whole_and_rest(s: Column, max_exponent: int) -> tuple[Column, Column]:
+    """Digits before and after the decimal point, after any exponent is worked in; null for
+    an exponent beyond the limit, so that no text of that many zeros is made."""
     unsigned = F.ltrim(s, F.lit("+-"))
     mantissa = F.substring_index(unsigned, "E", 1)
     whole = F.substring_index(mantissa, ".", 1)
     rest = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
     digits = F.concat(whole, rest)
-    point = F.length(whole) + F.substring_index(s, "E", -1).try_cast("int")
+    exponent = F.substring_index(s, "E", -1).try_cast("int")
+    point = F.length(whole) + F.when(exponent.between(-max_exponent, max_exponent), exponent)
     moved_whole = F.when(point > 0, F.rpad(F.substring(digits, F.lit(1), point), point, "0")).otherwise("")
     moved_rest = F.when(point > 0, F.substring(digits, point + 1, F.length(digits))).otherwise(
         F.concat(F.repeat(F.lit("0"), -point), digits)
     )
     has_exponent = s.contains("E")
+    known = point.isNotNull()
     return (
-        F.ltrim(F.when(has_exponent, moved_whole).otherwise(whole), F.lit("0")),
-        F.rtrim(F.when(has_exponent, moved_rest).otherwise(rest), F.lit("0")),
+        F.ltrim(F.when(has_exponent, F.when(known, moved_whole)).otherwise(whole), F.lit("0")),
+        F.rtrim(F.when(has_exponent, F.when(known, moved_rest)).otherwise(rest), F.lit("0")),
     )
 
 
@@ -78,21 +83,24 @@ def _cardinal(digits: Column) -> Column:
             F.when(hundreds > 0, F.concat(below_hundred[hundreds], F.lit(" hundred"))).otherwise(""),
             F.when((hundreds > 0) & (low > 0), " and ").otherwise(""),
             F.when(low > 0, below_hundred[low]).otherwise(""),
-            scales[scale],
+            scales[scale % LAST_SCALE],
+            F.repeat(F.lit(SCALES[LAST_SCALE]), F.floor(scale / LAST_SCALE).cast("int")),
         )
 
     nonzero = F.filter(parts, lambda p: p["value"] > 0)
     return F.when(digits == "", "zero").otherwise(F.array_join(F.transform(nonzero, spoken), ""))
 
 
-def number_to_words(c: Column | str) -> Column:
+def number_to_words(c: Column | str, max_exponent: int = 100_000) -> Column:
     """English cardinal of a number or of text holding one; otherwise null.
 
-    Works on the decimal text, so no digit is lost: up to 306 digits before the
-    point, and every digit after it, trailing zeros aside.
+    Works on the decimal text, so no digit is lost: every digit before the point and
+    every digit after it, trailing zeros aside. Groups from 10**303 on are named by repeated
+    centillions. A number in exponent form is null if its exponent is beyond
+    ``max_exponent``, as a short text could ask for gigabytes of zeros.
     """
     s = F.translate(F.trim(to_column(c).cast("string")), "e", "E")
-    whole, rest = _whole_and_rest(s)
+    whole, rest = _whole_and_rest(s, max_exponent)
     minus = F.when(s.startswith("-") & ((whole != "") | (rest != "")), "minus ").otherwise("")
     ones = _literal(ONES)
     decimals = F.when(
@@ -102,5 +110,4 @@ def number_to_words(c: Column | str) -> Column:
             F.array_join(F.transform(F.split(rest, ""), lambda d: ones[d.cast("int")]), " "),
         ),
     ).otherwise("")
-    short_enough = F.length(whole) <= 3 * len(SCALES)
-    return F.when(s.rlike(NUMBER) & short_enough, F.concat(minus, _cardinal(whole), decimals))
+    return F.when(s.rlike(NUMBER), F.concat(minus, _cardinal(whole), decimals))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexsieve.functions.text import PUNCTUATION, strip_punct, words
-from lexsieve.operators.terms import fits_broadcast, join_given_terms
+from lexsieve.operators.terms import fits_broadcast, join_given_terms, row_key
 
 # Fixed values of the method.
 BOOST, CAPS, NEGATION, ALPHA = 0.293, 0.733, -0.74, 15.0
@@ -177,7 +177,7 @@ def _least(df: DataFrame) -> DataFrame:
 
 def sentiment(
     df: DataFrame,
-    key: str,
+    key: str | None,
     col: str,
     lexicon: DataFrame,
     out: str = "sentiment",
@@ -188,7 +188,14 @@ def sentiment(
     ``lexicon`` has columns ``term`` (lower case) and ``valence``. Words are scored in
     place with their neighbours beside them and summed before the only shuffle, which
     carries one small row per document and map task.
+
+    ``key`` tells the rows apart and is never null. With None the rows are numbered and all
+    of them are given back, each with its own columns and ``out``.
     """
+    if key is None:
+        rows, number = row_key(df, None)
+        scores = sentiment(rows, number, col, lexicon, out, lists)
+        return rows.join(scores, number, "left").select(*[F.col(c) for c in df.columns if c != out], out)
     table = lexicon.groupBy("term").agg(F.max(F.col("valence").cast("double")).alias("valence"))
     small = fits_broadcast(table)
 

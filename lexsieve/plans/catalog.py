@@ -58,16 +58,9 @@ def _tokens(function: Callable[[str], Column], out: str, **where) -> Query:
     return query
 
 
-def _clean(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents without punctuation, other scripts and digits."""
-    clean = fn.strip_digits(fn.strip_non_ascii(fn.strip_punct("text")))
-    return texts(spark, folder).select("doc_id", clean.alias("text"))
-
-
 def _common_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of the cleaned documents seen 20 times or more, as a table: (word, freq)."""
-    counts = term_counts(_clean(spark, folder), fn.tokenize("text"))
-    common = counts.filter("n >= 20 and length(term) >= 4")
+    """Tokens of the documents seen 20 times or more, as a table: (word, freq)."""
+    common = term_counts(texts(spark, folder), fn.tokenize("text")).filter("n >= 20")
     return io.settle(common.select(F.col("term").alias("word"), F.col("n").alias("freq")))
 
 
@@ -82,12 +75,12 @@ def _joined(df: DataFrame, out: str) -> DataFrame:
 
 def lemmatize(spark: SparkSession, folder: str) -> DataFrame:
     words = _common_words(spark, folder)
-    return _joined(op.lemmatize_tokens(_clean(spark, folder), "doc_id", "text", words), "lemmas")
+    return _joined(op.lemmatize_tokens(texts(spark, folder), "doc_id", "text", words), "lemmas")
 
 
 def spell_correct(spark: SparkSession, folder: str) -> DataFrame:
     words = _common_words(spark, folder)
-    return _joined(op.spell_correct(_clean(spark, folder), "doc_id", "text", words), "corrected")
+    return _joined(op.spell_correct(texts(spark, folder), "doc_id", "text", words), "corrected")
 
 
 def translate(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,16 +91,35 @@ def translate(spark: SparkSession, folder: str) -> DataFrame:
     return _joined(op.translate_terms(documents, "doc_id", "text", glossary, "xx"), "translated")
 
 
-def sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    lexicon = _benchmark_terms(spark, folder).filter("length(term) > 1").select(
+def translate_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of conversations, which no single column tells apart."""
+    glossary = _benchmark_terms(spark, folder).select(
+        F.lit("xx").alias("lang"), "term", F.reverse("term").alias("target")
+    )
+    turns = table(spark, folder, "conversations")
+    found = op.translate_terms(turns, None, "text", glossary, "xx")
+    return found.select("conv_id", "turn", fn.join_tokens("translated").alias("translated"))
+
+
+def _lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    return _benchmark_terms(spark, folder).filter("length(term) > 1").select(
         "term", ((F.length("term") % 7) - 3.0).alias("valence")
     )
+
+
+def sentiment(spark: SparkSession, folder: str) -> DataFrame:
     scored = op.sentiment(
-        texts(spark, folder), "doc_id", "text", lexicon, lists=SENTIMENT_LISTS
+        texts(spark, folder), "doc_id", "text", _lexicon(spark, folder), lists=SENTIMENT_LISTS
     )
     return scored.select("doc_id", "sentiment.*")
 
 
+def sentiment_of_turns(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    scored = op.sentiment(turns, None, "text", _lexicon(spark, folder), lists=SENTIMENT_LISTS)
+    return scored.select("conv_id", "turn", "sentiment.*")
+
+
 def normalized(spark: SparkSession, folder: str) -> DataFrame:
     stages = normalize(
         texts(spark, folder), "doc_id", "text", lemmas=_common_words(spark, folder)
@@ -274,6 +286,7 @@ QUERIES: dict[str, Query] = {
         fn.format_date, "formatted", name="orders", key="o_orderkey", col="o_orderdate"
     ),
     "translate_terms": translate,
+    "translate_turns": translate_turns,
     "average_word_length": _text(lambda c: F.round(fn.avg_word_length(c), 9), "average"),
     "word_count": _text(fn.word_count, "words"),
     "character_count": _text(fn.char_count, "characters"),
@@ -294,6 +307,7 @@ QUERIES: dict[str, Query] = {
     "hashed_tfidf": hashed_tfidf,
     "doc_terms": doc_terms,
     "sentiment": sentiment,
+    "sentiment_of_turns": sentiment_of_turns,
     "json_scan": json_scan,
     "json_column": json_column,
     "sql_view": sql_view,

@@ -25,12 +25,18 @@ def read_json(
     return read(spark, "json", schema, path, multiLine=str(array).lower())
 
 
-def parse_json(df: DataFrame, col: str, schema: StructType | str) -> DataFrame:
+def parse_json(
+    df: DataFrame, col: str, schema: StructType | str, corrupt: str | None = None
+) -> DataFrame:
     """Rows of a column of JSON texts; a text that is an array gives a row for each
-    element, and a broken text none."""
+    element, an empty array none. A null text and one that cannot be read give a row of
+    nulls; with ``corrupt`` a column of that name has the text that could not be read."""
     row = schema.simpleString() if isinstance(schema, StructType) else f"struct<{schema}>"
-    as_array = F.from_json(F.col(col), f"array<{row}>")
-    return df.select(F.explode(as_array).alias("row")).filter("row is not null").select("row.*")
+    parsed = F.from_json(F.col(col), f"array<{row}>")
+    # One null element stands for a text without a reading.
+    elements = F.coalesce(parsed, F.array(F.lit(None).cast(row)))
+    rows = df.select(F.explode(elements).alias("row"), F.when(parsed.isNull(), F.col(col)).alias("text"))
+    return rows.select("row.*", *([F.col("text").alias(corrupt)] if corrupt else []))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

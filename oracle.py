@@ -146,10 +146,7 @@ FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
 
 # ---- lemmas, spelling, translation ----------------------------------------
 
-COMMON = (
-    f"SELECT w AS word, count(*) AS freq FROM ({rows(CLEAN)}) "
-    "WHERE length(w) >= 4 GROUP BY w HAVING count(*) >= 20"
-)
+COMMON = f"SELECT w AS word, count(*) AS freq FROM ({rows()}) GROUP BY w HAVING count(*) >= 20"
 ENDINGS = ", ".join(f"('{f}', '{w}', {i})" for i, (f, w) in enumerate(NOUN_ENDINGS, 1))
 
 
@@ -166,7 +163,7 @@ def lemmas_of(terms: str) -> str:
 
 
 LEMMATIZE = f"""
-WITH r AS ({rows(CLEAN)}), words AS ({COMMON}),
+WITH r AS ({rows()}), words AS ({COMMON}),
 l AS ({lemmas_of('SELECT DISTINCT w FROM r')}),
 k AS (SELECT doc_id, pos, coalesce(lemma, w) AS w FROM r LEFT JOIN l ON r.w = l.term)
 {rebuilt('SELECT * FROM k WHERE length(w) >= 3', 'lemmas')}"""
@@ -194,15 +191,18 @@ SHORTER = (
     "unnest(list_distinct(list_concat([w], list_transform(range(1, length(w) + 1), "
     "lambda i: left(w, i - 1) || substring(w, i + 1)))))"
 )
+# Words that share a form are one edit apart if one is longer by a character, or if they differ
+# in one place: the database's own distance counts bytes.
 SPELL = f"""
-WITH r AS ({rows(CLEAN)}), words AS ({COMMON}),
+WITH r AS ({rows()}), words AS ({COMMON}),
 unknown AS (SELECT DISTINCT w FROM r WHERE regexp_matches(w, '\\p{{L}}')
             AND w NOT IN (SELECT word FROM words)),
 u AS (SELECT w, {SHORTER} AS form FROM unknown),
 v AS (SELECT w AS word, freq, {SHORTER} AS form FROM (SELECT word AS w, freq FROM words)),
-pairs AS (SELECT DISTINCT u.w, v.word, v.freq, levenshtein(u.w, v.word) AS d
-          FROM u JOIN v USING (form) WHERE levenshtein(u.w, v.word) <= 1),
-best AS (SELECT w, word FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY d, freq DESC, word) AS rn
+pairs AS (SELECT DISTINCT u.w, v.word, v.freq FROM u JOIN v USING (form)
+          WHERE length(u.w) <> length(v.word) OR len(list_filter(range(1, length(u.w) + 1),
+                lambda i: substring(u.w, i, 1) <> substring(v.word, i, 1))) = 1),
+best AS (SELECT w, word FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY freq DESC, word) AS rn
          FROM pairs) WHERE rn = 1),
 k AS (SELECT doc_id, pos, coalesce(word, r.w) AS w FROM r LEFT JOIN best ON r.w = best.w)
 {rebuilt('SELECT * FROM k', 'corrected')}"""
@@ -396,6 +396,14 @@ SELECT doc_id, coalesce(round(down / nullif(up + down + flat, 0), 3), 0.0) AS ne
   coalesce(round(up / nullif(up + down + flat, 0), 3), 0.0) AS pos,
   round(t / sqrt(t * t + 15), 4) AS compound FROM e""".replace("sgn(v)", "(CASE WHEN v < 0 THEN -1 ELSE 1 END)")
 
+
+def of_turns(query: str, *outputs: str) -> str:
+    """A query of documents for the turns of conversations, numbered."""
+    return f"""WITH turns AS MATERIALIZED (SELECT row_number() OVER () AS doc_id, * FROM conversations)
+SELECT conv_id, turn, {", ".join(outputs)}
+FROM turns JOIN ({query.replace("FROM documents", "FROM turns")}) USING (doc_id)"""
+
+
 # ---- all ---------------------------------------------------------------------
 
 SIZES = "try_cast(regexp_extract(p_size::VARCHAR, '^[+-]?[0-9]+') AS INTEGER)"
@@ -427,6 +435,7 @@ ORACLE: dict[str, str] = {
     ),
     "date_to_string": scalar("strftime(o_orderdate, '%d-%m-%Y')", "formatted", "orders", "o_orderkey"),
     "translate_terms": TRANSLATE,
+    "translate_turns": of_turns(TRANSLATE, "translated"),
     "average_word_length": scalar(
         f"round(length(regexp_replace(text, '{SPACE}+', '', 'g'))::DOUBLE / nullif(len(list_filter("
         f"regexp_split_to_array(text, '{SPACE}+'), lambda w: w <> '')), 0), 9)",
@@ -462,6 +471,7 @@ ORACLE: dict[str, str] = {
     "hashed_tfidf": HASHED_TFIDF,
     "doc_terms": DOC_TERMS,
     "sentiment": SENTIMENT,
+    "sentiment_of_turns": of_turns(SENTIMENT, "neg", "neu", "pos", "compound"),
     "json_scan": CUSTOMER,
     "json_column": "SELECT (props::JSON ->> 'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",
     "sql_view": "SELECT n_name FROM nation",

@@ -152,7 +152,9 @@ def test_number_to_words(spark):
      ("1234", "one thousand, two hundred and thirty-four"), ("4.50", "four point five"), ("4.0", "four"),
      (" 7 ", "seven"), ("-0.05", "minus zero point zero five"), ("1e3", "one thousand"), (".5", "zero point five"),
      ("1.5E-3", "zero point zero zero one five"), ("12.5e1", "one hundred and twenty-five"), ("-0", "zero"),
-     ("1" + "0" * 303, "one centillion"), ("1" + "0" * 306, None), ("NaN", None), ("1-2", None), ("--1", None)],
+     ("1" + "0" * 303, "one centillion"), ("1" + "0" * 306, "one thousand centillion"),
+     ("1" + "0" * 606, "one centillion centillion"), ("1e1000", "ten novemvigintillion" + " centillion" * 3),
+     ("1E-1000", "zero point " + "zero " * 999 + "one"), ("1e100001", None), ("1e99999999999", None), ("NaN", None), ("1-2", None), ("--1", None)],
 )
 def test_number_text(spark, text, words):
     assert one(spark, text, "string", fn.number_to_words("v")) == words

@@ -137,3 +137,16 @@ def test_scores(spark, monkeypatch, bound, without):
         for value, exact, digits in zip(got[i], want, (3, 3, 3, 4)):
             assert value == pytest.approx(exact, abs=0.5001 * 10**-digits), (text, got[i], want)
     assert re.fullmatch("[a-z ]+", " ".join(IDIOMS))
+
+
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_rows_without_a_key(spark, monkeypatch, limit):
+    """Equal rows, rows under one id and null ids are scored each for itself."""
+    monkeypatch.setattr(terms, "BROADCAST_BYTES", limit)
+    rows = [(1, "good"), (1, "bad"), (None, "good"), (None, "bad"), (1, "good"), (2, None)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    lexicon = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "term string, valence double")
+    got = op.sentiment(df, None, "text", lexicon)
+    assert got.columns == ["id", "text", "sentiment"]
+    found = sorted(str((r.id, r.text, r.sentiment and r.sentiment.compound > 0)) for r in got.collect())
+    assert found == sorted(str((i, t, t and t == "good")) for i, t in rows)

@@ -38,7 +38,12 @@ def test_json_files(spark, tmp_path):
 def test_json_column(spark):
     texts = ['[{"a": 1}, {"a": 2}]', '{"a": 3}', "broken", None]
     df = spark.createDataFrame([(t,) for t in texts], "j string")
-    assert sorted(r.a for r in io.parse_json(df, "j", "a bigint").collect() if r.a is not None) == [1, 2, 3]
+    got = [(r.a, r.bad) for r in io.parse_json(df, "j", "a bigint", corrupt="bad").collect()]
+    assert got == [(1, None), (2, None), (3, None), (None, "broken"), (None, None)]
+    assert io.parse_json(df, "j", "a bigint").columns == ["a"]
+    more = spark.createDataFrame([("[]",), ("[null, {\"a\": 1}]",), ("",), ('{"a": 1',)], "j string")
+    rows = [(r.a, r.bad) for r in io.parse_json(more, "j", "a bigint", corrupt="bad").collect()]
+    assert rows == [(None, None), (1, None), (None, ""), (None, '{"a": 1')]
 
 
 def test_json_lines(df):
