@@ -17,28 +17,25 @@ def as_int(df: DataFrame, col: str) -> Column:
     return F.col(col).try_cast("int")
 
 
-def _short(df: DataFrame) -> Column:
-    """A row to compare by: long texts give way to their SHA-256 digest.
+def _short(df: DataFrame, name: str) -> Column:
+    """A value to compare by: a long text gives way to its SHA-256 digest.
 
     A digest is marked and longer than any text kept as it is, so the two cannot be
     confused. This spares the distinct count from shuffling whole documents.
     """
-
-    def part(name: str, kind) -> Column:
-        if not isinstance(kind, (StringType, BinaryType)):
-            return F.col(name)
-        digest = F.concat(F.lit("sha256:"), F.sha2(F.col(name).cast("binary"), 256))
-        if isinstance(kind, BinaryType):
-            digest = digest.cast("binary")
-        return F.when(F.octet_length(name) > 64, digest).otherwise(F.col(name)).alias(name)
-
-    return F.struct(*[part(f.name, f.dataType) for f in df.schema.fields])
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (StringType, BinaryType)):
+        return F.col(name)
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.col(name).cast("binary"), 256))
+    if isinstance(kind, BinaryType):
+        digest = digest.cast("binary")
+    return F.when(F.octet_length(name) > 64, digest).otherwise(F.col(name)).alias(name)
 
 
 def column_summary(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
     """One row: ``count`` of all rows, ``unique`` rows over all columns (rows with
     nulls count too), and ``maximum`` of the column as an integer."""
-    row = _short(df)
+    row = F.struct(*[_short(df, name) for name in df.columns])
     unique = F.approx_count_distinct(F.xxhash64(row)) if approx else F.count_distinct(row)
     return df.agg(
         F.count("*").alias("count"),
@@ -50,7 +47,7 @@ def column_summary(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
 def column_uniques(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """One row with the number of distinct non-null values of each column."""
     count = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(*[count(F.col(c)).alias(c) for c in cols])
+    return df.agg(*[count(_short(df, c)).alias(c) for c in cols])
 
 
 def group_info(df: DataFrame, key: str, value: str) -> DataFrame:

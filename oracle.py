@@ -2,12 +2,98 @@
 
 from __future__ import annotations
 
-from lexsieve.functions import numbers, stem
-from lexsieve.functions.stopwords import ENGLISH_STOP_WORDS
-from lexsieve.functions.text import PUNCTUATION
-from lexsieve.operators.lemmas import NOUN_ENDINGS
-from lexsieve.operators.sentiment import MARKED_WORD
-from lexsieve.plans.catalog import SENTIMENT_LISTS
+# Nothing here is taken from the library, so that a wrong value there shows.
+
+# ASCII punctuation.
+PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+
+# The English stop words of Spark ML.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s
+t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split()
+
+# Fixed values of Porter's stemmer. A word is a run of consonants, then vowels and consonants in turn;
+# y is a vowel after a consonant.
+MEASURE_OPEN = "^([^aeiou][^aeiouy]*[aeiouy]|[aeiou])[aeiou]*"
+HAS_VOWEL = "^([^aeiou][^aeiouy]*[aeiouy]|[aeiou])"
+POSITIVE = MEASURE_OPEN + "[^aeiou]"
+ABOVE_ONE = MEASURE_OPEN + "[^aeiou][^aeiouy]*[aeiouy][aeiou]*[^aeiou]"
+JUST_ONE = MEASURE_OPEN + "[^aeiou][^aeiouy]*([aeiouy][aeiou]*)?$"
+CONSONANT = "((^|[aeiou])y(yy)*|[^aeiouy]yy(yy)*|[^aeiouy])"
+ENDS_CONSONANT = CONSONANT + "$"
+SHORT_END = CONSONANT + "[aeiouy][^aeiouwxy]$|^[aeiou][^aeiou]$"
+DOUBLE_SUFFIXES = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble",
+    "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate",
+    "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al",
+    "iviti": "ive", "biliti": "ble", "fulli": "ful",
+}
+ADJECTIVE_SUFFIXES = {
+    "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": "",
+}
+LAST_SUFFIXES = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize".split()
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+    "exceed": "exceed", "succeed": "succeed",
+}
+
+# Noun endings and those of the base form.
+NOUN_ENDINGS = {
+    "s": "", "ses": "s", "ves": "f", "xes": "x", "zes": "z", "ches": "ch", "shes": "sh", "men": "man",
+    "ies": "y",
+}
+
+# English number names.
+SMALL = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
+    "sixteen seventeen eighteen nineteen"
+).split()
+ROUND_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+BELOW_HUNDRED = [
+    SMALL[n] if n < 20 else ROUND_TENS[n // 10 - 2] + ("-" + SMALL[n % 10] if n % 10 else "") for n in range(100)
+]
+GROUP_NAMES = ["", " thousand", " million", " billion"]
+
+# Fixed values of the sentiment rules, with the words that the query adds.
+NEGATIONS = """
+aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't didn't doesn't
+dont hadnt hasnt havent isnt mightnt mustnt neither don't hadn't hasn't haven't isn't mightn't
+mustn't neednt needn't never none nope nor not nothing nowhere oughtnt shant shouldnt uhuh wasnt
+werent oughtn't shan't shouldn't uh-uh wasn't weren't without wont wouldnt won't wouldn't rarely
+seldom despite nicht pas no
+""".split()
+STRONGER = """
+absolutely amazingly awfully completely considerably decidedly deeply effing enormously entirely
+especially exceptionally extremely fabulously flipping flippin fricking frickin frigging friggin
+fully fucking greatly hella highly hugely incredibly intensely majorly more most particularly purely
+quite really remarkably so substantially thoroughly totally tremendously uber unbelievably unusually
+utterly very this der une
+""".split()
+WEAKER = """
+almost barely hardly kinda kindof kind-of less little marginally occasionally partly scarcely slightly
+somewhat sorta sortof sort-of from sich por
+""".split()
+WEAKER_PAIRS = ["just enough", "kind of", "sort of"]
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "cut the mustard": 2.0,
+    "kiss of death": -1.5, "hand to mouth": -2.0,
+}
+# A word of two characters or more without punctuation, and one mark at one end.
+ONE_MARK = r"""([.!?,;:'"-]|!!|!!!|\?\?|\?\?\?|\?!\?|!\?!|\?!\?!|!\?!\?)"""
+BARE = r"[^!-/:-@\[-`{-~]{2,}"
+MARKED_WORD = f"^({ONE_MARK}{BARE}|{BARE}{ONE_MARK})$"
 
 
 def quote(text: str) -> str:
@@ -20,7 +106,7 @@ def in_list(words) -> str:
 
 P = quote(PUNCTUATION)
 SPACE = r"[\t-\r\x1C-\x20\x{85}\p{Z}]"
-STOP = in_list(ENGLISH_STOP_WORDS)
+STOP = in_list(STOP_WORDS)
 CLEAN = (
     f"regexp_replace(regexp_replace(translate(text, {P}, ''), '[^\\x00-\\x7F]', '', 'g'), "
     "'\\p{Nd}+', '', 'g')"
@@ -89,39 +175,39 @@ def swaps(table, shape: str) -> list[tuple[str, str, str]]:
 def stem_steps() -> list[str]:
     """The stemmer as one expression of ``w`` per step; a cut -ed or -ing is marked by a
     space at the end, which tokens never hold."""
-    short = f"regexp_matches(s, {quote(stem.SHORT_END_EXTENDED)})"
+    short = f"regexp_matches(s, {quote(SHORT_END)})"
     mend = f"""CASE WHEN NOT ends_with(w, ' ') THEN w ELSE (SELECT CASE
         WHEN right(s, 2) IN ('at', 'bl', 'iz') THEN s || 'e'
         WHEN length(s) > 1 AND right(s, 1) = left(right(s, 2), 1)
-             AND regexp_matches(s, {quote(stem.ENDS_CONSONANT)})
+             AND regexp_matches(s, {quote(ENDS_CONSONANT)})
         THEN CASE WHEN right(s, 1) IN ('l', 's', 'z') THEN s
                   ELSE substring(s, 1, length(s) - 1) END
-        WHEN regexp_matches(s, {quote(stem.JUST_ONE)}) AND ({short}) THEN s || 'e'
+        WHEN regexp_matches(s, {quote(JUST_ONE)}) AND ({short}) THEN s || 'e'
         ELSE s END FROM (SELECT rtrim(w) AS s)) END"""
     final_e = (
-        f"{fits(1, stem.ABOVE_ONE)} OR ({fits(1, stem.JUST_ONE)} "
-        f"AND NOT {fits(1, stem.SHORT_END_EXTENDED)})"
+        f"{fits(1, ABOVE_ONE)} OR ({fits(1, JUST_ONE)} "
+        f"AND NOT {fits(1, SHORT_END)})"
     )
     return [
         f"""CASE WHEN ends_with(w, 'sses') THEN {cut(2)}
             WHEN ends_with(w, 'ies') THEN CASE WHEN length(w) = 4 THEN {cut(1)} ELSE {cut(2)} END
             WHEN ends_with(w, 'ss') THEN w WHEN ends_with(w, 's') THEN {cut(1)} ELSE w END""",
         f"""CASE WHEN ends_with(w, 'ied') THEN CASE WHEN length(w) = 4 THEN {cut(1)} ELSE {cut(2)} END
-            WHEN ends_with(w, 'eed') THEN CASE WHEN {fits(3, stem.POSITIVE)} THEN {cut(1)} ELSE w END
-            WHEN ends_with(w, 'ed') THEN CASE WHEN {fits(2, stem.HAS_VOWEL)} THEN {cut(2)} || ' ' ELSE w END
-            WHEN ends_with(w, 'ing') THEN CASE WHEN {fits(3, stem.HAS_VOWEL)} THEN {cut(3)} || ' ' ELSE w END
+            WHEN ends_with(w, 'eed') THEN CASE WHEN {fits(3, POSITIVE)} THEN {cut(1)} ELSE w END
+            WHEN ends_with(w, 'ed') THEN CASE WHEN {fits(2, HAS_VOWEL)} THEN {cut(2)} || ' ' ELSE w END
+            WHEN ends_with(w, 'ing') THEN CASE WHEN {fits(3, HAS_VOWEL)} THEN {cut(3)} || ' ' ELSE w END
             ELSE w END""",
         mend,
-        suffix_case([("y", f"{cut(1)} || 'i'", f"length(w) > 2 AND {fits(1, stem.ENDS_CONSONANT)}")]),
-        suffix_case(swaps([("alli", "al")], stem.POSITIVE)),
-        suffix_case(swaps(stem.STEP_2_EXTENDED, stem.POSITIVE) + [("logi", cut(1), fits(3, stem.POSITIVE))]),
-        suffix_case(swaps(stem.STEP_3, stem.POSITIVE)),
+        suffix_case([("y", f"{cut(1)} || 'i'", f"length(w) > 2 AND {fits(1, ENDS_CONSONANT)}")]),
+        suffix_case(swaps([("alli", "al")], POSITIVE)),
+        suffix_case(swaps(DOUBLE_SUFFIXES.items(), POSITIVE) + [("logi", cut(1), fits(3, POSITIVE))]),
+        suffix_case(swaps(ADJECTIVE_SUFFIXES.items(), POSITIVE)),
         suffix_case(
-            swaps([(s, "") for s in stem.STEP_4], stem.ABOVE_ONE)
-            + [("ion", cut(3), f"{fits(3, '[st]$')} AND {fits(3, stem.ABOVE_ONE)}")]
+            swaps([(s, "") for s in LAST_SUFFIXES], ABOVE_ONE)
+            + [("ion", cut(3), f"{fits(3, '[st]$')} AND {fits(3, ABOVE_ONE)}")]
         ),
         suffix_case([("e", cut(1), final_e)]),
-        suffix_case([("ll", cut(1), fits(1, stem.ABOVE_ONE))]),
+        suffix_case([("ll", cut(1), fits(1, ABOVE_ONE))]),
     ]
 
 
@@ -130,7 +216,7 @@ def stems_of(terms: str) -> str:
     inner = f"SELECT w AS term, w FROM ({terms})"
     for step in stem_steps():
         inner = f"SELECT term, {step} AS w FROM ({inner})"
-    irregular = " ".join(f"WHEN term = '{w}' THEN '{f}'" for w, f in stem.IRREGULAR.items())
+    irregular = " ".join(f"WHEN term = '{w}' THEN '{f}'" for w, f in IRREGULAR.items())
     return (
         f"SELECT term, CASE WHEN length(term) <= 2 THEN term {irregular} ELSE w END AS stem "
         f"FROM ({inner})"
@@ -147,7 +233,7 @@ FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
 # ---- lemmas, spelling, translation ----------------------------------------
 
 COMMON = f"SELECT w AS word, count(*) AS freq FROM ({rows()}) GROUP BY w HAVING count(*) >= 20"
-ENDINGS = ", ".join(f"('{f}', '{w}', {i})" for i, (f, w) in enumerate(NOUN_ENDINGS, 1))
+ENDINGS = ", ".join(f"('{f}', '{w}', {i})" for i, (f, w) in enumerate(NOUN_ENDINGS.items(), 1))
 
 
 def lemmas_of(terms: str) -> str:
@@ -290,8 +376,8 @@ GROUP BY d.doc_id"""
 
 # ---- numbers ---------------------------------------------------------------
 
-HUNDRED = "[" + ", ".join(quote(w) for w in numbers.BELOW_HUNDRED) + "]"
-SCALE = "[" + ", ".join(quote(s) for s in numbers.SCALES[:7]) + "]"
+HUNDRED = "[" + ", ".join(quote(w) for w in BELOW_HUNDRED) + "]"
+SCALE = "[" + ", ".join(quote(s) for s in GROUP_NAMES) + "]"
 
 
 def below_thousand(v: str) -> str:
@@ -327,8 +413,8 @@ FROM orders"""
 
 # ---- sentiment --------------------------------------------------------------
 
-NEGATIVE = f"(lower(%s) IN {in_list(SENTIMENT_LISTS.negations)} OR contains(lower(%s), 'n''t'))"
-STRONG, WEAK = in_list(SENTIMENT_LISTS.stronger), in_list(SENTIMENT_LISTS.weaker)
+NEGATIVE = f"(lower(%s) IN {in_list(NEGATIONS)} OR contains(lower(%s), 'n''t'))"
+STRONG, WEAK = in_list(STRONGER), in_list(WEAKER)
 
 
 def shouts(w: str) -> str:
@@ -336,8 +422,7 @@ def shouts(w: str) -> str:
 
 
 def boosted(i: int) -> str:
-    """Valence ``v`` after the word ``i`` places before has had its effect (no set
-    phrases: the documents hold none)."""
+    """Valence ``v`` after the word ``i`` places before has had its effect."""
     w, fade = f"w{i}", {1: 1.0, 2: 0.95, 3: 0.9}[i]
     scalar_ = (
         f"(CASE WHEN lower({w}) IN {STRONG} THEN sgn(v) * 0.293 WHEN lower({w}) IN {WEAK} "
@@ -357,6 +442,16 @@ def boosted(i: int) -> str:
     )
 
 
+def idiom(*words: str) -> str:
+    phrase = " || ' ' || ".join(words)
+    return f"CASE {phrase} " + " ".join(f"WHEN {quote(p)} THEN {v}" for p, v in IDIOMS.items()) + " END"
+
+
+PHRASES = f"""CASE WHEN i > 3 AND v3 IS NULL THEN coalesce({idiom("w0", "n1", "n2")}, {idiom("w0", "n1")},
+  {idiom("w1", "w0")}, {idiom("w2", "w1", "w0")}, {idiom("w2", "w1")}, {idiom("w3", "w2", "w1")},
+  {idiom("w3", "w2")}, v)::DOUBLE - CASE WHEN w3 || ' ' || w2 IN {in_list(WEAKER_PAIRS)}
+  OR w2 || ' ' || w1 IN {in_list(WEAKER_PAIRS)} THEN 0.293::DOUBLE ELSE 0 END ELSE v END"""
+
 SENTIMENT = f"""
 WITH lex AS (SELECT w, ((length(w) % 7) - 3.0)::DOUBLE AS valence FROM ({BENCHMARK_TERMS}) WHERE length(w) > 1),
 p AS (SELECT doc_id, text, list_transform(list_filter(regexp_split_to_array(text, '{SPACE}+'),
@@ -370,7 +465,7 @@ d AS (SELECT doc_id, a, len(a) AS n, len(list_filter(a, lambda w: {shouts('w')})
              THEN (length(text) - length(replace(text, '?', ''))) * 0.18::DOUBLE ELSE 0.96 END AS emph FROM p),
 w AS (SELECT doc_id, loud > 0 AND loud < n AS mixed, but, generate_subscripts(a, 1) AS i, unnest(a) AS w0 FROM d),
 x AS (SELECT *, lag(w0, 1) OVER o AS w1, lag(w0, 2) OVER o AS w2, lag(w0, 3) OVER o AS w3,
-        lead(w0, 1) OVER o AS n1 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        lead(w0, 1) OVER o AS n1, lead(w0, 2) OVER o AS n2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 y AS (SELECT x.*, l1.valence AS v1, l2.valence AS v2, l3.valence AS v3,
         l0.valence + CASE WHEN {shouts('w0')} AND mixed THEN CASE WHEN l0.valence > 0 THEN 0.733 ELSE -0.733 END
                      ELSE 0 END::DOUBLE AS v
@@ -382,7 +477,8 @@ z1 AS (SELECT * REPLACE ({boosted(1)} AS v) FROM y),
 z2 AS (SELECT * REPLACE ({boosted(2)} AS v) FROM z1),
 z3 AS (SELECT * REPLACE ({boosted(3)} AS v) FROM z2),
 z4 AS (SELECT * REPLACE (CASE WHEN lower(w1) = 'least' AND v1 IS NULL
-         AND coalesce(lower(w2) NOT IN ('at', 'very'), true) THEN v * -0.74 ELSE v END AS v) FROM z3),
+         AND coalesce(lower(w2) NOT IN ('at', 'very'), true) THEN v * -0.74 ELSE v END AS v)
+       FROM (SELECT * REPLACE ({PHRASES} AS v) FROM z3)),
 z5 AS (SELECT doc_id, v * CASE WHEN but > 0 AND i < but THEN 0.5 WHEN but > 0 AND i > but THEN 1.5
          ELSE 1 END::DOUBLE AS v FROM z4),
 s AS (SELECT doc_id, sum(v) AS t, sum(v + 1) FILTER (v > 0) AS up, sum(1 - v) FILTER (v < 0) AS down,

@@ -236,7 +236,9 @@ def test_column_summary(spark):
     assert op.column_summary(df, "n").first().maximum == 2
     assert op.column_summary(df, "c", approx=True).first().unique == 8
     assert op.column_summary(df.filter("c = 'Rwanda'"), "c").first().maximum is None
-    assert op.column_uniques(df, ["c", "n"]).first().asDict() == {"c": 7, "n": 2}
+    uniques = op.column_uniques(df, ["c", "n"])
+    assert uniques.first().asDict() == {"c": 7, "n": 2}
+    assert "sha2" in uniques._jdf.queryExecution().executedPlan().toString()
 
 
 def test_groups(spark):
