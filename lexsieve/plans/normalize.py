@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexsieve.functions.stem import stem_tokens
 from lexsieve.functions.text import strip_digits, strip_non_ascii, strip_punct
 from lexsieve.functions.tokens import remove_stop_words, tokenize
 from lexsieve.operators.lemmas import lemmatize_tokens
+from lexsieve.operators.terms import ROW
+from lexsieve.sources.shared import settle
 
 STAGES = ("no_punct", "ascii", "no_digits", "tokens", "no_stop", "stems", "lemmas")
 
@@ -29,7 +32,10 @@ def normalize(
     without digits, ``tokens``, ``no_stop`` without stop words, ``stems`` and ``lemmas``
     (if a dictionary is given), the last two with ``min_len`` characters or more.
 
-    All stages up to ``stems`` are one pass without a shuffle.
+    All stages up to ``stems`` are one pass without a shuffle. For lemmas the stems, the
+    dearest stage, are settled with their texts, and only these and the changes are
+    shuffled by a row number; the stages before are made from the text after that. ``key``
+    is carried along: it may repeat or be null.
     """
     if stages is None:
         stages = STAGES if lemmas is not None else STAGES[:-1]
@@ -38,14 +44,22 @@ def normalize(
         raise ValueError(f"unknown stages: {sorted(unknown)}")
     if "lemmas" in stages and lemmas is None:
         raise ValueError("the lemmas stage needs a dictionary")
-    made = (
-        df.select(key, strip_punct(col).alias("no_punct"))
-        .withColumn("ascii", strip_non_ascii("no_punct"))
-        .withColumn("no_digits", strip_digits("ascii"))
-        .withColumn("tokens", tokenize("no_digits"))
-        .withColumn("no_stop", remove_stop_words("tokens", stop_words))
-        .withColumn("stems", stem_tokens("no_stop", min_len))
-    )
+
+    def words_of(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("no_punct", strip_punct("_text"))
+            .withColumn("ascii", strip_non_ascii("no_punct"))
+            .withColumn("no_digits", strip_digits("ascii"))
+            .withColumn("tokens", tokenize("no_digits"))
+            .withColumn("no_stop", remove_stop_words("tokens", stop_words))
+        )
+
+    rows = df.select(key, F.col(col).alias("_text"))
+    made = words_of(rows).withColumn("stems", stem_tokens("no_stop", min_len))
     if "lemmas" in stages:
-        made = lemmatize_tokens(made, key, "stems", lemmas, min_len)
+        earlier = set(stages) - {"stems", "lemmas"}
+        text = ["_text"] if earlier else []
+        stemmed = settle(made.select(key, *text, "stems", F.monotonically_increasing_id().alias(ROW)))
+        patched = lemmatize_tokens(stemmed, ROW, "stems", lemmas, min_len)
+        made = words_of(patched) if earlier else patched
     return made.select(key, *[s for s in STAGES if s in stages])

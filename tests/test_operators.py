@@ -222,6 +222,12 @@ def test_normalize(spark, docs):
     assert row.no_stop == ["cats", "", "boxes", "nave", "dogs"]
     assert row.stems == ["cat", "box", "nave", "dog"] and row.lemmas == ["cat", "box", "nave", "dog"]
     assert normalize(df, "id", "text", ["tokens"]).columns == ["id", "tokens"]
+    twice = spark.createDataFrame([(1, "cats"), (1, "dogs"), (None, "boxes cats"), (None, None)], "id bigint, text string")
+    found = normalize(twice, "id", "text", ["stems", "lemmas"], lemmas, min_len=0)
+    assert found.columns == ["id", "stems", "lemmas"]
+    assert sorted(str((r.id, r.lemmas)) for r in found.collect()) == [
+        "(1, ['cat'])", "(1, ['dog'])", "(None, None)", "(None, ['box', 'cat'])"
+    ]
     with pytest.raises(ValueError):
         normalize(df, "id", "text", ["lemmas"])
     with pytest.raises(ValueError):

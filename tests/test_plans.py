@@ -37,6 +37,20 @@ def test_normalize_is_one_pass(documents):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
 
 
+def test_normalize_with_lemmas_stems_once(spark, documents):
+    """The stems are read, not made again, and no stage made from them is shuffled."""
+    lemmas = spark.createDataFrame([("cat",)], "word string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(normalize(documents, "doc_id", "text", lemmas=lemmas))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "documents.parquet" not in text and "ational" not in text
+    assert len(re.findall(r"Exchange hashpartitioning\(_row", text)) == 2
+    below = text[text.index("SortMergeJoin"):]
+    assert "no_stop" not in below and "no_punct" not in below
+
+
 def test_text_functions_compile_and_prune(documents):
     text = plan(
         documents.filter(F.col("lang") == "en").select(
