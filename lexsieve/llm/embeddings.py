@@ -6,9 +6,11 @@ it. Adjacency lists of a vector from all its shards are united. A search starts
 medoid, goes greedily to the nearest vectors, and from the first one in range goes on through
 all that are in range. Links are verified by the exact cosine, and recall is audited.
 
-A vector joins every shard whose border is near to it, measured against how far two linked
-vectors can be apart in the direction of that border, so that the two ends of a link are both in
-the home shard of either, and the link can be found from either side.
+A vector joins every shard whose border is near to it. If both ends of a link were farther from the
+border between their homes than half of how far apart they are across it, they would be farther
+apart than they are; so with that margin one end joins the home of the other, at every level. Half the
+greatest distance of two linked vectors is therefore certain. Where that would cut nothing, each
+border has a margin of its own, measured on true links of the same group.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from lexsieve.sources.shared import settle
 OUTPUTS = ["n_links", "component_id", "kept"]
 # Vectors of a group that one task compares with the group's centres at a time.
 CHUNK = 4_000
+# Vectors of a group whose links are looked for to measure margins; with fewer links than FEW_LINKS
+# nothing is measured.
+SAMPLE, FEW_LINKS, MOST_LINKS = 2_048, 30, 512
 
 
 def valid(vector: Column) -> Column:
@@ -45,14 +50,34 @@ def _stack(column: pd.Series) -> np.ndarray:
     return unit(np.array([np.asarray(v, float) for v in column]))
 
 
-def borders(vectors: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home, member): the nearest centre of each vector, and a matrix of the centres whose cell
-    is no farther than ``reach``: the distance to the plane between two centres bounds it."""
+def margins(centres: np.ndarray, links: np.ndarray, least: float, margin: float | None) -> np.ndarray:
+    """How near a vector must be to the border of each two centres to join both cells.
+
+    Half the greatest distance of two linked vectors is certain. With ``margin``, and if there are
+    links enough (rows of differences), it is ``margin`` times half the widest extent of any of them across
+    the border, and the certain one at most.
+    """
+    certain = np.full((len(centres),) * 2, np.sqrt(2 - 2 * least) / 2)
+    if margin is None or len(links) < FEW_LINKS:
+        return certain
+    along, wide = links @ centres.T, np.zeros_like(certain)
+    for i in range(len(centres)):
+        wide[i] = np.abs(along - along[:, [i]]).max(0)
+    return np.minimum(certain, margin * wide / (2 * _apart(centres)))
+
+
+def _apart(centres: np.ndarray) -> np.ndarray:
+    squared = (centres**2).sum(1)
+    return np.sqrt(np.maximum(squared[:, None] + squared[None, :] - 2 * centres @ centres.T, 1e-12))
+
+
+def borders(vectors: np.ndarray, centres: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Matrix of the cells that each vector joins: that of its nearest centre, and those whose plane
+    between that and their own centre is no farther than ``reach`` of the two."""
     squared = ((vectors**2).sum(1)[:, None] - 2 * vectors @ centres.T) + (centres**2).sum(1)[None, :]
     home = squared.argmin(1)
-    apart = np.sqrt(np.maximum(((centres[home][:, None, :] - centres[None, :, :]) ** 2).sum(2), 1e-300))
-    depth = (squared - squared.min(1, keepdims=True)) / (2 * apart)
-    return home, depth <= reach + 1e-9
+    depth = (squared - squared.min(1, keepdims=True)) / (2 * _apart(centres)[home])
+    return depth <= reach[home] + 1e-9
 
 
 def robust_prune(
@@ -135,54 +160,112 @@ def range_search(
     return ids[scores >= least]
 
 
-def _overlap(centres: list, reach: float) -> float:
+def _overlap(centres: np.ndarray, reach: np.ndarray) -> float:
     """Expected share of a group's cells that a vector would join, from the centres themselves,
     each seen by the others."""
-    points, n = _stack(pd.Series([c["vec"] for c in centres])), len(centres)
-    if n < 4:
-        return 1.0
-    joined = [borders(points[[i]], np.delete(points, i, 0), reach)[1].sum() for i in range(n)]
+    n = len(centres)
+    joined = []
+    for i in range(n):
+        rest = np.delete(np.arange(n), i)
+        joined.append(borders(centres[[i]], centres[rest], reach[np.ix_(rest, rest)]).sum())
     return float(np.mean(joined)) / n
 
 
-def _split(df: DataFrame, kind: str, rows: int, reach: float, seed: int, most_centres: int = 256) -> DataFrame:
-    """Cut the groups of (rid, vec, home, grp) with more than twice ``rows`` members into
-    overlapping cells around sampled members, one level at a time.
+def _worth(centres: list, links: np.ndarray | None, least: float, margin: float | None) -> bool:
+    """Whether a cut at least halves the pairs: a share f of n cells each leaves n * f * f of them."""
+    if len(centres) < 4:
+        return False
+    points = _stack(pd.Series([c["vec"] for c in centres]))
+    share = _overlap(points, margins(points, _differences(links, points), least, margin))
+    return len(points) * share * share < 0.5
+
+
+def _differences(links: np.ndarray | None, centres: np.ndarray) -> np.ndarray:
+    return np.array([np.asarray(x, float) for x in ([] if links is None else links)]).reshape(-1, centres.shape[1])
+
+
+def _sampled_links(df: DataFrame, rows: int, least: float, seed: int) -> DataFrame:
+    """(root, links): the differences between sampled vectors of a group of more than twice ``rows``
+    and the farthest vector each is linked with, at most ``MOST_LINKS`` of a group."""
+    sizes = df.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * rows)
+    chance = F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    sized = df.join(sizes, "grp").withColumn("chunks", chunks)
+    members = sized.withColumn("chunk", F.pmod(F.xxhash64("rid"), "chunks").cast("int"))
+    asked = sized.filter(chance < SAMPLE / F.col("n")).select(
+        F.col("grp").alias("root"), F.col("rid").alias("own"), F.col("vec").alias("query"),
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"),
+    )
+
+    def farthest(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(there):
+            points, own = _stack(there["vec"]), there["rid"].to_numpy()
+            for i in range(0, len(asked), 256):
+                some = asked.iloc[i : i + 256]
+                queries = _stack(some["query"])
+                close = queries @ points.T
+                close[(close < least) | (some["own"].to_numpy()[:, None] == own[None, :])] = np.inf
+                at = close.argmin(1)
+                out += [
+                    (g, r, float(close[k, j]), (queries[k] - points[j]).tolist())
+                    for k, (g, r, j) in enumerate(zip(some["root"], some["own"], at, strict=True)) if close[k, j] < 2
+                ]
+        names = ["root", "rid", "cosine", "link"]
+        return pd.DataFrame({name: objects([x[i] for x in out]) for i, name in enumerate(names)})
+
+    found = asked.groupBy("root", "part").cogroup(members.groupBy("grp", "chunk")).applyInPandas(
+        farthest, "root string, rid string, cosine double, link array<double>"
+    )
+    each = found.groupBy("root", "rid").agg(F.min_by("link", "cosine").alias("link"))
+    return each.groupBy("root").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("rid").alias("h"), "link"))), 1, MOST_LINKS)["link"].alias("links")
+    )
+
+
+def _split(
+    df: DataFrame, kind: str, rows: int, least: float, margin: float | None, seed: int, most_centres: int
+) -> DataFrame:
+    """Cut the groups of (rid, vec, grp) with more than twice ``rows`` members into overlapping
+    cells around sampled members, one level at a time.
 
     A level has at most ``most_centres`` centres for a group, chosen by hash, so a deep corpus takes
-    more levels, not more centres. A group whose cells would overlap too much (a dense place) is
-    left whole, to the blocks of the search.
+    more levels, not more centres. A group that a cut would not relieve (a dense place) is left
+    whole, to the blocks of the search.
     """
 
-    @F.pandas_udf("double")
-    def overlap(centres: pd.Series) -> pd.Series:
-        return pd.Series([_overlap(list(c), reach) for c in centres])
+    @F.pandas_udf("boolean")
+    def worth(centres: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([_worth(list(c), x, least, margin) for c, x in zip(centres, links, strict=True)])
 
     def deal(group: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if not len(group) or not len(centres):
-            return pd.DataFrame(columns=["rid", "vec", "home", "grp"])
+            return pd.DataFrame(columns=["rid", "vec", "grp"])
         middle = _stack(pd.Series([c["vec"] for c in centres["centres"].iloc[0]]))
-        home, member = borders(_stack(group["vec"]), middle, reach)
-        row, cell = np.nonzero(member)
+        reach = margins(middle, _differences(centres["links"].iloc[0], middle), least, margin)
+        row, cell = np.nonzero(borders(_stack(group["vec"]), middle, reach))
         taken = group.iloc[row]
         return pd.DataFrame({
             "rid": objects(taken["rid"]), "vec": objects(taken["vec"]),
-            "home": taken["home"].to_numpy() & (home[row] == cell),
             "grp": objects([f"{g}/{c}" for g, c in zip(taken["grp"], cell, strict=True)]),
         })
 
+    sampled = None if margin is None else settle(_sampled_links(df, rows, least, seed))
+    # The label may have a slash, a cell's own number has none.
     done, level = None, 0
     while True:
         sizes = df.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * rows)
         wanted = F.least(F.ceil(3 * F.col("n") / rows), F.lit(most_centres))
         chance = F.pmod(F.xxhash64(F.lit(seed + level), "rid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        picked = settle(
-            df.join(sizes, "grp").filter(chance < 1.5 * wanted / F.col("n")).groupBy("grp", "n").agg(
-                F.sort_array(F.collect_list(F.struct(chance.alias("c"), "vec"))).alias("centres")
-            )
-            .withColumn("centres", F.slice("centres", F.lit(1), wanted.cast("int")))
-            .filter(overlap("centres") < 0.5)
-        )
+        chosen = df.join(sizes, "grp").filter(chance < 1.5 * wanted / F.col("n")).groupBy("grp", "n").agg(
+            F.sort_array(F.collect_list(F.struct(chance.alias("c"), "vec"))).alias("centres")
+        ).withColumn("centres", F.slice("centres", F.lit(1), wanted.cast("int")))
+        if sampled is None:
+            told = chosen.withColumn("links", F.lit(None).cast("array<array<double>>"))
+        else:
+            root = F.regexp_replace("grp", f"(/[0-9]+){{{level}}}$", "") if level else F.col("grp")
+            told = chosen.withColumn("root", root).join(sampled, "root", "left").drop("root")
+        picked = settle(told.filter(worth("centres", "links")))
         if picked.isEmpty():
             return df if done is None else done.unionByName(df)
         whole = df.join(picked.select("grp"), "grp", "left_anti")
@@ -193,17 +276,17 @@ def _split(df: DataFrame, kind: str, rows: int, reach: float, seed: int, most_ce
             "chunk", F.pmod(F.xxhash64("rid"), chunks).cast("int")
         ).drop("n")
         each = F.explode(F.sequence(F.lit(0), chunks - 1))
-        centres = picked.select("grp", "centres", each.alias("chunk"))
+        centres = picked.select("grp", "centres", "links", each.alias("chunk"))
         df = settle(members.groupBy("grp", "chunk").cogroup(centres.groupBy("grp", "chunk")).applyInPandas(
-            deal, f"rid string, vec array<{kind}>, home boolean, grp string"
+            deal, f"rid string, vec array<{kind}>, grp string"
         ))
         level += 1
 
 
 def near_vectors(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
-    least: float = 0.98, shard_rows: int = 400, spread: float = 1.5, degree: int = 16, alpha: float = 1.2,
-    block: int = 2_000, seed: int = 4,
+    least: float = 0.98, shard_rows: int = 400, margin: float | None = 1.25, degree: int = 16, alpha: float = 1.2,
+    block: int = 2_000, seed: int = 4, most_centres: int = 256,
 ) -> DataFrame:
     """All rows with ``n_links`` (other rows linked directly), ``component_id`` (least key
     reachable by links) and ``kept`` (key = component_id).
@@ -214,10 +297,11 @@ def near_vectors(
     large groups of copies cost nothing; their links are counted by multiplication. A null key
     is never a component_id while another key is reachable.
 
-    Two linked vectors are up to r = sqrt(2 - 2 * least) apart; in the direction of one border that is
-    about r / sqrt(dimensions), and ``spread`` times that is how near a border must be for a vector to
-    join the shard beyond it. A link is missed only if both ends are farther than that from the border
-    between their homes, on its two sides. :func:`audit_recall` measures what is found.
+    Two linked vectors are up to r = sqrt(2 - 2 * least) apart. With ``margin`` None a vector joins the
+    shard beyond every border that is r / 2 away or nearer, and no link is lost to a border. Otherwise a
+    border's margin is ``margin`` times half the widest extent across it of up to 512 true links
+    of the same label and length, r / 2 at most, and r / 2 where fewer than 30 were found: a link can be lost
+    only if it is wider across a border than all of those. :func:`audit_recall` measures what is found.
 
     Shards have about ``shard_rows`` vectors; where a dense place cannot be cut, its shard is searched
     in blocks of ``block`` vectors against one another, so a task stays bounded.
@@ -233,12 +317,8 @@ def near_vectors(
             F.first("label").alias("label"), F.first("vec").alias("vec"),
         )
     )
-    start = vectors.select(
-        "rid", "vec", F.lit(True).alias("home"), F.concat_ws(":", "label", F.size("vec")).alias("grp")
-    )
-    dimensions = vectors.agg(F.max(F.size("vec")).alias("n")).first()["n"] or 1
-    reach = min(1.0, spread / dimensions**0.5) * float(np.sqrt(2 - 2 * least))
-    shards = _split(start, kind, shard_rows, reach, seed)
+    start = vectors.select("rid", "vec", F.concat_ws(":", "label", F.size("vec")).alias("grp"))
+    shards = _split(start, kind, shard_rows, least, margin, seed, most_centres)
     sizes = shards.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     shards = settle(shards.join(sizes, "grp").withColumn("node", F.xxhash64("rid")).withColumn(
         "part", F.pmod("node", F.col("blocks")).cast("int")
@@ -253,11 +333,11 @@ def near_vectors(
     united = built.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = settle(shards.join(united, "rid"))
 
-    # Nodes of a block, and the home vectors of each block of the shard as queries.
+    # Nodes of a block, and the vectors of each block of the shard as queries.
     nodes = graph.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "grp", "part", "q", "rid", "node", "vec", "near", F.lit(True).alias("is_node")
     )
-    queries = graph.filter("home").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    queries = graph.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "grp", F.col("p").alias("part"), F.col("part").alias("q"), "rid", "node", "vec",
         F.array().cast("array<bigint>").alias("near"), F.lit(False).alias("is_node"),
     )

@@ -391,6 +391,46 @@ def test_near_vectors_against_brute_force(spark, rows):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def low_rank(random, n, inside, length):
+    """Pairs of linked vectors in a subspace: a cosine of 0.981 to 0.999."""
+    axes = np.linalg.qr(random.normal(size=(length, inside)))[0].T
+    base = random.normal(size=(n, inside))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = random.normal(size=(n, inside))
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    angle = random.uniform(0.05, 0.195, (n, 1))
+    return np.concatenate([base, np.cos(angle) * base + np.sin(angle) * aside]) @ axes
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_near_vectors_of_low_rank_over_two_levels(spark, mixed):
+    random = np.random.default_rng(8)
+    vectors = low_rank(random, 1_500, 6, 48 if mixed else 192)
+    data = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    if mixed:  # one long vector, which links with none
+        data.append((len(data), [1.0] * 6_400, 0))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    options = {"shard_rows": 100, "most_centres": 10}
+    levels = embeddings._split(
+        df.select(F.col("vec_id").cast("string").alias("rid"), F.col("embedding").alias("vec"), F.lit("0").alias("grp"))
+        .filter("size(vec) < 6400"), "double", 100, 0.98, 1.25, 4, 10,
+    )
+    assert levels.filter("grp like '%/%/%'").count()
+    result = embeddings.near_vectors(df, **options)
+    assert embeddings.audit_recall(df, result, every=1) >= 0.995
+
+
+def test_certain_margin_loses_no_link():
+    random = np.random.default_rng(9)
+    vectors = low_rank(random, 1_000, 5, 40)
+    centres = vectors[:30]
+    reach = embeddings.margins(centres, np.zeros((0, 40)), 0.98, None)
+    member = embeddings.borders(vectors, centres, reach)
+    left, right = member[:1_000], member[1_000:]
+    assert (left & right).any(1).all() and member.mean() < 0.5
+
+
 # Classifiers
 
 
