@@ -20,8 +20,8 @@ S = 2
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Array of (pos, hash): the closed syncmers of a text, in order of their first word.
 
-    A text of fewer than ``k`` words, but of any, has one anchor for all its words; an empty
-    or null text has none.
+    A text with words but without a closed syncmer (always below ``k`` words, never from
+    2k - s - 1 on) has one anchor for all its words; an empty or null text has none.
     """
     words = F.regexp_extract_all(code_points(text), F.lit(WORD), F.lit(0))
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -44,10 +44,10 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         whole = F.struct(F.lit(0).alias("pos"), F.aggregate(
             x, F.lit(0).cast("long"), lambda a, h: F.xxhash64(a, h)
         ).alias("hash"))
-        return (
-            F.when(n >= k, let(small, chosen))
-            .when(n > 0, F.array(whole))
-            .otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+        none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+        return let(
+            F.when(n >= k, let(small, chosen)).otherwise(none),
+            lambda found: F.when((F.size(found) == 0) & (n > 0), F.array(whole)).otherwise(found),
         )
 
     return let(hashes, of)

@@ -219,6 +219,19 @@ def test_anchors_are_closed_syncmers(spark):
     assert [a["pos"] for a in found] == want
 
 
+def test_every_text_with_words_has_an_anchor(spark):
+    random.seed(6)
+    rows = [(n, " ".join(random.choices("abcdefghij", k=n))) for n in range(11) for _ in range(60)]
+    df = spark.createDataFrame(rows, "n int, text string")
+    own = fingerprints.anchors(F.col("text"))
+    other = fingerprints.anchors(F.concat(F.col("text"), F.lit(" other"), F.repeat(F.lit(" words"), 9)))
+    unlike = fingerprints.anchors(F.regexp_replace("text", "[a-j]", "x$0"))
+    for r in df.select("n", F.size(own).alias("size"), fingerprints.likeness(own, own).alias("same"),
+                       fingerprints.likeness(own, unlike).alias("unlike"), F.size(other).alias("more")).collect():
+        assert (r["size"] > 0) == (r["n"] > 0) and r["more"] > 0
+        assert r["same"] == 1.0 and r["unlike"] == (0.0 if r["n"] else 1.0)
+
+
 # Chat
 
 
