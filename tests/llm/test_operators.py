@@ -266,6 +266,28 @@ def test_chat_nulls(spark):
     assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_of_one_long_conversation(spark):
+    random.seed(4)
+    n = 30_000  # examples as values would be some 10^11 characters
+    talk = [(None, i // 3, random.choice(["user", "assistant"]), f"<{random.random()}\\" * 20) for i in range(n)]
+    talk += [(None, n, "user", "same")] * 3_000 + [(1, 0, "user", "q"), (1, 1, "assistant", "a<")]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").repartition(4)
+    parts = chat.format_parts(df)
+    assert parts.filter("conv_id is null").select("range").distinct().count() > 1
+    read = chat.joined_in_order(
+        chat.read_parts(parts), whole=F.concat("role", F.lit("\n"), "text", F.lit("\n")), losses=F.col("loss")
+    )
+    found = {r["conv_id"]: r for r in read.collect()}
+    turns = sorted(talk[:-2], key=lambda t: t[1:])
+    lengths = itertools.accumulate(16 + len(r + t) + sum((r + t).count(x) for x in "<>\\") for *_, r, t in turns)
+    ends = [i for i, t in enumerate(turns) if t[2] == "assistant"] + [len(turns) - 1]
+    lengths = list(lengths)
+    assert found[None]["n_turns"] == len(turns) and found[None]["formatted_chars"] == sum(lengths[i] for i in ends)
+    assert found[None]["whole"] == "".join(f"{r}\n{t}\n" for *_, r, t in turns)
+    assert found[None]["losses"] == "".join(t for *_, r, t in turns if r == "assistant")
+    assert found[1]["losses"] == "a<" and found[1]["n_turns"] == 2
+
+
 # BPE
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
