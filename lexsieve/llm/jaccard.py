@@ -1,10 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest and exact verification.
-
-A text is the set of its runs of five words. Each tree of the forest sorts the texts by a
-sequence of min-hashes; texts that share a prefix of it are candidates. Matching begins with
-the whole sequence, and the prefix is shortened until pairs at the threshold are
-expected to be found with the target recall. Candidates that hang together form a
-cluster, and inside clusters all pairs are verified exactly, block by block.
+"""N-gram Jaccard join by MinHash banding and exact verification.
+
+A text is the set of its runs of five words. Each band (``trees`` of them) hashes a text's first
+``prefix_length`` min-hashes of its own; texts with an equal band are candidates. The length is worked
+out once: the longest at which pairs at the threshold are expected to be found with the target
+recall. No forest is built: prefixes are neither sorted nor deepened where they are crowded.
+Candidates that hang together form a cluster, and inside clusters all pairs are verified
+exactly, block by block.
 """
 
 from __future__ import annotations
