@@ -2,7 +2,7 @@
 
 Sizes are added up per source, repetition rates derived from the targets, and each
 document is taken floor(rate) times plus once more with a probability equal to the rest,
-decided by a hash of its id.
+decided by a hash of its id, its text and, of equal rows, its number.
 """
 
 from __future__ import annotations
@@ -78,12 +78,36 @@ def source_targets(
     return ranked.select(*SOURCE_KEY, "source_size", target.alias("target"))
 
 
-def draw(seed: int, key: Column) -> Column:
-    """A number from 0 to 1 that seed and key alone decide: 52 bits of a digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+def draw(seed: int, *parts: Column) -> Column:
+    """A number from 0 to 1 that seed and parts alone decide: 52 bits of a digest."""
+    told = [F.coalesce(part.cast("string"), F.lit("null")) for part in parts]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *told))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def _numbered(documents: DataFrame) -> DataFrame:
+    """Add ``nth``: a row's number, from 0, among the rows of its ``alike`` (id, text and source).
+
+    Only rows that have an equal are counted, in each partition of the input by itself, so rows
+    repeated ever so often are no task's burden; a partition's numbers start where those of the
+    partitions before it end. Which of equal rows has which number makes no difference.
+    """
+    documents = documents.withColumn("hash", F.xxhash64("alike"))
+    repeated = settle(documents.groupBy("hash").count().filter("count > 1").select("hash"))
+    if repeated.isEmpty():
+        return documents.drop("hash").withColumn("nth", F.lit(0).cast("long"))
+    single = documents.join(repeated, "hash", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    group = ["part", "alike"]
+    several = documents.withColumn("part", F.spark_partition_id()).join(repeated, "hash", "left_semi")
+    before = Window.partitionBy("alike").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = several.groupBy(*group).agg(F.count("*").alias("n")).select(
+        *group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    own = F.row_number().over(Window.partitionBy(*group).orderBy("hash")) - 1
+    counted = several.withColumn("own", own).join(starts, group).withColumn("nth", F.col("start") + F.col("own"))
+    return single.drop("hash").unionByName(counted.drop("hash", "part", "own", "start"))
+
+
 def mix(
     df: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -102,13 +126,17 @@ def mix(
     Texts are not shuffled: sizes are added up before the shuffle by source, and the sources
     are broadcast after a check of their size (beyond it, the join is salted, so a source
     that holds a third of the documents is spread). A null text has size 0, a null source is a
-    source, a null id is a value. Rows with the same id are taken alike. A source without
+    source, a null id is a value. Rows with the same id, text and source are told apart by number,
+    so that of equal rows, too, the right part is taken once more. A source without
     words has the target 0. An empty table gives an empty result.
     """
     documents = packed(
         df, OUTPUTS, key=named(key), size=word_count(named(text)),
         no_source=named(source).isNull(), source_key=code_points(named(source).cast("string")),
+        digest=F.md5(code_points(named(text))),
     )
+    alike = F.concat_ws("\n", F.coalesce(F.col("key").cast("string"), F.lit("null")), "digest", "no_source", "source_key")
+    documents = _numbered(documents.withColumn("alike", F.md5(alike)))
     targets = settle(source_targets(documents.select(*SOURCE_KEY, "size"), weights, share, most))
     bytes_ = F.sum(F.octet_length("source_key") + 40)
     if (targets.agg(bytes_.alias("n")).first()["n"] or 0) <= BROADCAST_BYTES:
@@ -121,7 +149,7 @@ def mix(
         )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor("rate")
-    once_more = (draw(seed, F.col("key")) < F.col("rate") - whole).cast("long")
+    once_more = (draw(seed, F.col("key"), F.col("digest"), F.col("nth")) < F.col("rate") - whole).cast("long")
     mixed = joined.withColumn("rate", rate).withColumn("copies", whole + once_more)
     return unpacked(mixed, *OUTPUTS)
 

@@ -14,14 +14,27 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexsieve.llm.common import WORD, code_points, named, packed, unpacked
+from lexsieve.llm.common import WORD, code_points, let, named, packed, unpacked
 
-# A word and its repetitions right after it.
-REPEATED = r"(?<!\S)(\S+)(?:\s+\1(?!\S))+"
 OUTPUTS = ["quality", "keep"]
 GOOD, BAD, NONE = 1, -1, 0
 
 
+def split_words(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
+
+
+def _told_once(text: Column) -> Column:
+    """The words, joined by spaces, with the repetitions right after a word put as one "="."""
+
+    def one(w: Column, i: Column, words: Column) -> Column:
+        before = F.get(words, F.greatest(i - 1, F.lit(0)))
+        earlier = F.get(words, F.greatest(i - 2, F.lit(0)))
+        return F.when((i == 0) | (w != before), w).when((i == 1) | (before != earlier), "=")
+
+    return let(split_words(text), lambda words: F.array_join(F.transform(words, lambda w, i: one(w, i, words)), " "))
+
+
 def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, BAD).when(good, GOOD).otherwise(NONE).cast("int")
 
@@ -37,7 +50,9 @@ def votes(text: Column) -> dict[str, Column]:
     capitals = share(r"\P{Lu}+") / F.greatest(letters, F.lit(1e-9))
     odd = share(r"[\p{L}\p{N}\s.,;:'\"!?()-]+")
     stops = F.regexp_count(text, F.lit(r"[.!?](?=\s|$)")) / F.greatest(F.lit(1.0), chars / 100)
-    again = F.regexp_count(text, F.lit(r"(?<!\S)(\S+)(?:\s+\1(?!\S)){2,}"))
+    again = let(split_words(text), lambda w: F.exists(F.sequence(F.lit(2), F.greatest(F.size(w), F.lit(2))), lambda i: (
+        F.coalesce((F.get(w, i) == F.get(w, i - 1)) & (F.get(w, i) == F.get(w, i - 2)), F.lit(False))
+    )))
     marks = share(r"[^!|*#$%&]+")
     words = F.regexp_count(text, F.lit(WORD))
     return {
@@ -45,7 +60,7 @@ def votes(text: Column) -> dict[str, Column]:
         "capitals": _vote(capitals > 0.3, capitals < 0.1),
         "odd": _vote(odd > 0.03, odd < 0.01),
         "sentences": _vote((stops < 0.3) & (words > 10), stops > 0.8),
-        "repeats": _vote(again > 0, again == 0),
+        "repeats": _vote(again, ~again),
         "marks": _vote(marks > 0.03, marks < 0.005),
         "length": _vote(words < 3, words > 20),
     }
@@ -82,7 +97,7 @@ def accuracies(chances: np.ndarray, prior: float) -> np.ndarray:
 def _vectors(df: DataFrame, features: int) -> DataFrame:
     """Add ``features``: shares of a text's word shapes, hashed. A shape has runs of small letters,
     capitals and digits put as one; a word that repeats the one before it is marked."""
-    shape = F.regexp_replace("text", REPEATED, "$1 =")
+    shape = _told_once(F.col("text"))
     for pattern, sign in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"\p{N}+", "0")):
         shape = F.regexp_replace(shape, pattern, sign)
     tokens = F.regexp_extract_all(shape, F.lit(WORD), F.lit(0))

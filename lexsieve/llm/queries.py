@@ -131,7 +131,8 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "op4_mixing": r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, '')), source ORDER BY source) - 1 AS nth,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents
 ), s AS (
@@ -153,7 +154,7 @@ t AS (
 ), r AS (
   SELECT doc_id, size, source_size, target,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE
+         ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest || ':' || nth), 1, 13))::BIGINT::DOUBLE
            / 4503599627370496::DOUBLE AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexsieve.llm.common import code_points, named, packed, unpacked
+from lexsieve.llm.common import code_points, let, named, packed, unpacked
 
 KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = (
@@ -40,7 +40,9 @@ CLASSES = [
 ALLOWED = [
     r"^[0-9_=+/-]+$",  # numbers and rulers
     r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # UUIDs
-    r"^[/_-]?(?:[A-Za-z]+[0-9]{0,3}[/_=-]+)+(?:[A-Za-z]+[0-9]{0,3})?$",  # words, paths
+    # Words and paths: pieces of letters, then three digits at most. It says what may not stand
+    # in one, as a repeated group would recurse once for each piece.
+    r"^(?!.*(?:\+|[0-9]{4}|(?<![A-Za-z0-9])[0-9]|[0-9][A-Za-z]))(?=[/_-]?[A-Za-z])(?=.*[A-Za-z0-9][/_=-])",
     r"^(.{1,8}?)\1+$",  # one short piece again and again
 ]
 # c * log2(c) in units of 2 ** -30: whole numbers, so a running sum stays exact.
@@ -49,11 +51,6 @@ UNIT = 2**30
 SPAN = "array<struct<start:int,end:int>>"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _positions(found: Column, pieces: Column, keep=None) -> Column:
     """Spans of the matches, from the matched strings and the pieces between them."""
 

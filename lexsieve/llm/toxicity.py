@@ -29,7 +29,10 @@ WINDOW = re.compile(r"[^\W\d_]{1,32}")
 SPARK_WINDOW = r"\p{L}{1,32}"
 KNOWN_WINDOWS = 300_000
 LEVEL = 6
-HIT, STRONG = 9, 12
+# Saved bytes from which on a window counts, one count for each bound.
+BOUNDS = (6, 9, 12, 15, 18)
+TOPS = 3
+FOLDS = 3
 
 
 def spelled(text: str) -> bytes:
@@ -51,11 +54,21 @@ def _compressor(words: list[str]) -> zstandard.ZstdCompressor:
 
 @dataclass
 class Model:
-    """Words of both dictionaries, best last, and the calibration."""
+    """Words of both dictionaries, best last, and the calibration.
+
+    ``share`` is that of toxic rows among all usable labels: a score above it says that a text's
+    words make the label likelier than it is without them.
+    """
 
     toxic: list[str]
     ordinary: list[str]
     weights: list[float] = field(default_factory=list)
+    share: float = 0.0
+
+    @property
+    def even(self) -> float:
+        """The threshold at which a text's words speak neither for nor against the label."""
+        return self.share if self.weights else 0.5
 
     def open(self) -> Model:
         self.compressors = _compressor(self.ordinary), _compressor(self.toxic)
@@ -74,13 +87,14 @@ class Model:
         return np.fromiter(map(self.known.__getitem__, windows), np.int64, len(windows))
 
     def features(self, text: str) -> list[float]:
+        """The greatest distances; for each bound the windows that reach it, as number, by the root of
+        the text's length and by its length; and the length."""
         d = self.distances(text)
-        top = np.sort(np.partition(d, -2)[-2:])[::-1] if len(d) > 1 else np.r_[d, [0, 0]][:2]
-        return [
-            float(max(top[0], 0)), float(max(top[1], 0)),
-            float((d >= HIT).sum() / max(len(d), 1) ** 0.5), float(np.log1p((d >= STRONG).sum())),
-            float(np.log1p(len(d))),
-        ]
+        n = max(len(d), 1)
+        top = np.r_[np.sort(np.maximum(d, 0))[::-1][:TOPS], np.zeros(TOPS)][:TOPS]
+        hits = np.array([(d >= bound).sum() for bound in BOUNDS], float)
+        counts = np.r_[np.log1p(hits), hits / n**0.5, np.log1p(100 * hits / n), np.log1p(n)]
+        return [*top.tolist(), *counts.tolist()]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if not self.weights:
@@ -90,17 +104,23 @@ class Model:
         scaled = (features - w[:n]) / w[n : 2 * n]
         return 1 / (1 + np.exp(-np.clip(w[2 * n] + scaled @ w[2 * n + 1 :], -30, 30)))
 
-    def calibrate(self, features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> None:
-        """Logistic weights by Newton's steps; none if a class is missing."""
+    def calibrate(
+        self, features: np.ndarray, labels: np.ndarray, counts_for: np.ndarray, ridge: float = 1.0
+    ) -> None:
+        """Logistic weights by Newton's steps; none if a class is missing. ``counts_for`` is the number
+        of labelled rows that each row stands for."""
         if len(set(labels.tolist())) < 2:
             return
+        self.share = float(counts_for @ labels / counts_for.sum())
+        weight = counts_for / counts_for.mean()
         mean, spread = features.mean(0), features.std(0) + 1e-6
         x = np.c_[np.ones(len(features)), (features - mean) / spread]
         w = np.zeros(x.shape[1])
         keep = ridge * np.diag([1e-6] + [1.0] * (x.shape[1] - 1))
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + keep, x.T @ (p - labels) + keep @ w)
+            slope = x.T @ (weight * (p - labels)) + keep @ w
+            step = np.linalg.solve((x.T * (weight * p * (1 - p) + 1e-9)) @ x + keep, slope)
             w -= step * min(1.0, 2.0 / (np.abs(step).max() + 1e-9))
         self.weights = [*mean.tolist(), *spread.tolist(), *w.tolist()]
 
@@ -119,52 +139,69 @@ def train(
 
     The labels are sampled by a hash of their ids: at most ``most_rows`` rows of each class, a bound
     that does not grow with the corpus (nor, then, do the words of those rows, the dictionaries of
-    at most ``most_words`` words and what reaches the driver). Two thirds of the sample make the
-    dictionaries, the rest calibrates. A word stands out if it is in ``least_share`` of the toxic
+    at most ``most_words`` words and what reaches the driver). In the calibration each row counts
+    for as many as there are usable labels of its class for one in the sample, so that scores keep
+    their meaning where the bound cuts one class and not the other. Of rows with the same id the one
+    with the least text digest is taken.
+
+    Each row is calibrated on dictionaries made without its third of the sample; the final
+    dictionaries are of the whole sample. A word stands out if it is in ``least_share`` of the toxic
     rows, in three at least, and its share there is ``lift`` times that among ordinary rows.
     """
     chance = F.xxhash64(F.lit(seed), "id")
     usable = labels.select(named(key).alias("id"), named(label).cast("int").alias("toxic")).filter(
         F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("id"))
-    )
+    ).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = usable.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     parts = [usable.filter(F.col("toxic") == c).orderBy(chance, "id").limit(most_rows) for c in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    rows = df.select(named(key).alias("id"), code_points(named(text)).alias("text")).join(
-        F.broadcast(sample), "id"
-    ).withColumn("calibrates", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(3)) == 0)
-    rows = rows.persist()
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(FOLDS)).cast("int")
+    sample = parts[0].unionByName(parts[1]).withColumn("fold", fold)
+    rows = df.select(named(key).alias("id"), code_points(named(text)).alias("text")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("id", "toxic", "fold").agg(F.min_by("text", F.md5("text")).alias("text")).persist()
 
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(SPARK_WINDOW), F.lit(0)))
-    counted = rows.filter(~F.col("calibrates"))
-    sizes = counted.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("ordinary")).first()
-    counts = counted.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(
-        F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("ordinary")
-    )
-    share = (F.col("toxic") + 0.5) / (sizes["toxic"] + 1)
-    usual = (F.col("ordinary") + 0.5) / (sizes["ordinary"] + 1)
-    least = max(3.0, least_share * sizes["toxic"])
-    standing = counts.filter((F.col("toxic") >= least) & (share >= lift * usual))
-    toxic = [r["word"] for r in standing.orderBy(F.desc("toxic"), "word").limit(most_words).collect()]
-    common = counts.orderBy(F.desc("ordinary"), "word").limit(max(len(toxic), 1)).collect()
-    # The end of a dictionary is nearest to the window, so the best words come last.
-    model = Model(toxic[::-1], [r["word"] for r in common][::-1])
+    cells = [(c, k) for c in (0, 1) for k in range(FOLDS)]
+
+    def told(c: int, k: int) -> Column:
+        return F.count_if((F.col("toxic") == c) & (F.col("fold") == k))
+
+    sizes = rows.agg(*[told(c, k) for c, k in cells]).first()
+    size = dict(zip(cells, sizes, strict=True))
+    counts = rows.select("toxic", "fold", F.explode(words).alias("word")).groupBy("word").agg(
+        *[told(c, k).alias(f"n{c}{k}") for c, k in cells]
+    ).persist()
+
+    def without(left_out: int | None) -> Model:
+        """Dictionaries of all folds but one."""
+        used = [k for k in range(FOLDS) if k != left_out]
+        toxic, ordinary = (sum(F.col(f"n{c}{k}") for k in used) for c in (1, 0))
+        n_toxic, n_ordinary = (sum(size[c, k] for k in used) for c in (1, 0))
+        share, usual = (toxic + 0.5) / (n_toxic + 1), (ordinary + 0.5) / (n_ordinary + 1)
+        standing = counts.filter((toxic >= max(3.0, least_share * n_toxic)) & (share >= lift * usual))
+        best = [r["word"] for r in standing.orderBy(F.desc(toxic), "word").limit(most_words).collect()]
+        seen = counts.filter(toxic + ordinary > 0).orderBy(F.desc(ordinary), "word")
+        common = [r["word"] for r in seen.limit(max(len(best), 1)).collect()]
+        # The end of a dictionary is nearest to the window, so the best words come last.
+        return Model(best[::-1], common[::-1])
+
+    models = [without(k) for k in range(FOLDS)]
+    model = without(None)
 
     def features(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened = model.open()
+        opened = [m.open() for m in models]
         for batch in texts:
-            yield pd.DataFrame(
-                {"toxic": batch["toxic"], "f": [opened.features(t) for t in batch["text"]]}
-            )
+            found = [opened[k].features(t) for k, t in zip(batch["fold"], batch["text"], strict=True)]
+            yield pd.DataFrame({"toxic": batch["toxic"], "f": found})
 
-    measured = (
-        rows.filter("calibrates").select("toxic", "text")
-        .mapInPandas(features, "toxic int, f array<double>").collect()
-    )
+    measured = rows.select("toxic", "fold", "text").mapInPandas(features, "toxic int, f array<double>").collect()
+    counts.unpersist()
     rows.unpersist()
     if measured:
+        stands_for = [n / max(1, min(n, most_rows)) for n in known]
         model.calibrate(
-            np.array([r["f"] for r in measured]), np.array([r["toxic"] for r in measured], float)
-        )
+            np.array([r["f"] for r in measured]), np.array([r["toxic"] for r in measured], float),
+            np.array([stands_for[r["toxic"]] for r in measured]),
+        )
     return model
 
 

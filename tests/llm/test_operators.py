@@ -115,6 +115,21 @@ def test_mixing_targets_and_copies(spark):
     assert abs(total - 1.5 * sum(sizes.values())) < 0.15 * sum(sizes.values())
 
 
+def test_mixing_takes_near_the_target_of_rows_with_one_id(spark):
+    """A source whose rows share an id, or are one row again and again, is still taken in part."""
+    rows = [(1, "one two three", "a")] * 900 + [(2, f"w{i} w w", "b") for i in range(900)] + [(None, "x y z", None)] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.mix(df, weights=(1, 1, 1), share=1.5)
+    taken = {r["source"]: r for r in found.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")
+    ).collect()}
+    for r in taken.values():
+        assert r["n"] == 900 and abs(r["taken"] - r["target"]) < 0.1 * r["target"]
+    again = mixing.mix(df.repartition(3, "source"), weights=(1, 1, 1), share=1.5)
+    columns = ["doc_id", "text", "source", "copies"]
+    assert found.select(columns).exceptAll(again.select(columns)).isEmpty()
+
+
 def test_mixing_odd_rows(spark, odd):
     found = mixing.mix(odd)
     assert found.count() == len(ODD_ROWS) and kept_columns(found, odd, mixing.OUTPUTS)
