@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexsieve.llm import (
-    bpe, chat, embeddings, fingerprints, jaccard, mixing, quality, secrets, sharding, toxicity,
+    bpe, centroids, chat, divergence, embeddings, fingerprints, jaccard, mixing, passages, quality, secrets,
+    sharding, toxicity,
 )
 from lexsieve.llm.common import code_points, table
 
@@ -115,6 +116,21 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents, TOKENIZER).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"), least_docs=30, top=50)
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(table(spark, folder, "embeddings"), clusters=8, rounds=10)
+    return found.select("vec_id", *centroids.OUTPUTS)
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = passages.contamination(documents, table(spark, folder, "benchmark"), length=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -126,6 +142,9 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_divergence": op11_divergence,
+    "op12_centroids": op12_centroids,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLE: dict[str, str] = {
@@ -181,4 +200,99 @@ SELECT conv_id, count(*) AS n_turns,
          AS loss_sha256,
        sum(CASE WHEN role = 'assistant' OR i = n THEN so_far ELSE 0 END)::BIGINT AS formatted_chars
 FROM w GROUP BY conv_id""",
+    "op11_divergence": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), o AS (SELECT r, lang, source, unnest(w) AS term FROM t),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (
+  SELECT lang, source, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM t)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)
+), c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n)::BIGINT AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(total, 0) + 5 * v) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN totals ON totals.lang = g.lang AND totals.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term)
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+) WHERE part = 'pair' OR rank <= 50""",
+    "op12_centroids": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), first AS (
+  SELECT e, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT 8
+), rounds(step, c) AS (
+  SELECT 0, (SELECT list(e ORDER BY h) FROM first)
+  UNION ALL
+  SELECT step + 1, list(centre ORDER BY k) FROM (
+    SELECT o.step, o.k, CASE WHEN any_value(s.total) IS NULL THEN any_value(o.centre)
+                             ELSE list(s.total // s.n - (s.total % s.n < 0)::INT ORDER BY s.d) END AS centre
+    FROM (SELECT step, unnest(range(1, len(c) + 1)) AS k, unnest(c) AS centre FROM rounds WHERE step < 10) o
+    LEFT JOIN (
+      SELECT k, d, sum(x)::BIGINT AS total, count(*) AS n FROM (
+        SELECT list_position(far, list_min(far)) AS k, unnest(range(1, 65)) AS d, unnest(e) AS x FROM (
+          SELECT e, list_transform(c, lambda m: list_sum(list_transform(list_zip(e, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT) AS far
+          FROM v, (SELECT c FROM rounds WHERE step < 10)
+        )
+      ) GROUP BY k, d
+    ) s ON s.k = o.k
+    GROUP BY o.step, o.k
+  ) GROUP BY step
+), final AS (SELECT c FROM rounds WHERE step = 10),
+told AS (
+  SELECT vec_id, c, list_transform(c, lambda m: list_sum(list_transform(list_zip(e, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT) AS far
+  FROM v, final
+), near AS (
+  SELECT vec_id, (list_position(far, list_min(far)) - 1)::INT AS cluster, list_min(far) AS distance, c FROM told
+)
+SELECT vec_id, cluster, distance,
+  sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c[cluster + 1], ',')) AS centroid_sha256
+FROM near""",
+    "op13_decontamination": r"""
+WITH t AS (
+  SELECT 1 AS whole, row_number() OVER () AS r, doc_id AS id, NULL AS item, text FROM documents
+  UNION ALL
+  SELECT 0, row_number() OVER (), NULL, item_id::VARCHAR, text FROM benchmark
+), s AS (
+  SELECT whole, r, id, item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t
+), windows AS (
+  SELECT DISTINCT item, words, len(words) AS n FROM (
+    SELECT item, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: w[i:i + 9])) AS words
+    FROM s WHERE whole = 0 AND len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM windows),
+runs AS (
+  SELECT r, n, start, w[start:start + n - 1] AS words FROM (
+    SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS start FROM s, lengths WHERE whole = 1 AND len(w) >= n)
+), hits AS (SELECT DISTINCT r, start, runs.n, item FROM runs JOIN windows USING (words)),
+covered AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(start, start + n)) AS place FROM hits) GROUP BY r
+), listed AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r
+)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM s LEFT JOIN covered USING (r) LEFT JOIN listed USING (r) WHERE whole = 1""",
 }

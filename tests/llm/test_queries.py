@@ -17,7 +17,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_all_operators_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= entry_points.queries().keys()
 
 
