@@ -7,8 +7,10 @@ from lexsieve.operators.corpus import (
     remove_frequent,
     remove_rare,
 )
+from lexsieve.operators.dictionary import decode_tokens, encode_tokens, stem_terms, token_dictionary
 from lexsieve.operators.glossary import translate_terms
 from lexsieve.operators.lemmas import inflected_forms, lemmatize_tokens
+from lexsieve.operators.phrases import translate_phrases
 from lexsieve.operators.sentiment import sentiment
 from lexsieve.operators.spelling import corrections, spell_correct
 from lexsieve.operators.summary import (
@@ -20,8 +22,8 @@ from lexsieve.operators.summary import (
 )
 
 __all__ = [
-    "column_summary", "column_uniques", "corrections", "doc_terms", "frequent_terms",
-    "group_info", "group_summary", "group_values", "hashed_tfidf", "inflected_forms",
-    "lemmatize_tokens", "remove_frequent", "remove_rare", "sentiment", "spell_correct",
-    "translate_terms",
+    "column_summary", "column_uniques", "corrections", "decode_tokens", "doc_terms", "encode_tokens",
+    "frequent_terms", "group_info", "group_summary", "group_values", "hashed_tfidf", "inflected_forms",
+    "lemmatize_tokens", "remove_frequent", "remove_rare", "sentiment", "spell_correct", "stem_terms",
+    "token_dictionary", "translate_phrases", "translate_terms",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexsieve.functions.text import PUNCTUATION, strip_punct, words
@@ -175,6 +175,23 @@ def _least(df: DataFrame) -> DataFrame:
     return df.withColumn("v", F.coalesce(turned, F.col("v")))
 
 
+def _joined_once(at: DataFrame, key: str, table: DataFrame, unscored: Column) -> DataFrame:
+    """Lexicon words with their own valence and those of the words just before, and one row without a
+    valence for each document, from one join: the words before are found among a document's hits."""
+    hits = join_given_terms(at.withColumn("term", F.col("l0")), table, small=False).drop("term")
+    order = Window.partitionBy(key).orderBy("i")
+    for back in (1, 2, 3):
+        earlier = [
+            F.when(F.lag("i", n).over(order) == F.col("i") - back, F.lag("valence", n).over(order))
+            for n in range(1, back + 1)
+        ]
+        hits = hits.withColumn(f"in{back}", F.coalesce(*earlier))
+    hits = hits.withColumn("v0", F.when(~unscored, F.col("valence"))).filter("v0 is not null").drop("valence")
+    nothing = F.lit(None).cast("double")
+    first = at.filter("i is null or i = 0").select("*", *[nothing.alias(c) for c in ("in1", "in2", "in3", "v0")])
+    return hits.unionByName(first)
+
+
 def sentiment(
     df: DataFrame,
     key: str | None,
@@ -189,39 +206,38 @@ def sentiment(
     place with their neighbours beside them and summed before the only shuffle, which
     carries one small row per document and map task.
 
-    ``key`` tells the rows apart and is never null. With None the rows are numbered and all
-    of them are given back, each with its own columns and ``out``.
+    With None for ``key``, or where it is repeated or null, rows are numbered: each has its own scores.
+    With None all columns are given back with ``out``.
     """
-    if key is None:
-        rows, number = row_key(df, None)
+    rows, number = row_key(df, key)
+    if number != key:
         scores = sentiment(rows, number, col, lexicon, out, lists)
-        return rows.join(scores, number, "left").select(*[F.col(c) for c in df.columns if c != out], out)
+        columns = df.columns if key is None else [key]
+        return rows.join(scores, number, "left").select(*[F.col(c) for c in columns if c != out], out)
     table = lexicon.groupBy("term").agg(F.max(F.col("valence").cast("double")).alias("valence"))
     small = fits_broadcast(table)
+    low = F.col("l0")
 
-    def listed(rows: DataFrame, word: Column, name: str) -> DataFrame:
-        with_term = rows.withColumn("term", word)
-        found = join_given_terms(with_term, table, "left", small=small)
-        return found.withColumnRenamed("valence", name).drop("term")
+    def unscored(next_word: Column) -> Column:
+        return low.isin([*lists.stronger, *lists.weaker]) | (
+            (low == "kind") & (F.coalesce(F.lower(next_word), F.lit("")) == "of")
+        )
 
-    at = _positions(df, key, col).withColumn("l0", F.lower("w0"))
-    if not small:  # rows will be shuffled, and the array of words must not travel with each
-        at = _neighbours(at)
-    at = listed(at, F.col("l0"), "v0")
-    low = F.col("l0")
-    next_word = F.get("_words", F.col("i") + 1) if small else F.col("n1")
-    unscored = low.isin([*lists.stronger, *lists.weaker]) | (
-        (low == "kind") & (F.coalesce(F.lower(next_word), F.lit("")) == "of")
-    )
     # From here on only lexicon words count, and one row of every document.
-    at = at.withColumn("v0", F.when(~unscored, F.col("v0"))).filter(
-        "v0 is not null or i is null or i = 0"
-    )
+    at = _positions(df, key, col).withColumn("l0", F.lower("w0"))
     if small:
-        at = _neighbours(at)
-    for back in (1, 2, 3):
-        neighbour = F.when(F.col("v0").isNotNull(), F.col(f"l{back}"))
-        at = listed(at, neighbour, f"in{back}")
+        def listed(rows: DataFrame, word: Column, name: str) -> DataFrame:
+            found = rows.withColumn("term", word).join(F.broadcast(table), "term", "left")
+            return found.withColumnRenamed("valence", name).drop("term")
+
+        at = listed(at, low, "v0")
+        at = at.withColumn("v0", F.when(~unscored(F.get("_words", F.col("i") + 1)), F.col("v0")))
+        at = _neighbours(at.filter("v0 is not null or i is null or i = 0"))
+        for back in (1, 2, 3):
+            neighbour = F.when(F.col("v0").isNotNull(), F.col(f"l{back}"))
+            at = listed(at, neighbour, f"in{back}")
+    else:
+        at = _joined_once(_neighbours(at), key, table, unscored(F.col("n1")))
     shout = F.when(_shouts(F.col("w0")) & F.col("mixed"), F.lit(CAPS)).otherwise(0.0)
     at = at.withColumn("v", F.col("v0") + F.when(F.col("v0") > 0, shout).otherwise(-shout))
     for back in (1, 2, 3):

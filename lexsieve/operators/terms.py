@@ -8,12 +8,13 @@ Two things could overload one task, and both are met here. A frequent term, when
 occurrences are shuffled by term: terms that make up a noticeable share of all
 occurrences are few by arithmetic, so they are broadcast and kept out of the
 shuffle. A caller's table that is too big to broadcast: its size is measured, and
-beyond the bound the join is salted.
+beyond the bound a Bloom filter of its terms, whose size is fixed, keeps all other
+tokens out of the shuffle, and of those left the frequent ones are counted and broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
@@ -25,7 +26,8 @@ from lexsieve.sources.shared import settle
 # average terms' worth of bytes, however large the corpus.
 HOT_SHARE = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
+# 64-bit words of a Bloom filter at most: 16 MB with their numbers.
+BLOOM_WORDS = 1 << 20
 ROW = "_row"
 
 
@@ -36,13 +38,20 @@ def tokens_of(df: DataFrame, col: str) -> Column:
     return tokenize(col)
 
 
+def tells_apart(df: DataFrame, key: str) -> bool:
+    """Whether a key is never null and never repeated; only its column is read."""
+    keys = df.select(F.col(key).alias("k"))
+    return keys.groupBy("k").count().filter("count > 1 OR k IS NULL").isEmpty()
+
+
 def row_key(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
     """The table and the column that tells its rows apart.
 
-    Without a key the rows are numbered. The numbered table is written once, as numbers
+    A key that does so is taken. Without one, or with one that is repeated or null, the rows are
+    numbered and the key is a column like others. The numbered table is written once, as numbers
     given anew in a second pass could differ; :func:`patch_tokens` takes them off again.
     """
-    if key is not None:
+    if key is not None and tells_apart(df, key):
         return df, key
     return settle(df.withColumn(ROW, F.monotonically_increasing_id())), ROW
 
@@ -59,6 +68,24 @@ def term_counts(df: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "id") -> DataFrame:
+    """Add the place of each row in the order, from 0; the order leaves no ties.
+
+    Rows are dealt out in ranges of the order and written so; a place is that in the range plus the sizes
+    of the ranges before it. No task sees more than a range; one number for each reaches the driver.
+    """
+    dealt = settle(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    starts, start = [], 0
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("_range").count().collect()):
+        starts.append((part, start))
+        start += n
+    places = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    before = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    return dealt.withColumn("_place", places).join(F.broadcast(before), "_range").select(
+        *df.columns, (F.col("_start") + F.col("_place")).alias(name)
+    )
+
+
 def sorted_runs(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, words, starts): sorted tokens, and where each run of equal ones starts."""
     words = F.col("words")
@@ -122,21 +149,62 @@ def fits_broadcast(table: DataFrame) -> bool:
     return measured <= BROADCAST_BYTES
 
 
+def _bloom_place(on: str, words: int) -> tuple[Column, Column]:
+    """The word of a Bloom filter that a term sets bits in, and these three bits."""
+    h = F.xxhash64(on)
+
+    def bit(shift: int) -> Column:
+        at = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")
+        return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+    return h.bitwiseAND(F.lit(words - 1)), bit(24).bitwiseOR(bit(36)).bitwiseOR(bit(48))
+
+
+def bloom_filter(table: DataFrame, on: str = "term") -> tuple[DataFrame, int]:
+    """(word, bits) of a Bloom filter of a table's terms, and how many words it may have.
+
+    All bits of a term are in one 64-bit word, so the filter is a table that one look-up tests. It
+    has 16 bits for a term, up to BLOOM_WORDS words: beyond, it lets more through, never less.
+    """
+    n = table.count()
+    words = 64
+    while words * 4 < n and words < BLOOM_WORDS:
+        words *= 2
+    word, bits = _bloom_place(on, words)
+    return table.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")), words
+
+
+def maybe_listed(rows: DataFrame, table: DataFrame, on: str = "term") -> DataFrame:
+    """The rows whose term a Bloom filter of the table lets through: all that are in it, and few others."""
+    bloom, words = bloom_filter(table, on)
+    word, bits = _bloom_place(on, words)
+    bloom = F.broadcast(bloom.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+    tested = rows.join(bloom, word == F.col("_word"))
+    return tested.filter(F.col("_bits").bitwiseAND(bits) == bits).drop("_word", "_bits")
+
+
 def join_given_terms(
-    rows: DataFrame, table: DataFrame, how: str = "inner", on: str = "term", small: bool | None = None
+    rows: DataFrame, table: DataFrame, on: str = "term", small: bool | None = None
 ) -> DataFrame:
-    """Join of ``rows`` with a caller's table of terms, one row per term.
+    """Inner join of ``rows`` with a caller's table of terms.
 
-    A table of checked size is broadcast. A bigger one is copied once per salt and
-    the rows are salted, so that a frequent term is spread over SALTS tasks.
+    A table of checked size is broadcast. Of a bigger one a Bloom filter is, so that only rows
+    with a term of the table (and few others) are kept and written once. Among these, frequent
+    terms are counted; their few rows of the table are broadcast, the others are shuffled, and none of
+    them has more than 1/HOT_SHARE of the rows. The table is never copied.
     """
     small = fits_broadcast(table) if small is None else small
     if small:
-        return rows.join(F.broadcast(table), on, how)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    others = [f.name for f in rows.schema if f.name != on and not isinstance(f.dataType, ArrayType)]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    return salted.join(table.withColumn("salt", salts), [on, "salt"], how).drop("salt")
+        return rows.join(F.broadcast(table), on)
+    table = settle(table)
+    likely = settle(maybe_listed(rows, table, on))
+    counts = settle(likely.groupBy(on).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n").alias("total")).first()["total"] or 0
+    hot = counts.filter(F.col("n") * HOT_SHARE >= total).select(on)
+    cold = likely.join(F.broadcast(hot), on, "left_anti").join(table, on)
+    if hot.isEmpty():
+        return cold
+    return likely.join(F.broadcast(table.join(F.broadcast(hot), on, "left_semi")), on).unionByName(cold)
 
 
 def patch_tokens(

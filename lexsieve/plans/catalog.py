@@ -101,6 +101,34 @@ def translate_turns(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("conv_id", "turn", fn.join_tokens("translated").alias("translated"))
 
 
+def translate_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Words, pairs and triples of words of the benchmark, wherever documents have them."""
+    words = fn.tokenize(fn.strip_punct("text"))
+    runs = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " ")
+    )))
+    terms = table(spark, folder, "benchmark").select(words.alias("w")).select(F.explode(runs).alias("term")).distinct()
+    glossary = terms.select(F.lit("xx").alias("lang"), "term", F.reverse("term").alias("target"))
+    documents = texts(spark, folder).select("doc_id", "text")
+    return _joined(op.translate_phrases(documents, "doc_id", "text", glossary, "xx"), "translated")
+
+
+def _bare(spark: SparkSession, folder: str) -> DataFrame:
+    bare = fn.strip_digits(fn.strip_non_ascii(fn.strip_punct("text")))
+    return texts(spark, folder).select("doc_id", bare.alias("text"))
+
+
+def stem_terms(spark: SparkSession, folder: str) -> DataFrame:
+    found = op.stem_terms(_bare(spark, folder), "doc_id", "text")
+    return found.select("doc_id", fn.join_tokens("stems").alias("stems"), F.size("stems").cast("bigint").alias("n"))
+
+
+def token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    documents = texts(spark, folder).select("doc_id", "text")
+    coded = op.encode_tokens(documents, "doc_id", "text", op.token_dictionary(documents, "text"))
+    return coded.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 def _lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return _benchmark_terms(spark, folder).filter("length(term) > 1").select(
         "term", ((F.length("term") % 7) - 3.0).alias("valence")
@@ -272,10 +300,8 @@ QUERIES: dict[str, Query] = {
     "strip_numbers": _text(fn.strip_digits, "stripped"),
     "tokenize": _tokens(fn.tokenize, "tokens"),
     "remove_stop_words": _tokens(lambda c: fn.remove_stop_words(fn.tokenize(c)), "kept"),
-    "stem_tokens": _tokens(
-        lambda c: fn.stem_tokens(fn.tokenize(fn.strip_digits(fn.strip_non_ascii(fn.strip_punct(c))))),
-        "stems",
-    ),
+    "stem_tokens": stem_terms,
+    "token_ids": token_ids,
     "lemmatize_tokens": lemmatize,
     "normalize": normalized,
     "extract_emails": _tokens(fn.extract_emails, "emails"),
@@ -287,6 +313,7 @@ QUERIES: dict[str, Query] = {
     ),
     "translate_terms": translate,
     "translate_turns": translate_turns,
+    "translate_phrases": translate_phrases,
     "average_word_length": _text(lambda c: F.round(fn.avg_word_length(c), 9), "average"),
     "word_count": _text(fn.word_count, "words"),
     "character_count": _text(fn.char_count, "characters"),

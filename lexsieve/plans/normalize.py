@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lexsieve.functions.stem import stem_tokens
 from lexsieve.functions.text import strip_digits, strip_non_ascii, strip_punct
-from lexsieve.functions.tokens import remove_stop_words, tokenize
-from lexsieve.operators.lemmas import lemmatize_tokens
-from lexsieve.operators.terms import ROW
+from lexsieve.functions.tokens import apply_changes, remove_stop_words, tokenize
+from lexsieve.operators.dictionary import stems_of
+from lexsieve.operators.lemmas import inflected_forms
+from lexsieve.operators.terms import join_counted_terms, row_key, term_counts, token_rows
 from lexsieve.sources.shared import settle
 
 STAGES = ("no_punct", "ascii", "no_digits", "tokens", "no_stop", "stems", "lemmas")
@@ -32,10 +33,10 @@ def normalize(
     without digits, ``tokens``, ``no_stop`` without stop words, ``stems`` and ``lemmas``
     (if a dictionary is given), the last two with ``min_len`` characters or more.
 
-    All stages up to ``stems`` are one pass without a shuffle. For lemmas the stems, the
-    dearest stage, are settled with their texts, and only these and the changes are
-    shuffled by a row number; the stages before are made from the text after that. ``key``
-    is carried along: it may repeat or be null.
+    Without a dictionary all stages are one pass without a shuffle. With one, stems and lemmas are
+    found once for each different token of the corpus; tokens that change are joined with these, and
+    one shuffle brings them and the texts together, after which all stages are made. ``key``
+    may repeat or be null; rows are then numbered.
     """
     if stages is None:
         stages = STAGES if lemmas is not None else STAGES[:-1]
@@ -55,11 +56,35 @@ def normalize(
         )
 
     rows = df.select(key, F.col(col).alias("_text"))
-    made = words_of(rows).withColumn("stems", stem_tokens("no_stop", min_len))
-    if "lemmas" in stages:
-        earlier = set(stages) - {"stems", "lemmas"}
-        text = ["_text"] if earlier else []
-        stemmed = settle(made.select(key, *text, "stems", F.monotonically_increasing_id().alias(ROW)))
-        patched = lemmatize_tokens(stemmed, ROW, "stems", lemmas, min_len)
-        made = words_of(patched) if earlier else patched
-    return made.select(key, *[s for s in STAGES if s in stages])
+    wanted = [s for s in STAGES if s in stages]
+    if "lemmas" not in stages:
+        return words_of(rows).withColumn("stems", stem_tokens("no_stop", min_len)).select(key, *wanted)
+
+    rows, number = row_key(rows, key)
+    made = words_of(rows)
+    tokens = F.col("no_stop")
+    table = _bases(settle(term_counts(made, tokens)), lemmas, min_len)
+    hits = join_counted_terms(token_rows(made, number, tokens), table, F.col("changed"))
+    changes = hits.groupBy(F.col(number).alias("_key")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "stem", "lemma"))).alias("_changes")
+    )
+    patched = words_of(rows.join(changes, F.col(number) == F.col("_key"), "left"))
+    for out, base in (("stems", "stem"), ("lemmas", "lemma")):
+        # Fields of an array of structs are arrays of the fields.
+        own = F.arrays_zip(F.col("_changes.pos").alias("pos"), F.col(f"_changes.{base}").alias("word"))
+        patched = patched.withColumn(f"_{base}", own).withColumn(out, apply_changes(F.col("no_stop"), F.col(f"_{base}")))
+    return patched.select(key, *wanted)
+
+
+def _bases(counts: DataFrame, lemmas: DataFrame, min_len: int) -> DataFrame:
+    """(term, n, stem, lemma, changed) of each term; null where its base is shorter than ``min_len``."""
+    kept = F.col("stem").isNotNull() & (F.length("stem") >= min_len)
+    forms = inflected_forms(lemmas).select(F.col("term").alias("stem"), F.col("word").alias("base"))
+    found = stems_of(counts).join(forms, "stem", "left")
+    lemma = F.coalesce("base", "stem")
+    table = found.select(
+        "term", "n", F.when(kept, F.col("stem")).alias("stem"),
+        F.when(kept & (F.length(lemma) >= min_len), lemma).alias("lemma"),
+    )
+    same = F.col("stem").eqNullSafe(F.col("term")) & F.col("lemma").eqNullSafe(F.col("term"))
+    return settle(table.withColumn("changed", ~same))

@@ -301,6 +301,33 @@ k AS (SELECT doc_id, pos, CASE WHEN g.w IS NULL THEN r.w ELSE reverse(g.w) END A
       FROM r LEFT JOIN g ON r.w = g.w)
 {rebuilt('SELECT * FROM k', 'translated')}"""
 
+TRANSLATE_PHRASES = f"""
+WITH r AS ({rows()}), b AS (SELECT {tokens(NO_PUNCT)} AS a FROM benchmark),
+runs AS (SELECT DISTINCT array_to_string(a[i:i + n - 1], ' ') AS term FROM (
+    SELECT a, n, unnest(range(1, greatest(len(a) - n + 1, 1) + 1)) AS i FROM b, (VALUES (1), (2), (3)) v(n))),
+g AS (SELECT trim(regexp_replace(term, ' +', ' ', 'g')) AS term, min(reverse(term)) AS target FROM runs
+      WHERE trim(term) <> '' GROUP BY 1),
+n AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+hits AS (SELECT doc_id, pos, max(size) AS size, arg_max(target, size) AS target FROM (
+    SELECT doc_id, pos, 1 AS size, target FROM n JOIN g ON g.term = w
+    UNION ALL SELECT doc_id, pos, 2, target FROM n JOIN g ON g.term = w || ' ' || w1
+    UNION ALL SELECT doc_id, pos, 3, target FROM n JOIN g ON g.term = w || ' ' || w1 || ' ' || w2) GROUP BY ALL),
+folded AS (SELECT doc_id, list_reduce(
+    list_prepend({{'pos': -1::BIGINT, 'free': 0::BIGINT, 'taken': []::BIGINT[]}},
+         list({{'pos': pos::BIGINT, 'free': (pos + size)::BIGINT, 'taken': []::BIGINT[]}} ORDER BY pos)),
+    lambda s, x: CASE WHEN x.pos >= s.free
+         THEN {{'pos': x.pos, 'free': x.free, 'taken': list_append(s.taken, x.pos)}} ELSE s END) AS f
+    FROM hits GROUP BY doc_id),
+taken AS (SELECT hits.* FROM hits JOIN (SELECT doc_id, unnest(f.taken) AS pos FROM folded) USING (doc_id, pos)),
+inside AS (SELECT doc_id, unnest(range(pos + 1, pos + size)) AS pos FROM taken),
+k AS (SELECT r.doc_id, r.pos, coalesce(target, w) AS w FROM r LEFT JOIN taken USING (doc_id, pos)
+      ANTI JOIN inside USING (doc_id, pos))
+{rebuilt('SELECT * FROM k', 'translated')}"""
+
+TOKEN_IDS = f"""
+WITH r AS ({rows()}), v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS id FROM r GROUP BY w)
+{rebuilt('SELECT doc_id, pos, id::VARCHAR AS w FROM r JOIN v USING (w)', 'ids')}"""
+
 # ---- corpus counts --------------------------------------------------------
 
 DOC_TERMS = f"""
@@ -531,6 +558,8 @@ ORACLE: dict[str, str] = {
     ),
     "date_to_string": scalar("strftime(o_orderdate, '%d-%m-%Y')", "formatted", "orders", "o_orderkey"),
     "translate_terms": TRANSLATE,
+    "translate_phrases": TRANSLATE_PHRASES,
+    "token_ids": TOKEN_IDS,
     "translate_turns": of_turns(TRANSLATE, "translated"),
     "average_word_length": scalar(
         f"round(length(regexp_replace(text, '{SPACE}+', '', 'g'))::DOUBLE / nullif(len(list_filter("

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lexsieve import functions as fn
 from lexsieve import operators as op
 from lexsieve.functions import ENGLISH_STOP_WORDS
 from lexsieve.operators import terms
@@ -39,11 +40,11 @@ def tokens(text):
     return text.rstrip().lower().split(" ")
 
 
-@pytest.fixture(params=["broadcast", "salted, none hot", "salted, some hot"])
+@pytest.fixture(params=["broadcast", "shuffled, none hot", "shuffled, some hot"])
 def join_way(request, monkeypatch):
     if request.param != "broadcast":
         monkeypatch.setattr(terms, "BROADCAST_BYTES", -1)
-        monkeypatch.setattr(terms, "SALTS", 3)
+        monkeypatch.setattr(terms, "BLOOM_WORDS", 64)
         monkeypatch.setattr(terms, "HOT_SHARE", 0.1 if "none" in request.param else 20)
     return request.param
 
@@ -200,6 +201,108 @@ def test_translate(spark, docs, join_way):
     assert got == expect(lambda ws: [words.get(w, w) for w in ws])
 
 
+def matched(ws, phrases):
+    """Longest phrase from each place on, from left to right."""
+    out, i = [], 0
+    while i < len(ws):
+        for size in range(max(map(len, phrases)), 0, -1):
+            if tuple(ws[i : i + size]) in phrases and i + size <= len(ws):
+                out.append(phrases[tuple(ws[i : i + size])])
+                i += size
+                break
+        else:
+            out.append(ws[i])
+            i += 1
+    return out
+
+
+def test_translate_phrases(spark, docs, join_way):
+    phrases = {
+        ("the",): "le", ("the", "cat"): "le chat", ("the", "cat", "the", "copy"): "X", ("cat", "the"): "Y",
+        ("of", "of"): "OO", ("dog", "the", "the"): "Z", ("lead", "gap"): "never", ("zz", "in", "box", "the", "the"): "long",
+    }
+    rows = [("fr", " ".join(t), w) for t, w in phrases.items()] + [
+        ("fr", " The  CAT ", "zz later"), ("de", "cat", "Katze"), ("fr", "", "nothing"), ("fr", "gap", None)
+    ]
+    glossary = spark.createDataFrame(rows, "lang string, term string, target string")
+    got = by_id(op.translate_phrases(docs, "id", "text", glossary, "fr"), "translated")
+    assert got == expect(lambda ws: matched(ws, phrases))
+    none = by_id(op.translate_phrases(docs, "id", "text", glossary, "xx"), "translated")
+    assert none == expect(lambda ws: ws)
+
+
+def test_phrases_on_random_tokens(spark):
+    """Chains of overlapping terms, and one word again and again."""
+    rng = random.Random(9)
+    phrases = {tuple(rng.choice("abc") for _ in range(rng.randint(1, 4))): f"<{i}>" for i in range(25)}
+    lists = [[rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in range(300)] + [["a"] * 3_000, ["a", "", "b", "a"]]
+    glossary = spark.createDataFrame([("x", " ".join(p), w) for p, w in phrases.items()], "lang string, term string, target string")
+    df = spark.createDataFrame(list(enumerate(lists)), "id bigint, text array<string>")
+    got = by_id(op.translate_phrases(df, "id", "text", glossary, "x"), "translated")
+    assert got == {i: matched(ws, phrases) for i, ws in enumerate(lists)}
+
+
+def test_bloom_filter_lets_all_listed_terms_through(spark, monkeypatch):
+    table = spark.range(4_000).select(F.concat(F.lit("t"), "id").alias("term"))
+    rows = spark.range(40_000).select(F.concat(F.lit("t"), "id").alias("term"), "id")
+    kept = {r["id"] for r in terms.maybe_listed(rows, table).select("id").collect()}
+    assert kept >= set(range(4_000)) and len(kept) < 4_000 + 0.02 * 36_000
+    monkeypatch.setattr(terms, "BLOOM_WORDS", 64)
+    assert terms.maybe_listed(rows, table).filter("id < 4000").count() == 4_000
+
+
+def test_dictionary_numbers_encodes_and_decodes(spark, docs, join_way):
+    dictionary = op.token_dictionary(docs, "text")
+    ranked = sorted(COUNTS.items(), key=lambda p: (-p[1], p[0]))
+    assert sorted((r["id"], r["term"], r["n"]) for r in dictionary.collect()) == [(i, w, n) for i, (w, n) in enumerate(ranked)]
+    coded = op.encode_tokens(docs, "id", "text", dictionary)
+    number = {w: i for i, (w, _) in enumerate(ranked)}
+    assert by_id(coded, "ids") == expect(lambda ws: [number[w] for w in ws])
+    assert by_id(op.decode_tokens(coded, "id", "ids", dictionary), "tokens") == expect(lambda ws: ws)
+    part = dictionary.filter("term <> 'the'")
+    assert by_id(op.encode_tokens(docs, "id", "text", part), "ids") == expect(lambda ws: [number[w] for w in ws if w != "the"])
+
+
+def test_stem_terms_as_the_function_does(spark, docs, join_way):
+    words = "running cats agreed skies relational a is hopefulness conflated dying the cat's"
+    rows = [*DOCS, (900, words), (901, "running")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    for options in ({}, {"min_len": 0}, {"extended": False}):
+        got = by_id(op.stem_terms(df, "id", "text", **options), "stems")
+        want = by_id(df.select("id", fn.stem_tokens(fn.tokenize("text"), **options).alias("stems")), "stems")
+        assert got == want
+
+
+REPEATED = [(1, "cats a b"), (1, "dog cat a b"), (None, "cats"), (None, "cats"), (2, None), (1, "cats a b")]
+
+
+def test_repeated_and_null_keys(spark, join_way):
+    """Rows under one key, or under none, are each worked on for themselves, and keep their key."""
+    df = spark.createDataFrame(REPEATED, "id bigint, text string").repartition(3)
+    glossary = spark.createDataFrame([("fr", "cats", "chats")], "lang string, term string, target string")
+    vocab = spark.createDataFrame([("cat", 5), ("dog", 5)], "word string, freq bigint")
+    lexicon = spark.createDataFrame([("cats", 2.0), ("dog", -1.0)], "term string, valence double")
+    listed = [w for _, t in REPEATED if t for w in t.split(" ")]
+
+    def check(found, out, rule):
+        want = [(i, None if t is None else rule(t.split(" "))) for i, t in REPEATED]
+        assert sorted(map(repr, ((r["id"], r[out]) for r in found.collect()))) == sorted(map(repr, want))
+
+    def swap(**words):
+        return lambda ws: [words.get(w, w) for w in ws]
+
+    check(op.translate_terms(df, "id", "text", glossary, "fr"), "translated", swap(cats="chats"))
+    check(op.translate_phrases(df, "id", "text", glossary, "fr"), "translated", swap(cats="chats"))
+    check(op.lemmatize_tokens(df, "id", "text", vocab, 0), "lemmas", swap(cats="cat"))
+    check(op.stem_terms(df, "id", "text", 0), "stems", swap(cats="cat"))
+    check(op.spell_correct(df, "id", "text", vocab), "corrected", swap(cats="cat"))
+    check(op.remove_rare(df, "id", "text", 2), "kept", lambda ws: [w for w in ws if listed.count(w) > 1])
+    scores = op.sentiment(df, "id", "text", lexicon).collect()
+    assert sorted(repr((r["id"], r["sentiment"] and r["sentiment"]["compound"] > 0)) for r in scores) == sorted(
+        repr((i, None if t is None else "cats" in t)) for i, t in REPEATED
+    )
+
+
 def test_other_columns_and_rows_stay(spark, join_way):
     df = spark.createDataFrame([(i, "a b", i * 2) for i in range(50)], "id bigint, text string, other bigint")
     out = op.remove_rare(df, "id", "text", 2)

@@ -37,18 +37,28 @@ def test_normalize_is_one_pass(documents):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
 
 
-def test_normalize_with_lemmas_stems_once(spark, documents):
-    """The stems are read, not made again, and no stage made from them is shuffled."""
+def test_normalize_with_lemmas_shuffles_texts_once(spark, documents):
+    """Stems are made for the different tokens, before; texts cross one exchange, with no stage made yet."""
     lemmas = spark.createDataFrame([("cat",)], "word string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         text = plan(normalize(documents, "doc_id", "text", lemmas=lemmas))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "documents.parquet" not in text and "ational" not in text
-    assert len(re.findall(r"Exchange hashpartitioning\(_row", text)) == 2
+    assert "ational" not in text
     below = text[text.index("SortMergeJoin"):]
-    assert "no_stop" not in below and "no_punct" not in below
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id", below)) <= 2
+    texts = [line for line in below.split("\n") if "Project" in line and "_text" in line]
+    assert texts and not any("translate" in line or "split" in line for line in texts[:1])
+
+
+def test_stems_are_worked_out_once_for_each_token(spark):
+    """At sf0.1 that is 14 times less often than tokens occur."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("text", fn.strip_punct("text"))
+    counted = op.token_dictionary(documents, "text").agg(F.sum("n").alias("all"), F.count("*").alias("different")).first()
+    assert counted["all"] > 13 * counted["different"]
+    found = op.stem_terms(documents.select("doc_id", "text").limit(10), "doc_id", "text")
+    assert "ational" not in plan(found)
 
 
 def test_text_functions_compile_and_prune(documents):
@@ -69,13 +79,13 @@ def test_remove_frequent_does_not_shuffle_documents(spark, documents):
     assert "Join" not in tree and "scalar-subquery" in tree
 
 
-def test_small_tables_are_broadcast_and_big_ones_salted(spark, documents, monkeypatch):
+def test_small_tables_are_broadcast_and_big_ones_filtered(spark, documents, monkeypatch):
     glossary = spark.createDataFrame([("fr", "the", "le")], "lang string, term string, target string")
     text = plan(op.translate_terms(documents, "doc_id", "text", glossary, "fr"))
     assert re.search(r"BroadcastHashJoin \[term", text)
     monkeypatch.setattr(terms, "BROADCAST_BYTES", -1)
-    salted = op.translate_terms(documents, "doc_id", "text", glossary, "fr")
-    assert "salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+    filtered = plan(op.translate_terms(documents, "doc_id", "text", glossary, "fr"))
+    assert "posexplode" not in filtered and "settled" in filtered
 
 
 def test_sentiment_shuffles_one_row_per_document(spark, documents):
