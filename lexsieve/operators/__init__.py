@@ -11,6 +11,7 @@ from lexsieve.operators.dictionary import decode_tokens, encode_tokens, stem_ter
 from lexsieve.operators.glossary import translate_terms
 from lexsieve.operators.lemmas import inflected_forms, lemmatize_tokens
 from lexsieve.operators.phrases import translate_phrases
+from lexsieve.operators.segment import segmentations, split_joined
 from lexsieve.operators.sentiment import sentiment
 from lexsieve.operators.spelling import corrections, spell_correct
 from lexsieve.operators.summary import (
@@ -24,6 +25,6 @@ from lexsieve.operators.summary import (
 __all__ = [
     "column_summary", "column_uniques", "corrections", "decode_tokens", "doc_terms", "encode_tokens",
     "frequent_terms", "group_info", "group_summary", "group_values", "hashed_tfidf", "inflected_forms",
-    "lemmatize_tokens", "remove_frequent", "remove_rare", "sentiment", "spell_correct", "stem_terms",
-    "token_dictionary", "translate_phrases", "translate_terms",
+    "lemmatize_tokens", "remove_frequent", "remove_rare", "segmentations", "sentiment", "spell_correct",
+    "split_joined", "stem_terms", "token_dictionary", "translate_phrases", "translate_terms",
 ]

@@ -83,6 +83,11 @@ def spell_correct(spark: SparkSession, folder: str) -> DataFrame:
     return _joined(op.spell_correct(texts(spark, folder), "doc_id", "text", words), "corrected")
 
 
+def split_joined(spark: SparkSession, folder: str) -> DataFrame:
+    words = _common_words(spark, folder)
+    return _joined(op.split_joined(texts(spark, folder).select("doc_id", "text"), "doc_id", "text", words), "split")
+
+
 def translate(spark: SparkSession, folder: str) -> DataFrame:
     glossary = _benchmark_terms(spark, folder).select(
         F.lit("xx").alias("lang"), "term", F.reverse("term").alias("target")
@@ -328,6 +333,7 @@ QUERIES: dict[str, Query] = {
     "column_summary_text": summary_of_text,
     "column_uniques": uniques,
     "spell_correct": spell_correct,
+    "split_joined": split_joined,
     "group_values": group_values,
     "group_info": group_info,
     "group_summary": group_summary,

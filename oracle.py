@@ -293,6 +293,37 @@ best AS (SELECT w, word FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER
 k AS (SELECT doc_id, pos, coalesce(word, r.w) AS w FROM r LEFT JOIN best ON r.w = best.w)
 {rebuilt('SELECT * FROM k', 'corrected')}"""
 
+# Places of a word one after the other, each with its best way from the start: cost, words, last cut.
+SPLIT = f"""
+WITH RECURSIVE r AS ({rows()}), words AS ({COMMON}),
+costs AS (SELECT word, round(1000 * (ln((SELECT sum(freq) FROM words)::DOUBLE) - ln(freq::DOUBLE)))::BIGINT AS cost
+          FROM words WHERE word <> ''),
+unknown AS (SELECT DISTINCT w AS term FROM r WHERE regexp_matches(w, '\\p{{L}}') AND length(w) BETWEEN 2 AND 64
+            AND w NOT IN (SELECT word FROM words)),
+ends AS (SELECT term, unnest(range(1, length(term) + 1)) AS e FROM unknown),
+pieces AS (SELECT term, s, e, substring(term, s + 1, e - s) AS word FROM (SELECT term, e, unnest(range(0, e)) AS s FROM ends)),
+ways AS (SELECT term, s, e, cost FROM pieces JOIN costs USING (word) WHERE e - s < length(term)),
+listed AS (SELECT term, e, list({{'s': s, 'cost': cost}} ORDER BY s) AS l FROM ways GROUP BY ALL),
+grown(term, e, best) AS (
+  SELECT term, 0::BIGINT, [{{'cost': 0::BIGINT, 'n': 0::BIGINT, 's': 0::BIGINT}}] FROM unknown
+  UNION ALL
+  SELECT term, e + 1, list_append(best, list_min(list_transform(
+    list_filter(coalesce(l, []), lambda x: best[x.s + 1] IS NOT NULL),
+    lambda x: {{'cost': (best[x.s + 1].cost + x.cost)::BIGINT, 'n': (best[x.s + 1].n + 1)::BIGINT, 's': x.s::BIGINT}})))
+  FROM (SELECT g.term, g.e, g.best, l.l FROM grown g LEFT JOIN listed l ON l.term = g.term AND l.e = g.e + 1
+        WHERE g.e < length(g.term))
+),
+told(term, best, place, text) AS (
+  SELECT term, best, length(term)::BIGINT, '' FROM grown WHERE e = length(term) AND best[e + 1] IS NOT NULL
+  UNION ALL
+  SELECT term, best, best[place + 1].s,
+         substring(term, best[place + 1].s + 1, place - best[place + 1].s) || CASE WHEN text = '' THEN '' ELSE ' ' || text END
+  FROM told WHERE place > 0
+),
+cut AS (SELECT term, text FROM told WHERE place = 0),
+k AS (SELECT doc_id, pos, coalesce(text, w) AS w FROM r LEFT JOIN cut ON cut.term = r.w)
+{rebuilt('SELECT * FROM k', 'split')}"""
+
 NO_PUNCT = f"translate(text, {P}, '')"
 BENCHMARK_TERMS = f"SELECT DISTINCT w FROM ({rows(NO_PUNCT, 'benchmark', 'item_id')})"
 TRANSLATE = f"""
@@ -588,6 +619,7 @@ ORACLE: dict[str, str] = {
     "column_uniques": """SELECT count(DISTINCT user_id) AS user_id, count(DISTINCT event_type) AS event_type,
         count(DISTINCT props) AS props FROM events""",
     "spell_correct": SPELL,
+    "split_joined": SPLIT,
     "group_values": "SELECT p_type, p_size, count(*) AS count FROM part GROUP BY ALL",
     "group_info": f"""SELECT (SELECT count(*) FROM (SELECT DISTINCT p_type FROM part)) AS count,
         max({SIZES}) AS maximum, min({SIZES}) AS minimum FROM part""",

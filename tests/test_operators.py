@@ -273,6 +273,44 @@ def test_stem_terms_as_the_function_does(spark, docs, join_way):
         assert got == want
 
 
+def cheapest(term, costs):
+    """All cuts into two words or more, tried one by one; ties as the operator says."""
+    def cuts(end):
+        if end == 0:
+            return [(0, 0, ())]
+        return [
+            (cost + costs[term[start:end]], n + 1, (*path, term[start:end]))
+            for start in range(end) if end - start < len(term) and term[start:end] in costs
+            for cost, n, path in cuts(start)
+        ]
+
+    def order(cut):
+        return cut[0], cut[1], [-len(w) for w in reversed(cut[2])]
+
+    found = cuts(len(term))
+    return list(min(found, key=order)[2]) if found else [term]
+
+
+def test_split_joined(spark, docs, join_way):
+    vocab = {"of": 30, "the": 100, "cat": 20, "cats": 9, "in": 40, "is": 35, "th": 1, "e": 2, "co": 3, "py": 3, "copy": 1, "s": 4}
+    total = sum(vocab.values())
+    costs = {w: round(1_000 * (math.log(total) - math.log(n))) for w, n in vocab.items()}
+    table = spark.createDataFrame(list(vocab.items()), "word string, freq bigint")
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices(list(vocab), k=rng.randint(1, 5))) for _ in range(20)) for _ in range(20)]
+    rows = [*DOCS, (900, "ofthe inthecat cat 12 xofthe " + "the" * 30), (901, "ofthe"), *enumerate(texts, 1_000)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = by_id(op.split_joined(df, "id", "text", table, 40), "split")
+    assert got[901] == ["of", "the"]
+
+    def rule(w):
+        skip = w in vocab or len(w) < 2 or len(w) > 40 or not any(c.isalpha() for c in w)
+        return [w] if skip else cheapest(w, costs)
+
+    want = {i: None if t is None else [v for w in tokens(t) for v in rule(w)] for i, t in rows}
+    assert got == want
+
+
 REPEATED = [(1, "cats a b"), (1, "dog cat a b"), (None, "cats"), (None, "cats"), (2, None), (1, "cats a b")]
 
 
