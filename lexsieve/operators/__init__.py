@@ -13,7 +13,7 @@ from lexsieve.operators.lemmas import inflected_forms, lemmatize_tokens
 from lexsieve.operators.phrases import translate_phrases
 from lexsieve.operators.segment import segmentations, split_joined
 from lexsieve.operators.sentiment import sentiment
-from lexsieve.operators.spelling import corrections, spell_correct
+from lexsieve.operators.spelling import correct_in_context, corrections, spell_correct
 from lexsieve.operators.summary import (
     column_summary,
     column_uniques,
@@ -23,7 +23,7 @@ from lexsieve.operators.summary import (
 )
 
 __all__ = [
-    "column_summary", "column_uniques", "corrections", "decode_tokens", "doc_terms", "encode_tokens",
+    "column_summary", "column_uniques", "correct_in_context", "corrections", "decode_tokens", "doc_terms", "encode_tokens",
     "frequent_terms", "group_info", "group_summary", "group_values", "hashed_tfidf", "inflected_forms",
     "lemmatize_tokens", "remove_frequent", "remove_rare", "segmentations", "sentiment", "spell_correct",
     "split_joined", "stem_terms", "token_dictionary", "translate_phrases", "translate_terms",

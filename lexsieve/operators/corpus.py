@@ -13,6 +13,7 @@ from lexsieve.functions.tokens import remove_stop_words
 from lexsieve.operators.terms import (
     distinct_terms,
     join_counted_terms,
+    numbered,
     patch_tokens,
     row_key,
     sorted_runs,
@@ -63,7 +64,26 @@ def doc_terms(df: DataFrame, key: str, col: str) -> DataFrame:
 
 def frequent_terms(df: DataFrame, col: str, k: int) -> DataFrame:
     """The ``k`` most frequent terms, equal counts in order of the term: (term, n)."""
-    return term_counts(df, tokens_of(df, col)).orderBy(F.desc("n"), "term").limit(k)
+    counts = term_counts(df, tokens_of(df, col))
+    if k <= LIST_LIMIT:
+        return counts.orderBy(F.desc("n"), "term").limit(k)
+    return top_counts(settle(counts), k)
+
+
+def top_counts(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` first rows of a settled table (term, n), greatest counts first, for any ``k``.
+
+    Terms are counted by the power of two below their number, which shows where the ``k``-th
+    lies; only terms from that power on are sorted, in ranges, so no task sees all of them.
+    """
+    power = F.floor(F.log2("n")).cast("int")
+    steps = counts.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()
+    least, seen = 0, 0
+    for step in steps:
+        least, seen = step["power"], seen + step["count"]
+        if seen >= k:
+            break
+    return numbered(counts.filter(power >= least), F.desc("n"), F.col("term")).filter(F.col("id") < k).drop("id")
 
 
 def remove_frequent(
@@ -94,7 +114,7 @@ def remove_frequent(
         )
     df, key = row_key(df, key)
     counts = settle(term_counts(df, tokens))
-    top = counts.orderBy(F.desc("n"), "term").limit(k).select("term", F.lit(True).alias("drop"))
+    top = top_counts(counts, k).select("term", F.lit(True).alias("drop"))
     table = settle(counts.join(top, "term", "left"))
     hits = join_counted_terms(token_rows(df, key, tokens), table, F.col("drop").isNotNull()).select(
         key, "pos", F.lit(None).cast("string").alias("word")

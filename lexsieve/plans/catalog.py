@@ -83,6 +83,12 @@ def spell_correct(spark: SparkSession, folder: str) -> DataFrame:
     return _joined(op.spell_correct(texts(spark, folder), "doc_id", "text", words), "corrected")
 
 
+def correct_in_context(spark: SparkSession, folder: str) -> DataFrame:
+    words = _common_words(spark, folder)
+    documents = texts(spark, folder).select("doc_id", "text")
+    return _joined(op.correct_in_context(documents, "doc_id", "text", words), "corrected")
+
+
 def split_joined(spark: SparkSession, folder: str) -> DataFrame:
     words = _common_words(spark, folder)
     return _joined(op.split_joined(texts(spark, folder).select("doc_id", "text"), "doc_id", "text", words), "split")
@@ -216,6 +222,11 @@ def frequent_terms(spark: SparkSession, folder: str) -> DataFrame:
     return op.frequent_terms(texts(spark, folder), "text", 20)
 
 
+def top_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """A top list too long to be sorted in one task."""
+    return op.frequent_terms(texts(spark, folder), "text", 5_000)
+
+
 def summary(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").withColumn("size_text", F.col("p_size").cast("string"))
     return op.column_summary(parts, "size_text")
@@ -326,6 +337,7 @@ QUERIES: dict[str, Query] = {
     "remove_frequent": remove_frequent,
     "remove_frequent_compat": remove_frequent_compat,
     "frequent_terms": frequent_terms,
+    "top_terms": top_terms,
     "remove_rare": remove_rare,
     "remove_rare_compat": remove_rare_compat,
     "number_to_words": order_words,
@@ -333,6 +345,7 @@ QUERIES: dict[str, Query] = {
     "column_summary_text": summary_of_text,
     "column_uniques": uniques,
     "spell_correct": spell_correct,
+    "correct_in_context": correct_in_context,
     "split_joined": split_joined,
     "group_values": group_values,
     "group_info": group_info,

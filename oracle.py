@@ -293,6 +293,18 @@ best AS (SELECT w, word FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER
 k AS (SELECT doc_id, pos, coalesce(word, r.w) AS w FROM r LEFT JOIN best ON r.w = best.w)
 {rebuilt('SELECT * FROM k', 'corrected')}"""
 
+SPELL_CONTEXT = SPELL[: SPELL.index("best AS")] + f"""
+n AS (SELECT *, lag(w) OVER o AS before, lead(w) OVER o AS after FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+two AS (SELECT w AS a, after AS b, count(*) AS n FROM n WHERE after IS NOT NULL GROUP BY ALL),
+options AS (SELECT doc_id, pos, word, freq,
+       (coalesce(l.n, 0) + 1)::HUGEINT * (coalesce(t.n, 0) + 1)::HUGEINT AS fit
+     FROM n JOIN pairs ON pairs.w = n.w LEFT JOIN two l ON l.a = before AND l.b = word
+     LEFT JOIN two t ON t.a = word AND t.b = after),
+best AS (SELECT doc_id, pos, word FROM (SELECT *, row_number() OVER (
+           PARTITION BY doc_id, pos ORDER BY fit DESC, freq DESC, word) AS rn FROM options) WHERE rn = 1),
+k AS (SELECT doc_id, pos, coalesce(word, w) AS w FROM r LEFT JOIN best USING (doc_id, pos))
+{rebuilt('SELECT * FROM k', 'corrected')}"""
+
 # Places of a word one after the other, each with its best way from the start: cost, words, last cut.
 SPLIT = f"""
 WITH RECURSIVE r AS ({rows()}), words AS ({COMMON}),
@@ -620,6 +632,8 @@ ORACLE: dict[str, str] = {
         count(DISTINCT props) AS props FROM events""",
     "spell_correct": SPELL,
     "split_joined": SPLIT,
+    "correct_in_context": SPELL_CONTEXT,
+    "top_terms": TOP.replace("LIMIT 20", "LIMIT 5000"),
     "group_values": "SELECT p_type, p_size, count(*) AS count FROM part GROUP BY ALL",
     "group_info": f"""SELECT (SELECT count(*) FROM (SELECT DISTINCT p_type FROM part)) AS count,
         max({SIZES}) AS maximum, min({SIZES}) AS minimum FROM part""",

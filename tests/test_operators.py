@@ -193,6 +193,30 @@ def test_spell_correct(spark, docs, join_way, distance):
     assert got == {0: [best(w) for w in odd[0][1].split()]}
 
 
+def test_correct_in_context(spark, docs, join_way):
+    vocab = {"the": 9, "cat": 5, "cut": 5, "cot": 5, "dog": 7, "box": 1, "fox": 1, "run": 3, "ran": 3, "of": 2}
+    rng = random.Random(11)
+    words = [*vocab, "cet", "cxt", "rn", "bx", "zox", "12", "quite"]
+    texts = [(1_000 + i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(60)]
+    rows = [*DOCS, *texts, (2_000, "the cet"), (2_001, "cxt")]
+    lists = {i: tokens(t) for i, t in rows}
+    two = Counter(p for ws in lists.values() for p in itertools.pairwise(ws or []))
+
+    def best(ws, i):
+        w = ws[i]
+        near = {v: edits(w, v) for v in vocab if edits(w, v) <= 1}
+        if w in vocab or not near or not any(c.isalpha() for c in w):
+            return w
+        options = [v for v, d in near.items() if d == min(near.values())]
+        before, after = (ws[i - 1] if i else None), (ws[i + 1] if i + 1 < len(ws) else None)
+        return min(options, key=lambda v: (-(two[before, v] + 1) * (two[v, after] + 1), -vocab[v], v))
+
+    table = spark.createDataFrame(list(vocab.items()), "word string, freq bigint")
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    got = by_id(op.correct_in_context(df, "id", "text", table), "corrected")
+    assert got == {i: None if ws is None else [best(ws, j) for j in range(len(ws))] for i, ws in lists.items()}
+
+
 def test_translate(spark, docs, join_way):
     rows = [("fr", "the", "le"), ("fr", "cat", "chat"), ("fr", "cat", "zchat"), ("de", "dog", "hund"), ("fr", "of", None)]
     glossary = spark.createDataFrame(rows, "lang string, term string, target string")
@@ -404,6 +428,22 @@ def test_frequent_terms(docs):
     assert docs.select(F.lit(1)).count() == len(DOCS)
 
 
+def test_long_top_list_is_exact(spark, monkeypatch):
+    """Long lists are sorted in ranges; ties at the end are cut in order of the term."""
+    from lexsieve.operators import corpus as module
+
+    monkeypatch.setattr(module, "LIST_LIMIT", 0)
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(6_000)]
+    df = spark.createDataFrame([(" ".join(words[i : i + 50]),) for i in range(0, 6_000, 50)], "text string")
+    ranked = sorted(Counter(words).items(), key=lambda p: (-p[1], p[0]))
+    for k in (1, 7, 100, 10**6):
+        top = op.frequent_terms(df, "text", k)
+        assert sorted(top.collect(), key=lambda r: (-r["n"], r["term"])) == [(w, n) for w, n in ranked[:k]]
+        assert "TakeOrdered" not in top._jdf.queryExecution().executedPlan().toString()
+    assert op.frequent_terms(df.limit(0), "text", 5).count() == 0
+
+
 def test_rows_without_a_key(spark):
     """Equal rows, rows under one id and null ids are each patched for themselves."""
     rows = [(1, "cat a b"), (1, "dog cat a b"), (None, "cat"), (None, "cat"), (2, None), (1, "cat a b")]
