@@ -20,11 +20,14 @@ from lexsieve.operators.summary import (
     group_info,
     group_summary,
     group_values,
+    kept_summaries,
+    merged_summaries,
+    summary_measures,
 )
 
 __all__ = [
     "column_summary", "column_uniques", "correct_in_context", "corrections", "decode_tokens", "doc_terms", "encode_tokens",
     "frequent_terms", "group_info", "group_summary", "group_values", "hashed_tfidf", "inflected_forms",
-    "lemmatize_tokens", "remove_frequent", "remove_rare", "segmentations", "sentiment", "spell_correct",
-    "split_joined", "stem_terms", "token_dictionary", "translate_phrases", "translate_terms",
+    "kept_summaries", "lemmatize_tokens", "merged_summaries", "remove_frequent", "remove_rare", "segmentations", "sentiment", "spell_correct",
+    "split_joined", "stem_terms", "summary_measures", "token_dictionary", "translate_phrases", "translate_terms",
 ]

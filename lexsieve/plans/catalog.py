@@ -6,6 +6,7 @@ Token arrays are shown as text joined by spaces, which tokens never hold.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -279,6 +280,70 @@ def append_sink(spark: SparkSession, folder: str) -> DataFrame:
     return io.read(spark, "parquet", names.schema, path)
 
 
+def append_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer names in two batches, of which each is appended twice: each row is there once."""
+    names = table(spark, folder, "customer").select("c_custkey", fn.lower("c_name").alias("name"))
+    path = io.new_path(spark, "append_once")
+    for _ in range(2):
+        io.append_once(names.filter("c_custkey % 2 = 0"), path, "even")
+        io.append_once(names.filter("c_custkey % 2 = 1"), path, "odd")
+    return io.read_batches(spark, path, names.schema)
+
+
+def normalize_sinks(spark: SparkSession, folder: str) -> DataFrame:
+    """All seven stages, each written to its own folder in one pass over the documents."""
+    stages = normalize(texts(spark, folder), "doc_id", "text", lemmas=_common_words(spark, folder))
+    targets = io.fan_out(stages, "doc_id", io.new_path(spark, "normalize_sinks"))
+    found = [
+        spark.read.schema("doc_id bigint, value string").parquet(path).select(F.lit(name).alias("stage"), "doc_id", "value")
+        for name, path in targets.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def written_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """What a write of the parts tells of them, without another pass."""
+    parts = table(spark, folder, "part").withColumn("size_text", F.col("p_size").cast("string"))
+    measures = op.summary_measures(parts, "size_text")
+    told = io.write_observed(parts, "parquet", "append", io.new_path(spark, "written_summary"), measures)
+    close = abs(told["unique"] - told["count"]) <= 0.05 * told["count"]
+    return spark.createDataFrame([(told["count"], told["maximum"], close)], "count long, maximum int, close boolean")
+
+
+def daily_uniques(spark: SparkSession, folder: str) -> DataFrame:
+    """Different values of the events by month, from sketches kept for each day, held against exact ones."""
+    cols = ["user_id", "event_type", "value"]
+    events = table(spark, folder, "events")
+    kept = io.settle(op.kept_summaries(events, F.to_date("ts"), cols))
+    month = F.date_format("part", "yyyy-MM").alias("month")
+    merged = op.merged_summaries(kept.select("*", month), "month")
+    exact = events.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(
+        *[F.count_distinct(c).alias(c) for c in cols]
+    ).unpivot("month", cols, "column", "exact")
+    close = F.abs(F.col("unique") - F.col("exact")) <= 0.03 * F.col("exact")
+    return merged.join(exact, ["month", "column"]).select("month", "column", "count", "exact", close.alias("close"))
+
+
+def changing_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Events written as JSON lines whose field changes its type from row to row, then read as they are."""
+    value = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("user_id").alias("v")))).when(
+        F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("event_type").alias("v")))
+    ).otherwise(F.to_json(F.struct(F.struct(F.col("user_id").alias("a")).alias("v"))))
+    events = table(spark, folder, "events")
+    lines = events.select(F.concat(F.lit('{"id": '), "event_id", F.lit(", "), F.substring(value, 2, 1 << 20)).alias("value"))
+    path = io.new_path(spark, "changing_json")
+    io.write(lines, "text", "append", path)
+    fields = {"id": ("$.id", "bigint"), "kind": ("$.v", "kind"), "number": ("$.v", "bigint"), "text": ("$.v", "string"),
+              "inner": ("$.v.a", "bigint")}
+    return io.variant_fields(io.read_variant(spark, path), "row", fields).drop("row")
+
+
+def vectors_as_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashed term counts as the text that a flat sink takes."""
+    vectors = op.hashed_tfidf(texts(spark, folder).select("doc_id", "text"), "text")
+    return vectors.select("doc_id", io.vector_text("tf").alias("tf"))
+
+
 def overwrite_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes in words written over an older result: only the newer rows are there."""
     parts = table(spark, folder, "part")
@@ -358,6 +423,12 @@ QUERIES: dict[str, Query] = {
     "json_column": json_column,
     "sql_view": sql_view,
     "append_sink": append_sink,
+    "append_once": append_once,
+    "normalize_sinks": normalize_sinks,
+    "written_summary": written_summary,
+    "daily_uniques": daily_uniques,
+    "changing_json": changing_json,
+    "vectors_as_text": vectors_as_text,
     "overwrite_sink": overwrite_sink,
     "json_lines": json_lines,
     "flatten_arrays": flat_arrays,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,6 +25,28 @@ def read_json(
     return read(spark, "json", schema, path, multiLine=str(array).lower())
 
 
+def read_variant(spark: SparkSession, path: str, out: str = "row") -> DataFrame:
+    """JSON lines, each a value of a VARIANT column: no schema is needed, and fields may change their type."""
+    return spark.read.option("singleVariantColumn", out).json(path)
+
+
+def parse_variant(df: DataFrame, col: str, out: str = "parsed") -> DataFrame:
+    """Add a column of JSON texts as VARIANT; null where a text cannot be read."""
+    return df.withColumn(out, F.try_parse_json(F.col(col)))
+
+
+def variant_fields(df: DataFrame, col: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add columns from a VARIANT: name -> (path like ``$.a.b``, type), null where a value has another type
+    that does not become the one wanted. The type ``kind`` tells the value's own type."""
+
+    def field(path: str, kind: str) -> Column:
+        if kind == "kind":
+            return F.schema_of_variant(F.try_variant_get(F.col(col), path, "variant"))
+        return F.try_variant_get(F.col(col), path, kind)
+
+    return df.select("*", *[field(path, kind).alias(name) for name, (path, kind) in fields.items()])
+
+
 def parse_json(
     df: DataFrame, col: str, schema: StructType | str, corrupt: str | None = None
 ) -> DataFrame:

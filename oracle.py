@@ -444,6 +444,11 @@ SELECT d.doc_id,
 FROM documents d LEFT JOIN (SELECT doc_id, b, tf, idf FROM tf JOIN idf USING (b)) USING (doc_id)
 GROUP BY d.doc_id"""
 
+VECTORS = HASHED_TFIDF[: HASHED_TFIDF.index("idf AS")].rstrip().rstrip(",") + """
+SELECT d.doc_id, '(3,[' || coalesce(string_agg(b::VARCHAR, ',' ORDER BY b), '') || '],['
+       || coalesce(string_agg(tf || '.0', ',' ORDER BY b), '') || '])' AS tf
+FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY d.doc_id"""
+
 # ---- numbers ---------------------------------------------------------------
 
 HUNDRED = "[" + ", ".join(quote(w) for w in BELOW_HUNDRED) + "]"
@@ -646,6 +651,23 @@ ORACLE: dict[str, str] = {
     "json_scan": CUSTOMER,
     "json_column": "SELECT (props::JSON ->> 'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",
     "sql_view": "SELECT n_name FROM nation",
+    "append_once": NAMES,
+    "normalize_sinks": f"UNPIVOT ({NORMALIZE}) ON COLUMNS(* EXCLUDE doc_id) INTO NAME stage VALUE value",
+    "written_summary": f"SELECT count(*) AS count, max({SIZES}) AS maximum, true AS close FROM part",
+    "daily_uniques": """
+        SELECT strftime(ts, '%Y-%m') AS month, 'user_id' AS "column", count(user_id) AS count,
+               count(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY 1
+        UNION ALL
+        SELECT strftime(ts, '%Y-%m'), 'event_type', count(event_type), count(DISTINCT event_type), true FROM events GROUP BY 1
+        UNION ALL
+        SELECT strftime(ts, '%Y-%m'), 'value', count(value), count(DISTINCT value), true FROM events GROUP BY 1""",
+    "changing_json": """
+        SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' ELSE 'OBJECT<a: BIGINT>' END AS kind,
+               CASE event_id % 3 WHEN 0 THEN user_id END AS number,
+               CASE event_id % 3 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN event_type
+                    ELSE '{"a":' || user_id || '}' END AS text,
+               CASE event_id % 3 WHEN 2 THEN user_id END AS inner FROM events""",
+    "vectors_as_text": VECTORS,
     "append_sink": f"{NAMES} UNION ALL {NAMES}",
     "overwrite_sink": f"SELECT p_partkey, {cardinal('p_size')} AS words FROM part",
     "json_lines": """SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name,
