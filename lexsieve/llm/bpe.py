@@ -4,6 +4,9 @@ The symbols of many words lie in one flat array. Each round looks up all neighbo
 at once by binary search over the sorted pair keys, merges in every word its pair of lowest
 rank, and drops the words that are finished. A batch encodes each of its different words
 once.
+
+A round takes one rank of each word, so a word of very many symbols would need very many rounds over
+all of it; such words are merged from a heap of their pairs instead, one merge at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,9 @@ NO_RANK = np.iinfo(np.int64).max
 # What Unicode calls white space.
 SPACE = r"[\t-\r \x85\xa0  -     　]+"
 WORDS_KEPT = 200_000
+# Words of more bytes than this are merged from a heap.
+LONG_WORD = 1_000
+LOW = (1 << 32) - 1
 
 
 def byte_letters() -> list[str]:
@@ -63,6 +70,8 @@ class Tokenizer:
         keys = left.astype(np.int64) << 32 | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.made_by = made.tolist()
         self.known: dict[str, bytes] = {}
 
     def _ranks(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +83,49 @@ class Tokenizer:
         return np.where(found, self.ranks[place], NO_RANK), place
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, from all words' bytes in one array."""
+        """Ids of each word: long ones one by one, the others from all their bytes in one array."""
         raw = [w.encode("utf-8") for w in words]
+        short = iter(self._encode_short([b for b in raw if len(b) <= LONG_WORD]))
+        return [self._encode_long(b) if len(b) > LONG_WORD else next(short) for b in raw]
+
+    def _encode_long(self, raw: bytes) -> np.ndarray:
+        """Merges from a heap of (rank, place), the leftmost of equal ranks first."""
+        data = np.frombuffer(raw, np.uint8)
+        symbols = self.inner[data]
+        symbols[-1] = self.final[data[-1]]
+        rank, _ = self._ranks(symbols, np.zeros(len(symbols), np.int8))
+        at = np.flatnonzero(rank != NO_RANK)
+        heap = sorted((rank[at] << 32 | at).tolist())  # a sorted list is a heap
+        symbol, n = symbols.tolist(), len(symbols)
+        following, before = [*range(1, n), -1], list(range(-1, n - 1))
+        rank_of, made_by = self.rank_of, self.made_by
+        while heap:
+            entry = heappop(heap)
+            i, r = entry & LOW, entry >> 32
+            j = following[i]
+            # Entries of symbols that have been merged since are stale.
+            if j < 0 or symbol[i] < 0 or rank_of.get(symbol[i] << 32 | symbol[j]) != r:
+                continue
+            symbol[i], symbol[j] = made_by[r], -1
+            following[i] = k = following[j]
+            if k >= 0:
+                before[k] = i
+                if (new := rank_of.get(symbol[i] << 32 | symbol[k])) is not None:
+                    heappush(heap, new << 32 | i)
+            h = before[i]
+            if h >= 0 and (new := rank_of.get(symbol[h] << 32 | symbol[i])) is not None:
+                heappush(heap, new << 32 | h)
+        return np.array([s for s in symbol if s >= 0], "<u4")
+
+    def _encode_short(self, raw: list[bytes]) -> list[np.ndarray]:
+        if not raw:
+            return []
         lengths = np.array([len(b) for b in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[data]
         ends = np.cumsum(lengths) - 1
         symbols[ends] = self.final[data[ends]]
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(raw)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             rank, place = self._ranks(symbols, word)
@@ -102,7 +146,7 @@ class Tokenizer:
             symbols, word = symbols[keep], word[keep]
         words_, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, int),) * 2
         order = np.argsort(words_, kind="stable")
-        sizes = np.bincount(words_, minlength=len(words))
+        sizes = np.bincount(words_, minlength=len(raw))
         return np.split(ids[order].astype("<u4"), np.cumsum(sizes)[:-1])
 
     def split(self, text: str) -> list[str | int]:

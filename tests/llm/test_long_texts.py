@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import random
 import re
+import time
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer as Library
 
-from lexsieve.llm import quality, secrets, toxicity
+from lexsieve.llm import bpe, quality, secrets, toxicity
 
 LONG_PIECES = ["ab/", "a-", "aA1_", "a ", "word word ", "a", "é", "x\n", "deadbeef"]
 
 
 @pytest.fixture(scope="module")
 def long_texts(spark):
-    rows = [(i, piece * (1_000_000 // len(piece))) for i, piece in enumerate(LONG_PIECES)]
+    rows = [(i, piece * (300_000 // len(piece))) for i, piece in enumerate(LONG_PIECES)]
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
 
 
@@ -45,8 +49,6 @@ def test_repeats_as_the_pattern_says(spark):
 
 def test_allowed_paths_as_a_repeated_group_says(spark):
     looping = re.compile(r"[/_-]?(?:[A-Za-z]+[0-9]{0,3}[/_=-]+)+(?:[A-Za-z]+[0-9]{0,3})?")
-    import random
-
     random.seed(6)
     texts = ["".join(random.choices("aB1/_=-+9", [4, 3, 1, 2, 2, 1, 2, 0.2, 0.5], k=random.randint(20, 24))) for _ in range(3_000)]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
@@ -74,3 +76,24 @@ def test_toxicity_takes_one_row_of_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
     assert toxicity.score(df, toxicity.train(df, labels)).count() == len(rows)
+
+
+def test_bpe_of_long_words_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, library = bpe.Tokenizer(path), Library.from_file(path)
+    random.seed(7)
+    letters = "etaoinshrdlucmfwypvbgkqjxz"
+    words = ["".join(random.choices(letters, range(26, 0, -1), k=n)) for n in (999, 1_000, 1_001, 5_000, 30_000)]
+    words += ["a" * 4_001, "ab" * 3_000, "é" * 1_500, "日本語" * 700, "".join(random.choices("aéß日", k=3_000)), "the" * 2_000]
+    texts = [*words, " ".join(words[:3]) + " the end", words[3] + "!"]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_of_a_megabyte_without_a_break():
+    coder = bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    random.seed(8)
+    text = "".join(random.choices("etaoinshrdlucmfwypvbgkqjxz", k=1_000_000))
+    start = time.process_time()
+    assert len(coder.encode([text])[0]) > 100_000
+    assert time.process_time() - start < 20
