@@ -1,8 +1,9 @@
-"""Document fingerprints of closed syncmers over words.
+"""Document fingerprints of closed syncmers.
 
-A run of K words is an anchor if the smallest hash among its inner runs of S words is at one
-of its edges. That is decided by the K words alone, so the same passage gives the same
-anchors wherever it stands, and the anchors of two texts can be matched by position.
+A text is a row of units: its words, and the code points of words too long to be words (scripts
+without spaces, encoded runs). A run of K units is an anchor if the smallest hash among its inner
+runs of S units is at one of its edges. That is decided by the K units alone, so the same passage gives
+the same anchors wherever it stands, and the anchors of two texts can be matched by position.
 """
 
 from __future__ import annotations
@@ -10,21 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexsieve.llm.common import WORD, code_points, named, packed, parallelism, unpacked
-from lexsieve.llm.secrets import let
+from lexsieve.llm.common import code_points, let, named, packed, parallelism, unpacked
 
 K = 5
 S = 2
+LONGEST_WORD = 24
+# A whole word of up to LONGEST_WORD characters, else one character of a longer one.
+UNIT = rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{1,{LONGEST_WORD}}}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Array of (pos, hash): the closed syncmers of a text, in order of their first word.
+    """Array of (pos, hash): the closed syncmers of a text, in order of their first unit.
 
-    A text with words but without a closed syncmer (always below ``k`` words, never from
-    2k - s - 1 on) has one anchor for all its words; an empty or null text has none.
+    A text with units but without a closed syncmer (always below ``k`` units, never from
+    2k - s - 1 on) has one anchor for all its units; an empty or null text has none.
     """
-    words = F.regexp_extract_all(code_points(text), F.lit(WORD), F.lit(0))
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    units = F.regexp_extract_all(code_points(text), F.lit(UNIT), F.lit(0))
+    hashes = F.transform(units, lambda w: F.xxhash64(w))
     inner = k - s + 1
 
     def of(x: Column) -> Column:
@@ -71,6 +74,39 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.struct(hashes[0].alias("a"), hashes[1].alias("b")), of)
 
 
+def in_place(a: Column, b: Column) -> Column:
+    """How many anchors of two texts match by position: equal ones that are equally far apart in both.
+
+    Anchors with the same hash are paired in order of position where they are next to one another in
+    the sorted anchors of both texts; of the distances between the two of a pair the most common
+    one counts. A passage that moved as a whole is found where it went.
+    """
+
+    def side(found: Column, sign: int) -> Column:
+        return F.transform(found, lambda x: F.struct(
+            x["hash"].alias("hash"), F.lit(sign).alias("side"), x["pos"].alias("pos")
+        ))
+
+    def distances(x: Column) -> Column:
+        def one(own: Column, i: Column) -> Column:
+            other = F.get(x, i + 1)
+            pair = (other["hash"] == own["hash"]) & (other["side"] > own["side"])
+            return F.when(pair, other["pos"] - own["pos"])
+
+        return F.array_sort(F.filter(F.transform(x, one), lambda d: d.isNotNull()))
+
+    def longest_run(d: Column) -> Column:
+        def step(state: Column, value: Column) -> Column:
+            n = F.when(value == state["value"], state["n"] + 1).otherwise(F.lit(1))
+            return F.struct(value.alias("value"), n.alias("n"), F.greatest(state["most"], n).alias("most"))
+
+        start = F.struct(F.lit(0).alias("value"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+        return F.aggregate(d, start, step, lambda s: s["most"])
+
+    both = F.array_sort(F.concat(side(a, 0), side(b, 1)))
+    return let(let(both, distances), longest_run)
+
+
 def _bucket(key: Column, splits: list[int]) -> Column:
     """How many of the sorted splits are below the key: found in two short steps."""
     if not splits:

@@ -34,7 +34,7 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = embeddings.near_vectors(table(spark, folder, "embeddings"))
+    found, _ = embeddings.audited_vectors(table(spark, folder, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
@@ -76,6 +76,7 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.fingerprint(changed).alias("edited_fingerprint"),
         fingerprints.likeness(own, changed).alias("near_edited"),
         fingerprints.likeness(own, F.col("next")).alias("near_next"),
+        fingerprints.in_place(own, changed).alias("edited_in_place"),
     )
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
-from lexsieve.llm import bpe, quality, secrets, toxicity
+from lexsieve.llm import bpe, fingerprints, quality, secrets, toxicity
 
 LONG_PIECES = ["ab/", "a-", "aA1_", "a ", "word word ", "a", "é", "x\n", "deadbeef"]
 
@@ -32,6 +32,38 @@ def test_secrets_of_long_texts(long_texts):
     assert all(kinds == ([2] if i in hexadecimal else []) for i, kinds in found.items())
 
 
+def test_fingerprints_of_long_texts(long_texts):
+    """A run without a break has anchors of its characters, as has a row of equal words."""
+    found = {r["doc_id"]: r["n"] for r in long_texts.select("doc_id", F.size(fingerprints.anchors(F.col("text"))).alias("n")).collect()}
+    assert len(found) == len(LONG_PIECES) and all(n > 10_000 for n in found.values())
+
+
+def test_fingerprints_without_white_space(spark):
+    random.seed(9)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    text, tail, front = ("".join(random.choices(signs, k=n)) for n in (600, 200, 70))
+    rows = [(text, text[:400] + tail), (text, front + text), (text, "".join(random.choices(signs, k=600)))]
+    a, b = fingerprints.anchors(F.col("a")), fingerprints.anchors(F.col("b"))
+    found = spark.createDataFrame(rows, "a string, b string").select(
+        fingerprints.likeness(a, b).alias("near"), fingerprints.in_place(a, b).alias("placed"), F.size(a).alias("n")
+    ).collect()
+    assert found[0]["near"] > 0.4 and found[0]["placed"] > 0.6 * found[0]["n"]
+    assert found[1]["near"] > 0.8 and found[1]["placed"] > 0.99 * found[1]["n"]
+    assert found[2]["near"] == 0.0 and found[2]["placed"] == 0
+
+
+def test_anchors_match_by_position(spark):
+    """A passage that moved is matched at its one distance; a reordered text only in part."""
+    random.seed(10)
+    words = [f"w{i}" for i in range(200)]
+    moved, halves = ["new"] * 9 + words, words[100:] + words[:100]
+    rows = [(" ".join(words), " ".join(other)) for other in (words, moved, halves)]
+    a, b = fingerprints.anchors(F.col("a")), fingerprints.anchors(F.col("b"))
+    found = spark.createDataFrame(rows, "a string, b string").select(fingerprints.in_place(a, b).alias("placed"), F.size(a).alias("n")).collect()
+    n = found[0]["n"]
+    assert found[0]["placed"] == n and found[1]["placed"] == n and 0.3 * n < found[2]["placed"] < 0.7 * n
+
+
 def test_quality_of_long_texts(long_texts):
     found = quality.classify(long_texts).select("doc_id", "quality").collect()
     assert len(found) == len(LONG_PIECES) and all(0 <= r["quality"] <= 1 for r in found)

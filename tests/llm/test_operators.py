@@ -441,6 +441,27 @@ def test_near_vectors_against_brute_force(spark, rows):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_search_is_made_again_below_the_target(spark, monkeypatch):
+    """A search that finds too little is followed by a wider one, which is audited in turn."""
+    random = np.random.default_rng(6)
+    base = random.normal(size=(40, 8))
+    vectors = np.concatenate([base, base + random.normal(size=(40, 8)) * 0.02])
+    df = spark.createDataFrame([(20 * i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    whole, tried = embeddings.near_vectors, []
+
+    def blind(*args, margin=1.25, **options):
+        tried.append(margin)
+        found = whole(*args, margin=margin, **options)
+        return found if margin is None else found.withColumn("n_links", F.lit(0).cast("long"))
+
+    found, recall = embeddings.audited_vectors(df)
+    assert recall >= 0.9 and found.filter("n_links > 0").count() >= 70
+    monkeypatch.setattr(embeddings, "near_vectors", blind)
+    found, recall = embeddings.audited_vectors(df)
+    assert tried == [1.25, None] and recall >= 0.9 and found.filter("n_links > 0").count() >= 70
+    assert embeddings.audited_vectors(df.limit(0))[1] == 1.0
+
+
 def low_rank(random, n, inside, length):
     """Pairs of linked vectors in a subspace: a cosine of 0.981 to 0.999."""
     axes = np.linalg.qr(random.normal(size=(length, inside)))[0].T
