@@ -4,14 +4,16 @@ The index is a table: documents are taken together into segments, and each term
 one row with the places of its occurrences in it, documents lying one after the other. Segments are
 made where the documents are read, so nothing is shuffled to build it.
 
-A search takes windows of words. Only segments that hold a window's rarest terms are looked at, and
-only the postings of the terms wanted there are read on; the lists, each moved by its term's place in
-the window, are intersected from the rarest term on, and what is left is where the window stands.
+A search takes windows of words. It reads the postings of their terms from the index once; only
+segments that hold a window's rarest terms are looked at, and only the postings wanted there are
+brought together. The lists, each moved by its term's place in the window, are intersected from the rarest
+term on, and what is left is where the window stands.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lexsieve.llm.common import code_points, named, packed, unpacked
+from lexsieve.operators.terms import join_given_terms
 from lexsieve.sources.shared import settle
 
 OUTPUTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
@@ -58,7 +61,7 @@ def build_index(df: DataFrame, text: str = "text", segment_bytes: int = SEGMENT_
     def segment(number: int, found: list[list[bytes]], of: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(w) for w in found], np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
-        flat = [w for own in found for w in own]
+        flat = list(chain.from_iterable(found))
         terms = sorted(set(flat))
         code = dict(zip(terms, range(len(terms)), strict=True))
         codes = np.fromiter(map(code.__getitem__, flat), np.int32, len(flat))
@@ -116,15 +119,25 @@ def item_windows(items: DataFrame, key: str, text: str, length: int) -> DataFram
     )
 
 
-def ranked_windows(index: DataFrame, windows: DataFrame) -> DataFrame:
+def wanted_postings(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(segment, term, n, positions) of the windows' terms, settled.
+
+    The terms are broadcast if they are few; otherwise a Bloom filter of them is, and the index is
+    shuffled no further than that lets through.
+    """
+    terms = windows.select(F.explode("words").alias("term")).distinct()
+    postings = index.filter("term is not null").select("segment", "term", "n", "positions")
+    return settle(join_given_terms(postings, settle(terms)))
+
+
+def ranked_windows(postings: DataFrame, windows: DataFrame) -> DataFrame:
     """(window, length, terms): a window's terms as (n, place, term), the rarest in the corpus first.
 
     Windows with a term that no document has are left out.
     """
     different = windows.dropDuplicates(["window"]).select("window", F.size("words").alias("length"), "words")
     placed = different.select("window", "length", F.posexplode("words").alias("place", "term"))
-    wanted = placed.select("term").distinct()
-    counts = index.filter("term is not null").select("term", "n").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = postings.groupBy("term").agg(F.sum("n").alias("n"))
     terms = F.sort_array(F.collect_list(F.struct("n", "place", "term"))).alias("terms")
     return placed.join(counts, "term").groupBy("window", "length").agg(terms).filter(F.size("terms") == F.col("length"))
 
@@ -165,7 +178,7 @@ def near_spans(lists: list[np.ndarray], most: int, starts: np.ndarray) -> list[t
     return sorted(set(spans))
 
 
-def search(index: DataFrame, ranked: DataFrame, slop: int | None = None) -> DataFrame:
+def search(index: DataFrame, postings: DataFrame, ranked: DataFrame, slop: int | None = None) -> DataFrame:
     """Documents in which windows occur: (segment, doc, n_hit, spans, windows).
 
     ``doc`` is the document's number in its segment; ``spans`` are the runs of its words inside any
@@ -173,14 +186,14 @@ def search(index: DataFrame, ranked: DataFrame, slop: int | None = None) -> Data
     wherever each of its terms stands in one span of at most ``slop`` words more than the window.
     """
     exact = slop is None
-    wanted, held = ranked, index.filter("term is not null")
-    alive = held.select("segment", "term").join(wanted.withColumn("term", F.col("terms")[0]["term"]), "term").drop("term")
+    held = postings.select("segment", "term")
+    alive = held.join(ranked.withColumn("term", F.col("terms")[0]["term"]), "term").drop("term")
     for i in range(1, RAREST):
         other = F.coalesce(F.get("terms", F.lit(i))["term"], F.col("terms")[0]["term"])
-        alive = alive.withColumn("term", other).join(held.select("segment", "term"), ["segment", "term"], "left_semi").drop("term")
+        alive = alive.withColumn("term", other).join(held, ["segment", "term"], "left_semi").drop("term")
     alive = settle(alive)
     needed = alive.select("segment", F.explode("terms.term").alias("term")).distinct()
-    postings = held.select("segment", "term", "positions").join(needed, ["segment", "term"], "left_semi")
+    postings = postings.select("segment", "term", "positions").join(needed, ["segment", "term"], "left_semi")
     headers = index.filter("term is null").select("segment", "term", F.col("starts").alias("positions"))
     headers = headers.join(alive.select("segment").distinct(), "segment", "left_semi")
 
@@ -245,7 +258,8 @@ def contamination(
     """
     index = build_index(df, text, segment_bytes)
     windows = settle(item_windows(items, item, item_text, length))
-    found = settle(search(index, settle(ranked_windows(index, windows)), slop))
+    postings = wanted_postings(index, windows)
+    found = settle(search(index, postings, settle(ranked_windows(postings, windows)), slop))
     ids = windows.select("window", "item").filter("item is not null").distinct()
     listed = (
         found.select("segment", "doc", F.explode("windows").alias("window")).join(ids, "window")

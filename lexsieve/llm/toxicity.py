@@ -65,10 +65,10 @@ class Model:
     weights: list[float] = field(default_factory=list)
     share: float = 0.0
 
-    @property
-    def even(self) -> float:
-        """The threshold at which a text's words speak neither for nor against the label."""
-        return self.share if self.weights else 0.5
+    def evidence(self, odds: float) -> float:
+        """The score at which a text's words make the label's odds ``odds`` times what they are without."""
+        raised = odds * self.share
+        return raised / (raised + 1 - self.share) if self.weights else 0.5
 
     def open(self) -> Model:
         self.compressors = _compressor(self.ordinary), _compressor(self.toxic)
