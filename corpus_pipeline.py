@@ -12,9 +12,9 @@ from lexsieve.sources.shared import settle
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay unless their words make the label "toxic" likelier than it is without them."""
+    """Documents stay unless their words raise the odds of the label "toxic" by half or more."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, threshold=model.even).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, threshold=model.evidence(1.5)).filter("predicted = 0").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
