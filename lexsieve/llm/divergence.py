@@ -7,74 +7,56 @@ at the first length beyond its own (its end counts as a byte); what is complete
 are the kept terms. On these the sources are compared.
 
 Documents are coded once: a segment holds, for a language, its sorted terms and each document's
-term numbers and counts. As terms are sorted, a prefix is a range of numbers.
+term numbers and counts. As terms are sorted, those with one prefix are neighbours.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexsieve.llm.coding import coded_words
 from lexsieve.llm.common import code_points, named
 from lexsieve.sources.shared import settle
 
 # A term is a run of letters and of anything beyond ASCII; A-Z become small letters.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 END = b"\x00"
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 32 << 20
+# Kept prefixes of up to so many bytes are sent to all tasks, which then pass over the others; more are joined.
+LISTED_BYTES = 8 << 20
 FIRST_LENGTH = 2
 PAIR_TERMS, PAIR_SOURCES = 2_048, 128
 SEGMENT = (
     "segment long, lang string, terms array<binary>, sizes array<int>, codes array<int>, counts array<int>, "
     "sources array<string>, source_of array<int>"
 )
-PREFIXES = "segment long, lang string, prefix binary, low int, high int, docs long"
+PREFIXES = "lang string, prefix binary, docs long"
 
 
-def split_terms(text: bytes) -> list[bytes]:
-    return text.translate(TERM_BYTES).split()
-
-
-class _Segment:
+def _segment(number: int, lang: str, sources: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """The documents of one language in a segment."""
+    doc, code, terms = coded_words(texts, TERM_BYTES)
+    cells, counts = np.unique(doc * max(len(terms), 1) + code, return_counts=True)
+    sizes = np.bincount(cells // max(len(terms), 1), minlength=len(texts))
+    source = sources.dictionary_encode()
 
-    def __init__(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.source: dict[str, int] = {}
-        self.sizes, self.codes, self.counts, self.source_of = (array("q") for _ in range(4))
-
-    def add(self, source: str, text: bytes) -> None:
-        code = self.code
-        found = Counter(split_terms(text))
-        self.sizes.append(len(found))
-        self.codes.extend([code.setdefault(term, len(code)) for term in found])
-        self.counts.extend(found.values())
-        self.source_of.append(self.source.setdefault(source, len(self.source)))
-
-    def batch(self, number: int, lang: str) -> pa.RecordBatch:
-        terms = sorted(self.code)
-        rank = np.empty(len(terms), np.int64)
-        rank[[self.code[term] for term in terms]] = np.arange(len(terms))
-        codes, sizes = rank[np.array(self.codes, np.int64)], np.array(self.sizes, np.int64)
-        order = np.lexsort((codes, np.repeat(np.arange(len(sizes)), sizes)))
+    def one(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-        def one(values) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    def ints(values: np.ndarray) -> pa.Array:
+        return one(pa.array(values.astype(np.int32)))
 
-        def ints(values) -> pa.Array:
-            return one(pa.array(np.asarray(values).astype(np.int32)))
-
-        return pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([lang]), one(pa.array(terms, pa.binary())), ints(sizes), ints(codes[order]),
-            ints(np.array(self.counts, np.int64)[order]), one(pa.array(list(self.source), pa.string())), ints(self.source_of),
-        ], ["segment", "lang", "terms", "sizes", "codes", "counts", "sources", "source_of"])
+    return pa.RecordBatch.from_arrays([
+        pa.array([number], pa.int64()), pa.array([lang]), one(terms.cast(pa.binary())), ints(sizes),
+        ints(cells % max(len(terms), 1)), ints(counts), one(source.dictionary), ints(source.indices.to_numpy()),
+    ], ["segment", "lang", "terms", "sizes", "codes", "counts", "sources", "source_of"])
 
 
 def build_segments(df: DataFrame, lang: str, source: str, text: str, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -84,17 +66,28 @@ def build_segments(df: DataFrame, lang: str, source: str, text: str, segment_byt
         return code_points(named(name).cast("string"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size = TaskContext.get().partitionId() << 32, 0
-        held: dict[str, _Segment] = {}
+        number, size, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            for name in pc.unique(rows.column("lang")).to_pylist():
+                own = rows.filter(pc.equal(rows.column("lang"), name)).combine_chunks()
+                yield _segment(number, name, *(own.column(c).chunk(0) for c in ("source", "text")))
+
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for lang_, source_, text_ in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
-                held.setdefault(lang_, _Segment()).add(source_, text_.as_py())
-                size += len(text_.as_buffer())
+            sizes = pc.binary_length(batch.column("text").cast(pa.binary())).to_numpy()
+            first = 0
+            while first < batch.num_rows:
+                # Texts up to the one that fills the segment.
+                last = min(first + int(np.searchsorted(np.cumsum(sizes[first:]), segment_bytes - size)) + 1, batch.num_rows)
+                held.append(batch.slice(first, last - first))
+                size += int(sizes[first:last].sum())
+                first = last
                 if size >= segment_bytes:
-                    yield from (s.batch(number, name) for name, s in held.items())
-                    number, size, held = number + 1, 0, {}
-        yield from (s.batch(number, name) for name, s in held.items())
+                    yield from made()
+                    number, size, held = number + 1, 0, []
+        if held:
+            yield from made()
 
     rows = df.select(told(lang).alias("lang"), told(source).alias("source"), told(text).alias("text"))
     return settle(rows.mapInArrow(build, SEGMENT))
@@ -104,31 +97,40 @@ def _ints(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
     return batch.column(column)[i].values.to_numpy(zero_copy_only=False)
 
 
-def prefix_counts(segments: DataFrame, length: int) -> DataFrame:
-    """(segment, lang, prefix, low, high, docs): prefixes of ``length`` bytes of the terms with their ends.
+def _listed(kept: DataFrame) -> Broadcast | None:
+    """Prefixes by language for all tasks, if their bytes are few enough."""
+    size = kept.agg(F.coalesce(F.sum(F.octet_length("prefix") + F.octet_length("lang") + 8), F.lit(0))).first()[0]
+    if size > LISTED_BYTES:
+        return None
+    found: dict[str, set[bytes]] = {}
+    for lang, prefix in kept.select("lang", "prefix").collect():
+        found.setdefault(lang, set()).add(bytes(prefix))
+    return kept.sparkSession.sparkContext.broadcast(found)
 
-    ``low`` to ``high`` are the numbers of the terms with the prefix, ``docs`` the documents of the
-    segment with one of them. Where segments have ``lows`` and ``highs``, only terms in these ranges count.
+
+def prefix_counts(segments: DataFrame, length: int, under: Broadcast | None = None, above: int = 0) -> DataFrame:
+    """(lang, prefix, docs): prefixes of ``length`` bytes of the terms with their ends, and how many documents
+    of a segment have a term with each; a row for each segment.
+
+    With ``under`` only terms count whose first ``above`` bytes are among its prefixes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                terms = batch.column("terms")[i].values
-                sizes, codes = _ints(batch, "sizes", i), _ints(batch, "codes", i)
-                alive = np.ones(len(terms), bool)
-                if "lows" in batch.schema.names:
-                    edges = np.zeros(len(terms) + 1, np.int64)
-                    np.add.at(edges, _ints(batch, "lows", i), 1)
-                    np.add.at(edges, _ints(batch, "highs", i), -1)
-                    alive = np.cumsum(edges)[:-1] > 0
-                at = np.flatnonzero(alive)
+                lang = batch.column("lang")[i].as_py()
+                ended = [term + END for term in batch.column("terms")[i].values.to_pylist()]
+                at = np.arange(len(ended))
+                if under is not None:
+                    listed = under.value.get(lang, frozenset())
+                    at = np.flatnonzero([term[:above] in listed for term in ended])
                 if not len(at):
                     continue
-                prefixes = [(term + END)[:length] for term in terms.take(pa.array(at)).to_pylist()]
+                sizes, codes = _ints(batch, "sizes", i), _ints(batch, "codes", i)
+                prefixes = [ended[k][:length] for k in at.tolist()]
                 new = np.array([True, *(a != b for a, b in zip(prefixes, prefixes[1:]))])
                 first = np.flatnonzero(new)
-                group = np.full(len(terms), -1)
+                group = np.full(len(ended), -1)
                 group[at] = np.cumsum(new) - 1
                 # Numbers rise within a document, so equal groups in it are neighbours.
                 found = group[codes]
@@ -136,70 +138,66 @@ def prefix_counts(segments: DataFrame, length: int) -> DataFrame:
                 found = found[found >= 0]
                 apart = np.r_[True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]
                 docs = np.bincount(found[apart], minlength=len(first))
-                last = np.r_[first[1:], len(at)] - 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(first), batch.column("segment")[i].as_py()), pa.int64()),
-                    pa.array([batch.column("lang")[i].as_py()] * len(first), pa.string()),
-                    pa.array([prefixes[k] for k in first], pa.binary()), pa.array(at[first], pa.int32()),
-                    pa.array(at[last] + 1, pa.int32()), pa.array(docs, pa.int64()),
-                ], ["segment", "lang", "prefix", "low", "high", "docs"])
-
-    ranges = [c for c in ("lows", "highs") if c in segments.columns]
-    return segments.select("segment", "lang", "terms", "sizes", "codes", *ranges).mapInArrow(count, PREFIXES)
-
+                    pa.array([lang] * len(first), pa.string()), pa.array([prefixes[k] for k in first.tolist()], pa.binary()),
+                    pa.array(docs, pa.int64()),
+                ], ["lang", "prefix", "docs"])
 
-def _ranges(kept: DataFrame) -> DataFrame:
-    """Kept ranges of each language of a segment, which are no more than its terms."""
-    return kept.groupBy("segment", "lang").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    return segments.select("lang", "terms", "sizes", "codes").mapInArrow(count, PREFIXES)
 
 
 def kept_terms(segments: DataFrame, least_docs: int, first_length: int = FIRST_LENGTH) -> DataFrame:
-    """(segment, lang, prefix, low): the complete terms in at least ``least_docs`` documents of their
-    language, once for each segment that has them; ``prefix`` ends with END.
+    """(lang, prefix): the complete terms in at least ``least_docs`` documents of their language, with END.
 
     Prefix lengths double from ``first_length`` on, so their number grows with the logarithm of
-    the longest term. Prefixes are joined with their sums over all segments, and what is kept goes back to
-    the segments as ranges: no list of terms or prefixes is held by one task or the driver.
+    the longest term. A document is in one segment, so the documents of a prefix are added up over segments. The prefixes
+    kept go to all tasks if they are few (see LISTED_BYTES), and otherwise are joined with the longer ones.
     """
-    complete, length, alive = None, first_length, segments
+    complete, length, going, above = None, first_length, None, 0
     while True:
-        level = settle(prefix_counts(alive, length))
+        listed = None if going is None else _listed(going)
+        level = prefix_counts(segments, length, listed, above)
+        if going is not None and listed is None:
+            shorter = going.select("lang", F.col("prefix").alias("shorter"))
+            level = level.withColumn("shorter", F.substring("prefix", 1, above)).join(shorter, ["lang", "shorter"], "left_semi")
         sums = level.groupBy("lang", "prefix").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs)
-        kept = settle(level.join(sums.select("lang", "prefix"), ["lang", "prefix"]).withColumn(
-            "complete", F.expr("right(hex(prefix), 2) = '00'")
-        ))
-        whole = kept.filter("complete").select("segment", "lang", "prefix", "low")
+        kept = settle(sums.select("lang", "prefix", F.expr("right(hex(prefix), 2) = '00'").alias("complete")))
+        whole = kept.filter("complete").select("lang", "prefix")
         complete = whole if complete is None else complete.unionByName(whole)
-        going = kept.filter("NOT complete")
+        going = kept.filter("NOT complete").select("lang", "prefix")
         if going.isEmpty():
             return complete
-        alive = segments.join(_ranges(going), ["segment", "lang"])
-        length *= 2
+        above, length = length, length * 2
 
 
 def source_counts(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang, source, term, n): occurrences of the kept terms of :func:`kept_terms`, where there are any."""
+    listed = _listed(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
+                lang = batch.column("lang")[i].as_py()
                 held, sources = batch.column("terms")[i].values, batch.column("sources")[i].values
-                kept = np.zeros(len(held), bool)
-                kept[_ints(batch, "lows", i)] = True
                 codes, counts = _ints(batch, "codes", i), _ints(batch, "counts", i)
                 source = np.repeat(_ints(batch, "source_of", i), _ints(batch, "sizes", i)).astype(np.int64)
-                wanted = kept[codes]
-                cell, at = np.unique(source[wanted] * len(held) + codes[wanted], return_inverse=True)
-                n = np.zeros(len(cell), np.int64)
-                np.add.at(n, at, counts[wanted])
+                if listed is not None:
+                    wanted = listed.value.get(lang, frozenset())
+                    kept = np.array([term + END in wanted for term in held.to_pylist()], bool)
+                    at = kept[codes] if len(kept) else np.zeros(0, bool)
+                    codes, counts, source = codes[at], counts[at], source[at]
+                cell, at = np.unique(source * max(len(held), 1) + codes, return_inverse=True)
+                n = np.bincount(at, counts, len(cell)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([batch.column("lang")[i].as_py()] * len(cell), pa.string()),
-                    sources.take(pa.array(cell // len(held))), held.take(pa.array(cell % len(held))).cast(pa.string()), pa.array(n),
+                    pa.array([lang] * len(cell), pa.string()), sources.take(pa.array(cell // max(len(held), 1))),
+                    held.take(pa.array(cell % max(len(held), 1))).cast(pa.string()), pa.array(n),
                 ], ["lang", "source", "term", "n"])
 
-    ranges = _ranges(terms.withColumn("high", F.col("low") + 1)).drop("highs")
-    columns = ["lang", "terms", "sizes", "codes", "counts", "sources", "source_of", "lows"]
-    cells = segments.join(ranges, ["segment", "lang"]).select(columns).mapInArrow(count, "lang string, source string, term string, n long")
+    columns = ["lang", "terms", "sizes", "codes", "counts", "sources", "source_of"]
+    cells = segments.select(columns).mapInArrow(count, "lang string, source string, term string, n long")
+    if listed is None:
+        whole = F.expr("substring(prefix, 1, length(prefix) - 1)").cast("string").alias("term")
+        cells = cells.join(terms.select("lang", whole), ["lang", "term"], "left_semi")
     return settle(cells.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
 
 
@@ -286,7 +284,7 @@ def audit(
     segments = build_segments(df, lang, source, text, segment_bytes)
     terms = settle(kept_terms(segments, least_docs, first_length))
     counts = source_counts(segments, terms)
-    kinds = terms.select("lang", "prefix").distinct().groupBy("lang").agg(F.count("*").alias("kinds"))
+    kinds = terms.groupBy("lang").agg(F.count("*").alias("kinds"))
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = segments.select("lang", F.explode("sources").alias("source")).distinct()
     zero = F.lit(0).cast("long")

@@ -13,22 +13,23 @@ term on, and what is left is where the window stands.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from lexsieve.llm.coding import coded_words
 from lexsieve.llm.common import code_points, named, packed, unpacked
 from lexsieve.operators.terms import join_given_terms
 from lexsieve.sources.shared import settle
 
 OUTPUTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A word, once A-Z are small letters: digits, a-z and all beyond ASCII.
+# A word, once A-Z are small letters: digits, a-z and all beyond ASCII; and the same for bytes.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SEGMENT_BYTES = 8 << 20
@@ -42,11 +43,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(code_points(text), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """As :func:`words`, for UTF-8 bytes: all bytes beyond ASCII belong to words."""
-    return text.translate(WORD_BYTES).split()
-
-
 def build_index(df: DataFrame, text: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The index of all texts, written to the shared folder.
 
@@ -58,18 +54,16 @@ def build_index(df: DataFrame, text: str = "text", segment_bytes: int = SEGMENT_
     rows = packed(df, [text, *OUTPUTS], text=code_points(named(text)))
     schema = StructType([*StructType.fromDDL(POSTINGS), StructField("rows", ArrayType(rows.schema["row"].dataType))])
 
-    def segment(number: int, found: list[list[bytes]], of: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(w) for w in found], np.int64)
+    def segment(number: int, texts: list[pa.Array], of: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        doc, codes, terms = coded_words(pa.concat_arrays(texts), WORD_BYTES)
+        sizes = np.bincount(doc, minlength=sum(map(len, texts)))
         starts = np.cumsum(sizes + 1) - sizes - 1
-        flat = list(chain.from_iterable(found))
-        terms = sorted(set(flat))
-        code = dict(zip(terms, range(len(terms)), strict=True))
-        codes = np.fromiter(map(code.__getitem__, flat), np.int32, len(flat))
-        place = np.arange(len(flat)) + np.repeat(np.arange(len(found)), sizes)
-        counts = np.bincount(codes, minlength=len(terms))
+        n = len(terms)
+        counts = np.bincount(codes, minlength=n)
         ends = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+        # A document's words stand after one empty place for each document before it.
+        place = np.arange(len(doc)) + doc
         positions = pa.array(place[np.argsort(codes, kind="stable")].astype(np.int32))
-        n = len(terms)
 
         def one(kind, value=None):
             return pa.nulls(1, kind) if value is None else pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value)
@@ -82,27 +76,30 @@ def build_index(df: DataFrame, text: str = "text", segment_bytes: int = SEGMENT_
         ], schema.names)
         if n:
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, number), pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()),
+                pa.array(np.full(n, number), pa.int64()), terms.cast(pa.string()),
                 pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(ends, positions),
                 pa.nulls(n, lists), pa.nulls(n, lists), pa.nulls(n, pa.list_(documents.type)),
             ], schema.names)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        found, of, size = [], [], 0
+        held, of, size = [], [], 0
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
+            texts = batch.column("text")
+            sizes = pc.binary_length(texts.cast(pa.binary())).to_numpy()
             first = 0
-            for i, text_ in enumerate(texts):
-                found.append(split_words(text_.as_py()))
-                size += len(text_.as_buffer())
+            while first < len(texts):
+                # Texts up to the one that fills the segment.
+                last = min(first + int(np.searchsorted(np.cumsum(sizes[first:]), segment_bytes - size)) + 1, len(texts))
+                held.append(texts.slice(first, last - first))
+                of.append(batch.column("row").slice(first, last - first))
+                size += int(sizes[first:last].sum())
+                first = last
                 if size >= segment_bytes:
-                    yield from segment(number, found, [*of, batch.column("row").slice(first, i + 1 - first)])
-                    number, found, of, size, first = number + 1, [], [], 0, i + 1
-            if first < batch.num_rows:
-                of.append(batch.column("row").slice(first))
-        if found:
-            yield from segment(number, found, of)
+                    yield from segment(number, held, of)
+                    number, held, of, size = number + 1, [], [], 0
+        if held:
+            yield from segment(number, held, of)
 
     return settle(rows.mapInArrow(build, schema))
 

@@ -72,8 +72,9 @@ def corpus(seed, n=240):
     return rows + [rows[3]] * 20
 
 
-@pytest.mark.parametrize("options", [{}, {"segment_bytes": 300, "first_length": 1}])
-def test_audit_against_brute_force(spark, options, monkeypatch):
+@pytest.mark.parametrize(("options", "listed"), [({}, 8 << 20), ({"segment_bytes": 300, "first_length": 1}, 8 << 20), ({"segment_bytes": 900}, -1)])
+def test_audit_against_brute_force(spark, options, listed, monkeypatch):
+    monkeypatch.setattr(divergence, "LISTED_BYTES", listed)
     monkeypatch.setattr(divergence, "PAIR_TERMS", 7)
     monkeypatch.setattr(divergence, "PAIR_SOURCES", 2)
     rows = corpus(3)
