@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lexsieve.llm.coding import coded_words
 from lexsieve.llm.common import code_points, named, packed, unpacked
-from lexsieve.operators.terms import join_given_terms
+from lexsieve.operators.terms import join_given_terms, maybe_listed
 from lexsieve.sources.shared import settle
 
 OUTPUTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
@@ -175,6 +175,11 @@ def near_spans(lists: list[np.ndarray], most: int, starts: np.ndarray) -> list[t
     return sorted(set(spans))
 
 
+def _place() -> Column:
+    """A term in a segment, as one value."""
+    return F.concat_ws(" ", F.col("segment").cast("string"), "term")
+
+
 def search(index: DataFrame, postings: DataFrame, ranked: DataFrame, slop: int | None = None) -> DataFrame:
     """Documents in which windows occur: (segment, doc, n_hit, spans, windows).
 
@@ -189,8 +194,9 @@ def search(index: DataFrame, postings: DataFrame, ranked: DataFrame, slop: int |
         other = F.coalesce(F.get("terms", F.lit(i))["term"], F.col("terms")[0]["term"])
         alive = alive.withColumn("term", other).join(held, ["segment", "term"], "left_semi").drop("term")
     alive = settle(alive)
-    needed = alive.select("segment", F.explode("terms.term").alias("term")).distinct()
-    postings = postings.select("segment", "term", "positions").join(needed, ["segment", "term"], "left_semi")
+    # A Bloom filter of what is wanted where goes to the postings, so that these are shuffled once.
+    needed = settle(alive.select("segment", F.explode("terms.term").alias("term")).select(_place().alias("place")).distinct())
+    postings = maybe_listed(postings.select("segment", "term", "positions", _place().alias("place")), needed, "place").drop("place")
     headers = index.filter("term is null").select("segment", "term", F.col("starts").alias("positions"))
     headers = headers.join(alive.select("segment").distinct(), "segment", "left_semi")
 
