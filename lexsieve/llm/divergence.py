@@ -28,10 +28,10 @@ from lexsieve.sources.shared import settle
 # A term is a run of letters and of anything beyond ASCII; A-Z become small letters.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 END = b"\x00"
-SEGMENT_BYTES = 32 << 20
+SEGMENT_BYTES = 8 << 20
 # Kept prefixes of up to so many bytes are sent to all tasks, which then pass over the others; more are joined.
 LISTED_BYTES = 8 << 20
-FIRST_LENGTH = 2
+FIRST_LENGTH = 4
 PAIR_TERMS, PAIR_SOURCES = 2_048, 128
 SEGMENT = (
     "segment long, lang string, terms array<binary>, sizes array<int>, codes array<int>, counts array<int>, "
@@ -86,8 +86,10 @@ def build_segments(df: DataFrame, lang: str, source: str, text: str, segment_byt
                 if size >= segment_bytes:
                     yield from made()
                     number, size, held = number + 1, 0, []
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from made()
+        pa.default_memory_pool().release_unused()
 
     rows = df.select(told(lang).alias("lang"), told(source).alias("source"), told(text).alias("text"))
     return settle(rows.mapInArrow(build, SEGMENT))
@@ -186,8 +188,12 @@ def source_counts(segments: DataFrame, terms: DataFrame) -> DataFrame:
                     kept = np.array([term + END in wanted for term in held.to_pylist()], bool)
                     at = kept[codes] if len(kept) else np.zeros(0, bool)
                     codes, counts, source = codes[at], counts[at], source[at]
-                cell, at = np.unique(source * max(len(held), 1) + codes, return_inverse=True)
-                n = np.bincount(at, counts, len(cell)).astype(np.int64)
+                # Sorted cells, each with the sum of its run.
+                cells = source * max(len(held), 1) + codes
+                order = np.argsort(cells, kind="stable")
+                cells, counts = cells[order], counts[order].astype(np.int64)
+                starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]][: len(cells)])
+                cell, n = cells[starts], np.add.reduceat(counts, starts) if len(starts) else counts
                 yield pa.RecordBatch.from_arrays([
                     pa.array([lang] * len(cell), pa.string()), sources.take(pa.array(cell // max(len(held), 1))),
                     held.take(pa.array(cell % max(len(held), 1))).cast(pa.string()), pa.array(n),
