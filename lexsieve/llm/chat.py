@@ -8,13 +8,16 @@ Template of a turn: ``<turn ROLE>\nTEXT</turn>\n``. Inside roles and texts ``\``
 and ``>`` are written ``\b``, ``\l`` and ``\g``; so a mark of the template cannot occur in
 them, and reading back is exact.
 
-Two forms: :func:`format_parts` writes every turn once, and an example is a number of turns and a
-span of code points over them, so it grows with the turns, whatever the size of a conversation;
-:func:`format_chats` assembles each example as one value, which grows with the square.
+Two forms: :func:`format_chats` expands each example to one value, which grows with the square of a
+conversation; :func:`format_parts` writes every turn once, and an example is a number of turns and a
+span of code points over them, so it grows with the turns. :func:`by_size` tells which conversations
+can be expanded; only those that cannot are left as parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from lexsieve.sources.shared import settle
 
 ESCAPES = [("\\", "\\b"), ("<", "\\l"), (">", "\\g")]
 OPEN, HEAD_END, CLOSE = "<turn ", ">\n", "</turn>\n"
+# Code points that all examples of a conversation may have if each is to be one value.
+EXPANDED_CHARS = 1 << 26
 
 
 def escape(text: Column) -> Column:
@@ -95,6 +100,27 @@ def format_chats(
     )
 
 
+def by_size(
+    df: DataFrame, conv: str = "conv_id", role: str = "role", text: str = "text", target: str = "assistant",
+    most: int = EXPANDED_CHARS,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of conversations to expand, and those of conversations whose examples may have more than
+    ``most`` code points in all; None if there are none of these.
+
+    Each example is counted as the whole conversation, so no value that is built is longer than ``most``.
+    """
+    chars = F.length(escape(code_points(named(role)))) + F.length(escape(code_points(named(text))))
+    examples = F.count_if(code_points(named(role)) == target) + 1
+    sizes = df.groupBy(named(conv).alias("large_id")).agg(
+        (F.sum(chars.cast("long") + len(OPEN + HEAD_END + CLOSE)) * examples).alias("chars")
+    )
+    large = settle(sizes.filter(F.col("chars") > most).select("large_id"))
+    if large.isEmpty():
+        return df, None
+    same = named(conv).eqNullSafe(F.col("large_id"))
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
 def format_parts(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
     target: str = "assistant",
@@ -230,3 +256,23 @@ def read_chats(examples: DataFrame) -> DataFrame:
         "conv_id", read_turns(F.col("whole")).alias("turns"),
         F.transform("told", lambda t: t["text"]).alias("losses"), "formatted_chars",
     )
+
+
+def read_back(df: DataFrame, turn: Callable[[Column], Column], most: int = EXPANDED_CHARS) -> DataFrame:
+    """(conv_id, n_turns, formatted_chars, whole, losses) of conversations, formatted and read back.
+
+    ``turn`` makes the text to tell of a turn from its (role, text); ``whole`` and ``losses`` are
+    these and the trainable texts, put together in order. Prefixes are expanded to examples, of
+    conversations beyond ``most`` (see :func:`by_size`) told as spans.
+    """
+    small, large = by_size(df, most=most)
+    each = read_chats(format_chats(small)).withColumn("n_turns", F.size("turns").cast("long"))
+    told = each.select(
+        "conv_id", "n_turns", "formatted_chars", F.array_join(F.transform("turns", turn), "").alias("whole"),
+        F.array_join("losses", "").alias("losses"),
+    )
+    if large is None:
+        return told
+    parts = read_parts(format_parts(large))
+    one = turn(F.struct("role", "text"))
+    return told.unionByName(joined_in_order(parts, whole=one, losses=F.col("loss")))

@@ -90,8 +90,7 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id long, turn long, role string, text string",
     )
     talks = table(spark, folder, "conversations").select(*columns).unionByName(probe)
-    turn = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
-    read = chat.joined_in_order(chat.read_parts(chat.format_parts(talks)), whole=turn, losses=F.col("loss"))
+    read = chat.read_back(talks, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
         "conv_id", "n_turns", F.sha2("whole", 256).alias("turns_sha256"),
         F.length("losses").cast("long").alias("loss_chars"), F.sha2("losses", 256).alias("loss_sha256"),

@@ -303,6 +303,37 @@ def test_chat_of_one_long_conversation(spark):
     assert found[1]["losses"] == "a<" and found[1]["n_turns"] == 2
 
 
+def test_chat_expands_prefixes_where_they_fit(spark):
+    """Small conversations are examples of whole prefixes, large ones spans; both are read back alike."""
+    talks = {
+        1: [("user", "a<"), ("assistant", "b\\"), ("user", "c"), ("assistant", "d")],
+        2: [("user", "x" * 300), ("assistant", "y>")],
+        None: [("assistant", "z"), ("user", "")],
+    }
+    rows = [(c, i, r, t) for c, talk in talks.items() for i, (r, t) in enumerate(talk)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    small, large = chat.by_size(df, most=500)
+    assert {r.conv_id for r in large.collect()} == {2}
+    texts = [r.formatted for r in chat.format_chats(small.filter("conv_id = 1")).orderBy("example").collect()]
+    assert len(texts) == 2 and texts[1].startswith(texts[0]) and texts[0].endswith("b\\b</turn>\n")
+    found = {}
+    for most in (0, 500, chat.EXPANDED_CHARS):
+        read = chat.read_back(df, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")), most)
+        found[most] = sorted(map(str, read.select(*sorted(read.columns)).collect()))
+    assert found[0] == found[500] == found[chat.EXPANDED_CHARS]
+    read = {r.conv_id: r for r in read.collect()}
+    for c, talk in talks.items():
+        assert read[c].whole == "".join(f"{r}\n{t}\n" for r, t in talk) and read[c].n_turns == len(talk)
+        assert read[c].losses == "".join(t for r, t in talk if r == "assistant")
+
+
+def test_chat_query_expands_prefixes(spark):
+    from lexsieve.llm.queries import QUERIES
+
+    plan = QUERIES["op8_chat"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and "max_by" in plan
+
+
 # BPE
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
