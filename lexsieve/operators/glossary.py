@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexsieve.operators.terms import join_given_terms, patch_tokens, row_key, token_rows, tokens_of
+from lexsieve.operators.terms import dealt, join_given_terms, patch_tokens, row_key, token_rows, tokens_of
 
 
 def translate_terms(
@@ -25,5 +25,5 @@ def translate_terms(
         .agg(F.min("target").alias("word"))
         .filter("word is not null")
     )
-    hits = join_given_terms(token_rows(df, key, tokens), table).select(key, "pos", "word")
+    hits = join_given_terms(token_rows(dealt(df, key), key, tokens), table).select(key, "pos", "word")
     return patch_tokens(df, key, tokens, hits, out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexsieve.functions.tokens import keep_longer
-from lexsieve.operators.terms import join_given_terms, patch_tokens, row_key, token_rows, tokens_of
+from lexsieve.operators.terms import dealt, join_given_terms, patch_tokens, row_key, token_rows, tokens_of
 
 # Noun endings and what they stand for in the base form.
 NOUN_ENDINGS = [
@@ -60,7 +60,7 @@ def lemma_hits(
 ) -> DataFrame:
     """The tokens that change: (key, pos, word)."""
     forms = inflected_forms(lemmas, exceptions)
-    return join_given_terms(token_rows(df, key, tokens), forms).select(key, "pos", "word")
+    return join_given_terms(token_rows(dealt(df, key), key, tokens), forms).select(key, "pos", "word")
 
 
 def lemmatize_tokens(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexsieve.functions.tokens import tokenize
-from lexsieve.operators.terms import fits_broadcast, join_given_terms, patch_tokens, row_key, tokens_of
+from lexsieve.operators.terms import dealt, fits_broadcast, join_given_terms, made_once, patch_tokens, row_key, tokens_of
 from lexsieve.sources.shared import settle
 
 CHOSEN = "array<struct<pos:int,size:int,word:string>>"
@@ -37,7 +37,9 @@ def phrase_hits(df: DataFrame, key: str, tokens: Column, nodes: DataFrame) -> Da
     nodes = settle(nodes)
     depth = nodes.agg(F.max("size")).first()[0] or 0
     small = fits_broadcast(nodes.select("term", "word", "open"))
-    starts = df.select(key, tokens.alias("_tokens")).select(key, "_tokens", F.posexplode("_tokens").alias("pos", "term"))
+    starts = df.select(key, tokens.alias("_tokens")).select(
+        key, "_tokens", F.posexplode(made_once(F.col("_tokens"))).alias("pos", "term")
+    )
     if not small:  # rows will be written, and the whole array must not be with each
         ahead = F.slice("_tokens", F.col("pos") + 2, F.lit(max(depth - 1, 0)))
         starts = starts.withColumn("_ahead", ahead).drop("_tokens")
@@ -101,7 +103,7 @@ def translate_phrases(
     """
     df, key = row_key(df, key)
     tokens = tokens_of(df, col)
-    hits = leftmost(phrase_hits(df, key, tokens, trie(glossary, lang)), key)
+    hits = leftmost(phrase_hits(dealt(df, key), key, tokens, trie(glossary, lang)), key)
     changes = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct(
         (F.col("pos") + i).alias("pos"), F.when(i == 0, F.col("word")).alias("word")
     ))

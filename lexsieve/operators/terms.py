@@ -14,6 +14,8 @@ tokens out of the shuffle, and of those left the frequent ones are counted and b
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
@@ -28,6 +30,11 @@ HOT_SHARE = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 # 64-bit words of a Bloom filter at most: 16 MB with their numbers.
 BLOOM_WORDS = 1 << 20
+# Bytes of the most frequent terms that are broadcast, beyond those that HOT_SHARE asks for.
+HOT_BYTES = 32 * 1024 * 1024
+# Bytes of a table, by Spark's estimate, in a partition dealt out by key, and how many of these there may be.
+PART_BYTES = 4 * 1024 * 1024
+MOST_PARTS = 1 << 15
 ROW = "_row"
 
 
@@ -56,14 +63,36 @@ def row_key(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
     return settle(df.withColumn(ROW, F.monotonically_increasing_id())), ROW
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The table dealt out by its key, in partitions whose tokens can be sorted without spilling.
+
+    Tokens looked up in a broadcast table stay where their row is. So they are gathered, and put into
+    the row again, without a shuffle: the text's own is the only one.
+    """
+    spark = df.sparkSession
+    # Joins ask for this on one side: asked for here, both sides can read the same shuffle.
+    df = df.filter(F.col(key).isNotNull())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if estimate >= 1 << 47:  # Spark does not know
+        return df.repartition(least, key)
+    return df.repartition(max(least, min(-(-estimate // PART_BYTES), MOST_PARTS)), key)
+
+
+def made_once(tokens: Column) -> Column:
+    """Tokens to explode. Of a plain column Spark also filters the sizes, below any shuffle, for which the
+    tokens would be made a second time; an expression has no such filter."""
+    return F.coalesce(tokens, F.array().cast("array<string>"))
+
+
 def token_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """One row per token: (key, pos, term)."""
-    return df.select(key, F.posexplode(tokens).alias("pos", "term"))
+    return df.select(key, F.posexplode(made_once(tokens)).alias("pos", "term"))
 
 
 def term_counts(df: DataFrame, tokens: Column) -> DataFrame:
     """Occurrences of each term in the corpus: (term, n)."""
-    return df.select(F.explode(tokens).alias("term")).groupBy("term").agg(
+    return df.select(F.explode(made_once(tokens)).alias("term")).groupBy("term").agg(
         F.count("*").alias("n")
     )
 
@@ -139,6 +168,70 @@ def join_counted_terms(
     return rows.join(F.broadcast(hot_wanted), "term").unionByName(joined)
 
 
+def _least_frequent(table: DataFrame, total: int) -> int:
+    """The number ``n`` from which a term is broadcast: all terms with 1/HOT_SHARE of the rows are, and
+    of the others the most frequent, as long as these take at most HOT_BYTES.
+
+    Sizes are added up by powers of two of ``n``, of which there are at most 64.
+    """
+    size = F.octet_length("term") + 16 * (len(table.columns) + 1)
+    for field in table.schema.fields:
+        if field.name != "term" and isinstance(field.dataType, StringType):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, ArrayType):
+            size = size + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
+    power = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    levels = table.groupBy(power.alias("power")).agg(F.sum(size).alias("bytes")).collect()
+    least, taken = -(-total // HOT_SHARE), 0
+    for power, held in sorted(((r["power"], r["bytes"]) for r in levels), reverse=True):
+        taken += held
+        if taken > HOT_BYTES:
+            break
+        least = min(least, 1 << power)
+    return max(least, 1)
+
+
+def counted_hits(
+    df: DataFrame, key: str, rows_of: Callable[[DataFrame], DataFrame], table: DataFrame, wanted: Column | None = None,
+    in_place: bool = True,
+) -> list[DataFrame]:
+    """As :func:`join_counted_terms` of ``rows_of(df)``, in one or two tables: of the frequent terms, joined in
+    place in the rows :func:`dealt` out (unless ``in_place`` is False), and of the others, which are shuffled.
+
+    As many terms are frequent as may be broadcast, so that few rows are shuffled; none is if all terms fit.
+    """
+    total = table.agg(F.sum("n").alias("total")).first()["total"] or 0
+    least = _least_frequent(table, total)
+    wanted = F.lit(True) if wanted is None else wanted
+    hot, cold = table.filter(F.col("n") >= least), table.filter((F.col("n") < least) & wanted)
+    found = [rows_of(dealt(df, key) if in_place else df).join(F.broadcast(hot.filter(wanted)), "term")]
+    if cold.isEmpty():
+        return found
+    others = rows_of(df).join(F.broadcast(hot.select("term")), "term", "left_anti")
+    return [*found, others.join(cold, "term")]
+
+
+def gathered(df: DataFrame, key: str, hits: Sequence[DataFrame], *fields: str) -> DataFrame:
+    """``df``, dealt out by ``key``, with ``_changes``: the (pos, ...) of its hits in all the tables, sorted
+    by pos; null if there are none."""
+    joined = dealt(df, key)
+    listed = []
+    for i, found in enumerate(hits):
+        changes = found.groupBy(F.col(key).alias(f"_key_{i}")).agg(
+            F.sort_array(F.collect_list(F.struct("pos", *fields))).alias(f"_changes_{i}")
+        )
+        joined = joined.join(changes, F.col(key) == F.col(f"_key_{i}"), "left")
+        listed.append(F.col(f"_changes_{i}"))
+    if len(listed) == 1:
+        value = listed[0]
+    else:
+        one, two = listed
+        both = F.sort_array(F.concat(one, two))
+        value = F.when(one.isNull(), two).when(two.isNull(), one).otherwise(both)
+    names = [f"_{x}_{i}" for x in ("key", "changes") for i in range(len(hits))]
+    return joined.withColumn("_changes", value).drop(*names)
+
+
 def fits_broadcast(table: DataFrame) -> bool:
     """Whether the rows of a table take at most BROADCAST_BYTES."""
     size = F.lit(16 * (len(table.columns) + 1))
@@ -208,18 +301,14 @@ def join_given_terms(
 
 
 def patch_tokens(
-    df: DataFrame, key: str, tokens: Column, hits: DataFrame, out: str
+    df: DataFrame, key: str, tokens: Column, hits: DataFrame | Sequence[DataFrame], out: str
 ) -> DataFrame:
     """Add ``out``: the tokens with ``hits`` (key, pos, word) put in.
 
     ``key`` tells the rows of ``df`` apart and is never null. A document's hits are never more than its
     tokens; tokens are made after the join, so only the text itself is shuffled.
     """
-    changes = hits.groupBy(F.col(key).alias("_key")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_changes")
-    )
-    joined = df.join(changes, F.col(key) == F.col("_key"), "left").withColumn(
-        "_tokens", tokens
-    )
+    hits = [hits] if isinstance(hits, DataFrame) else hits
+    joined = gathered(df, key, hits, "word").withColumn("_tokens", tokens)
     patched = apply_changes(F.col("_tokens"), F.col("_changes"))
-    return joined.withColumn(out, patched).drop("_key", "_changes", "_tokens", ROW)
+    return joined.withColumn(out, patched).drop("_changes", "_tokens", ROW)
