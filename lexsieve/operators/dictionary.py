@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lexsieve.functions.stem import stem_tokens
 from lexsieve.operators.terms import (
     HOT_SHARE,
-    join_counted_terms,
+    counted_hits,
+    dealt,
+    gathered,
     numbered,
     patch_tokens,
     row_key,
@@ -38,8 +40,8 @@ def encode_tokens(df: DataFrame, key: str | None, col: str, dictionary: DataFram
     df, key = row_key(df, key)
     tokens = tokens_of(df, col)
     table = dictionary.select("term", "n", F.col("id").alias("word"))
-    hits = join_counted_terms(token_rows(df, key, tokens), table).select(key, "pos", "word")
-    return _gathered(df, key, tokens.isNotNull(), hits, "bigint", out)
+    hits = counted_hits(df, key, lambda rows: token_rows(rows, key, tokens), table)
+    return _listed(df, key, F.col(col).isNotNull(), hits, "bigint", out)
 
 
 def decode_tokens(df: DataFrame, key: str | None, col: str, dictionary: DataFrame, out: str = "tokens") -> DataFrame:
@@ -49,20 +51,18 @@ def decode_tokens(df: DataFrame, key: str | None, col: str, dictionary: DataFram
     other is frequent enough to fill a task.
     """
     df, key = row_key(df, key)
-    rows = df.select(key, F.posexplode(col).alias("pos", "number"))
+    rows = dealt(df, key).select(key, F.posexplode(col).alias("pos", "number"))
     table = dictionary.select(F.col("id").alias("number"), F.col("term").alias("word"))
     few, many = F.col("number") < HOT_SHARE, F.col("number") >= HOT_SHARE
     hot = rows.filter(few).join(F.broadcast(table.filter(few)), "number")
-    hits = hot.unionByName(rows.filter(many).join(table, "number")).select(key, "pos", "word")
-    return _gathered(df, key, F.col(col).isNotNull(), hits, "string", out)
+    hits = [hot, rows.filter(many).join(table, "number")]
+    return _listed(df, key, F.col(col).isNotNull(), hits, "string", out)
 
 
-def _gathered(df: DataFrame, key: str, present, hits: DataFrame, kind: str, out: str) -> DataFrame:
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda h: h["word"])
-    found = hits.groupBy(F.col(key).alias("_key")).agg(listed.alias("_found"))
-    joined = df.withColumn("_present", present).join(found, F.col(key) == F.col("_key"), "left")
-    value = F.when(F.col("_present"), F.coalesce("_found", F.array().cast(f"array<{kind}>")))
-    return joined.withColumn(out, value).drop("_key", "_found", "_present", "_row")
+def _listed(df: DataFrame, key: str, present, hits: list[DataFrame], kind: str, out: str) -> DataFrame:
+    joined = gathered(df.withColumn("_present", present), key, hits, "word")
+    value = F.when(F.col("_present"), F.coalesce("_changes.word", F.array().cast(f"array<{kind}>")))
+    return joined.withColumn(out, value).drop("_changes", "_present", "_row")
 
 
 def stems_of(counts: DataFrame, extended: bool = True) -> DataFrame:
@@ -84,5 +84,5 @@ def stem_terms(
     kept = F.when(F.length("stem") >= min_len, F.col("stem"))
     table = settle(stems_of(counts, extended).select("term", "n", kept.alias("word")))
     changed = ~F.col("word").eqNullSafe(F.col("term"))
-    hits = join_counted_terms(token_rows(df, key, tokens), table, changed).select(key, "pos", "word")
+    hits = counted_hits(df, key, lambda rows: token_rows(rows, key, tokens), table, changed)
     return patch_tokens(df, key, tokens, hits, out)
