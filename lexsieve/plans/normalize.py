@@ -12,7 +12,7 @@ from lexsieve.functions.text import strip_digits, strip_non_ascii, strip_punct
 from lexsieve.functions.tokens import apply_changes, remove_stop_words, tokenize
 from lexsieve.operators.dictionary import stems_of
 from lexsieve.operators.lemmas import inflected_forms
-from lexsieve.operators.terms import join_counted_terms, row_key, term_counts, token_rows
+from lexsieve.operators.terms import counted_hits, gathered, row_key, term_counts, token_rows
 from lexsieve.sources.shared import settle
 
 STAGES = ("no_punct", "ascii", "no_digits", "tokens", "no_stop", "stems", "lemmas")
@@ -64,11 +64,8 @@ def normalize(
     made = words_of(rows)
     tokens = F.col("no_stop")
     table = _bases(settle(term_counts(made, tokens)), lemmas, min_len)
-    hits = join_counted_terms(token_rows(made, number, tokens), table, F.col("changed"))
-    changes = hits.groupBy(F.col(number).alias("_key")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "stem", "lemma"))).alias("_changes")
-    )
-    patched = words_of(rows.join(changes, F.col(number) == F.col("_key"), "left"))
+    hits = counted_hits(rows, number, lambda r: token_rows(words_of(r), number, tokens), table, F.col("changed"))
+    patched = words_of(gathered(rows, number, hits, "stem", "lemma"))
     for out, base in (("stems", "stem"), ("lemmas", "lemma")):
         # Fields of an array of structs are arrays of the fields.
         own = F.arrays_zip(F.col("_changes.pos").alias("pos"), F.col(f"_changes.{base}").alias("word"))
