@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexsieve.functions.stopwords import ENGLISH_STOP_WORDS
 from lexsieve.functions.tokens import remove_stop_words
 from lexsieve.operators.terms import (
+    counted_hits,
     distinct_terms,
     join_counted_terms,
     numbered,
@@ -116,9 +117,8 @@ def remove_frequent(
     counts = settle(term_counts(df, tokens))
     top = top_counts(counts, k).select("term", F.lit(True).alias("drop"))
     table = settle(counts.join(top, "term", "left"))
-    hits = join_counted_terms(token_rows(df, key, tokens), table, F.col("drop").isNotNull()).select(
-        key, "pos", F.lit(None).cast("string").alias("word")
-    )
+    hits = counted_hits(df, key, lambda rows: token_rows(rows, key, tokens), table, F.col("drop").isNotNull())
+    hits = [h.withColumn("word", F.lit(None).cast("string")) for h in hits]
     return patch_tokens(df, key, tokens, hits, out)
 
 
@@ -142,9 +142,8 @@ def remove_rare(
         return thin_unlisted(df.withColumn("_tokens", tokens), "_tokens", out, words).drop("_tokens")
     df, key = row_key(df, key)
     counts = settle(term_counts(df, tokens))
-    hits = join_counted_terms(token_rows(df, key, tokens), counts, F.col("n") < min_count).select(
-        key, "pos", F.lit(None).cast("string").alias("word")
-    )
+    hits = counted_hits(df, key, lambda rows: token_rows(rows, key, tokens), counts, F.col("n") < min_count)
+    hits = [h.withColumn("word", F.lit(None).cast("string")) for h in hits]
     return patch_tokens(df, key, tokens, hits, out)
 
 
@@ -167,6 +166,7 @@ def thin_unlisted(
             F.transform(t, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull()
         )
 
+    # sort_array compares rows itself; array_sort would evaluate an expression for each comparison.
     # Positions of listed words, with one bound before and one after all tokens.
     stops = df.withColumn("_listed", positions(lambda w: w.isin(listed))).withColumn(
         "_bounds", F.concat(F.array(F.lit(-1)), F.col("_listed"), F.array(last + 1))
@@ -187,7 +187,7 @@ def thin_unlisted(
         )
 
     runs = F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), run)
-    sorted_runs = stops.withColumn("_unlisted", F.array_sort(F.flatten(runs)))
+    sorted_runs = stops.withColumn("_unlisted", F.sort_array(F.flatten(runs)))
     unlisted = F.col("_unlisted")
     starts = F.filter(
         F.transform(
@@ -206,7 +206,7 @@ def thin_unlisted(
             F.slice(unlisted, start + removed + 1, end - start - removed), lambda u: u["pos"]
         )
 
-    kept = F.array_sort(
+    kept = F.sort_array(
         F.concat(F.col("_listed"), F.flatten(F.transform(F.col("_starts"), survivors)))
     )
     return (
