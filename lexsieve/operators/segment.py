@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexsieve.operators.terms import (
+    counted_hits,
     fits_broadcast,
-    join_counted_terms,
     join_given_terms,
     patch_tokens,
     row_key,
@@ -104,7 +104,7 @@ def split_joined(
     unknown = counts.filter(F.col("term").rlike("\\p{L}")).select("term")
     unknown = unknown.join(F.broadcast(known) if small else known, "term", "left_anti")
     table = settle(counts.join(segmentations(unknown, vocab, max_length), "term", "left"))
-    hits = join_counted_terms(token_rows(df, key, tokens), table, F.col("word").isNotNull()).select(key, "pos", "word")
+    hits = counted_hits(df, key, lambda rows: token_rows(rows, key, tokens), table, F.col("word").isNotNull())
     # Tokens hold no spaces, so those in a result are between words put in.
     split = F.flatten(F.transform(out, lambda w: F.split(w, " ")))
     return patch_tokens(df, key, tokens, hits, out).withColumn(out, split)

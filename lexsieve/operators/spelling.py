@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexsieve.operators.terms import (
+    counted_hits,
     fits_broadcast,
-    join_counted_terms,
     join_given_terms,
+    made_once,
     patch_tokens,
     row_key,
     term_counts,
@@ -102,9 +105,7 @@ def spell_correct(
     tokens = tokens_of(df, col)
     counts = settle(term_counts(df, tokens))
     table = settle(counts.join(corrections(counts, vocab, max_distance), "term", "left"))
-    hits = join_counted_terms(
-        token_rows(df, key, tokens), table, F.col("word").isNotNull()
-    ).select(key, "pos", "word")
+    hits = counted_hits(df, key, lambda rows: token_rows(rows, key, tokens), table, F.col("word").isNotNull())
     return patch_tokens(df, key, tokens, hits, out)
 
 
@@ -140,11 +141,15 @@ def correct_in_context(
     tokens = tokens_of(df, col)
     counts = settle(term_counts(df, tokens))
     table = settle(counts.join(nearest_words(counts, vocab, max_distance), "term", "left"))
-    around = df.select(key, tokens.alias("_tokens")).select(key, "_tokens", F.posexplode("_tokens").alias("pos", "term"))
-    around = around.select(
-        key, "pos", "term", F.get("_tokens", F.col("pos") - 1).alias("before"), F.get("_tokens", F.col("pos") + 1).alias("after")
-    )
-    found = join_counted_terms(around, table, F.col("words").isNotNull())
+
+    def around(rows: DataFrame) -> DataFrame:
+        each = F.posexplode(made_once(F.col("_tokens"))).alias("pos", "term")
+        return rows.select(key, tokens.alias("_tokens")).select(key, "_tokens", each).select(
+            key, "pos", "term", F.get("_tokens", F.col("pos") - 1).alias("before"), F.get("_tokens", F.col("pos") + 1).alias("after")
+        )
+
+    # What is found is written, not put back in place, so the texts need not be dealt out for it.
+    found = reduce(DataFrame.unionByName, counted_hits(df, key, around, table, F.col("words").isNotNull(), in_place=False))
     options = settle(found.select(key, "pos", F.explode("words").alias("w"), "before", "after").select(
         key, "pos", "w.*", F.concat("before", F.lit(" "), "w.word").alias("left"), F.concat("w.word", F.lit(" "), "after").alias("right")
     ))
