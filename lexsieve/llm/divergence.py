@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
@@ -29,19 +30,22 @@ from lexsieve.sources.shared import settle
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 END = b"\x00"
 SEGMENT_BYTES = 8 << 20
-# Kept prefixes of up to so many bytes are sent to all tasks, which then pass over the others; more are joined.
+# Kept prefixes of up to so many bytes are sent to all tasks, which then pass over the others; of more a Bloom filter is.
 LISTED_BYTES = 8 << 20
+# 64-bit words of a Bloom filter at most: 16 MB.
+BLOOM_WORDS = 1 << 21
 FIRST_LENGTH = 4
 PAIR_TERMS, PAIR_SOURCES = 2_048, 128
-SEGMENT = (
-    "segment long, lang string, terms array<binary>, sizes array<int>, codes array<int>, counts array<int>, "
-    "sources array<string>, source_of array<int>"
-)
+BODY = ["terms", "sizes", "codes", "counts", "source_of"]
+SEGMENT = "segment long, lang string, sources array<string>, body binary"
 PREFIXES = "lang string, prefix binary, docs long"
+# A segment is a row group of its own and is read alone, however many a task has written to its file.
+ONE_ROW = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false", "compression": "uncompressed"}
 
 
 def _segment(number: int, lang: str, sources: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    """The documents of one language in a segment."""
+    """The documents of one language in a segment. Its arrays are compressed in one value, so that Spark
+    holds few bytes of it and takes none of them apart."""
     doc, code, terms = coded_words(texts, TERM_BYTES)
     cells, counts = np.unique(doc * max(len(terms), 1) + code, return_counts=True)
     sizes = np.bincount(cells // max(len(terms), 1), minlength=len(texts))
@@ -53,10 +57,23 @@ def _segment(number: int, lang: str, sources: pa.Array, texts: pa.Array) -> pa.R
     def ints(values: np.ndarray) -> pa.Array:
         return one(pa.array(values.astype(np.int32)))
 
+    arrays = pa.RecordBatch.from_arrays(
+        [one(terms.cast(pa.binary())), ints(sizes), ints(cells % max(len(terms), 1)), ints(counts), ints(source.indices.to_numpy())],
+        BODY,
+    )
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, arrays.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as stream:
+        stream.write_batch(arrays)
     return pa.RecordBatch.from_arrays([
-        pa.array([number], pa.int64()), pa.array([lang]), one(terms.cast(pa.binary())), ints(sizes),
-        ints(cells % max(len(terms), 1)), ints(counts), one(source.dictionary), ints(source.indices.to_numpy()),
-    ], ["segment", "lang", "terms", "sizes", "codes", "counts", "sources", "source_of"])
+        pa.array([number], pa.int64()), pa.array([lang]), one(source.dictionary), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+    ], ["segment", "lang", "sources", "body"])
+
+
+def _arrays(body: pa.BinaryScalar, *names: str) -> list[pa.Array]:
+    """Arrays of a segment; the others stay compressed."""
+    options = pa.ipc.IpcReadOptions(included_fields=sorted(BODY.index(n) for n in names), use_threads=False)
+    arrays = pa.ipc.open_stream(body.as_buffer(), options=options).read_next_batch()
+    return [arrays.column(n)[0].values for n in names]
 
 
 def build_segments(df: DataFrame, lang: str, source: str, text: str, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -92,45 +109,82 @@ def build_segments(df: DataFrame, lang: str, source: str, text: str, segment_byt
         pa.default_memory_pool().release_unused()
 
     rows = df.select(told(lang).alias("lang"), told(source).alias("source"), told(text).alias("text"))
-    return settle(rows.mapInArrow(build, SEGMENT))
+    return settle(rows.mapInArrow(build, SEGMENT), **ONE_ROW)
+
+
+def _ended(terms: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(terms, pa.scalar(END, pa.binary()), pa.scalar(b"", pa.binary()))
 
 
-def _ints(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
-    return batch.column(column)[i].values.to_numpy(zero_copy_only=False)
+def _bloom_place(lang: str, values: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a Bloom filter that each value sets bits in, and these three bits."""
+    own = pd.util.hash_array(np.array([lang], object), categorize=False)
+    found = own + pd.util.hash_array(values.to_numpy(zero_copy_only=False), categorize=False)
+    bits = [np.uint64(1) << (found >> np.uint64(shift) & np.uint64(63)) for shift in (24, 36, 48)]
+    return (found & np.uint64(words - 1)).astype(np.int64), bits[0] | bits[1] | bits[2]
 
 
-def _listed(kept: DataFrame) -> Broadcast | None:
-    """Prefixes by language for all tasks, if their bytes are few enough."""
+def _bloom_filter(kept: DataFrame) -> np.ndarray:
+    """The words of a Bloom filter of prefixes: 16 bits for one, up to BLOOM_WORDS words; beyond, it lets more through, never less."""
+    n, words = kept.count(), 64
+    while words * 4 < n and words < BLOOM_WORDS:
+        words *= 2
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang in pc.unique(batch.column("lang")).to_pylist():
+                own = batch.filter(pc.equal(batch.column("lang"), lang))
+                word, bits = _bloom_place(lang, own.column("prefix"), words)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    places = kept.select("lang", "prefix").mapInArrow(place, "word long, bits long")
+    told = places.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = np.zeros(words, np.uint64)
+    found[told.column("word").to_numpy()] = told.column("bits").to_numpy().view(np.uint64)
+    return found
+
+
+def _listed(kept: DataFrame) -> tuple[Broadcast, bool]:
+    """For all tasks, prefixes by language if their bytes are few enough, or a Bloom filter of them; whether
+    these are the prefixes themselves."""
     size = kept.agg(F.coalesce(F.sum(F.octet_length("prefix") + F.octet_length("lang") + 8), F.lit(0))).first()[0]
+    context = kept.sparkSession.sparkContext
     if size > LISTED_BYTES:
-        return None
-    found: dict[str, set[bytes]] = {}
+        return context.broadcast(_bloom_filter(kept)), False
+    found: dict[str, list[bytes]] = {}
     for lang, prefix in kept.select("lang", "prefix").collect():
-        found.setdefault(lang, set()).add(bytes(prefix))
-    return kept.sparkSession.sparkContext.broadcast(found)
+        found.setdefault(lang, []).append(bytes(prefix))
+    return context.broadcast({lang: pa.array(prefixes, pa.binary()) for lang, prefixes in found.items()}), True
+
+
+def _among(values: pa.Array, listed: dict[str, pa.Array] | np.ndarray, lang: str) -> np.ndarray:
+    """Which of the values are listed; by a Bloom filter, these and few others."""
+    if isinstance(listed, dict):
+        return pc.is_in(values, listed.get(lang, pa.array([], pa.binary()))).to_numpy(zero_copy_only=False)
+    word, bits = _bloom_place(lang, values, len(listed))
+    return listed[word] & bits == bits
 
 
 def prefix_counts(segments: DataFrame, length: int, under: Broadcast | None = None, above: int = 0) -> DataFrame:
     """(lang, prefix, docs): prefixes of ``length`` bytes of the terms with their ends, and how many documents
     of a segment have a term with each; a row for each segment.
 
-    With ``under`` only terms count whose first ``above`` bytes are among its prefixes.
+    With ``under`` only terms count whose first ``above`` bytes are among its prefixes, as :func:`_among` tells.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang = batch.column("lang")[i].as_py()
-                ended = [term + END for term in batch.column("terms")[i].values.to_pylist()]
+                lang, body = batch.column("lang")[i].as_py(), batch.column("body")[i]
+                ended = _ended(_arrays(body, "terms")[0])
                 at = np.arange(len(ended))
                 if under is not None:
-                    listed = under.value.get(lang, frozenset())
-                    at = np.flatnonzero([term[:above] in listed for term in ended])
+                    at = np.flatnonzero(_among(pc.binary_slice(ended, 0, above), under.value, lang))
                 if not len(at):
                     continue
-                sizes, codes = _ints(batch, "sizes", i), _ints(batch, "codes", i)
-                prefixes = [ended[k][:length] for k in at.tolist()]
-                new = np.array([True, *(a != b for a, b in zip(prefixes, prefixes[1:]))])
+                sizes, codes = (x.to_numpy() for x in _arrays(body, "sizes", "codes"))
+                prefixes = pc.binary_slice(ended.take(pa.array(at)), 0, length)
+                new = np.r_[True, pc.not_equal(prefixes[1:], prefixes[:-1]).to_numpy(zero_copy_only=False)]
                 first = np.flatnonzero(new)
                 group = np.full(len(ended), -1)
                 group[at] = np.cumsum(new) - 1
@@ -141,11 +195,10 @@ def prefix_counts(segments: DataFrame, length: int, under: Broadcast | None = No
                 apart = np.r_[True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]
                 docs = np.bincount(found[apart], minlength=len(first))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(first), pa.string()), pa.array([prefixes[k] for k in first.tolist()], pa.binary()),
-                    pa.array(docs, pa.int64()),
+                    pa.array([lang] * len(first), pa.string()), prefixes.take(pa.array(first)), pa.array(docs, pa.int64()),
                 ], ["lang", "prefix", "docs"])
 
-    return segments.select("lang", "terms", "sizes", "codes").mapInArrow(count, PREFIXES)
+    return segments.select("lang", "body").mapInArrow(count, PREFIXES)
 
 
 def kept_terms(segments: DataFrame, least_docs: int, first_length: int = FIRST_LENGTH) -> DataFrame:
@@ -153,16 +206,17 @@ def kept_terms(segments: DataFrame, least_docs: int, first_length: int = FIRST_L
 
     Prefix lengths double from ``first_length`` on, so their number grows with the logarithm of
     the longest term. A document is in one segment, so the documents of a prefix are added up over segments. The prefixes
-    kept go to all tasks if they are few (see LISTED_BYTES), and otherwise are joined with the longer ones.
+    kept go to all tasks if they are few (see LISTED_BYTES); otherwise a Bloom filter of them does, and what it lets
+    through in error goes by a join of the sums.
     """
     complete, length, going, above = None, first_length, None, 0
     while True:
-        listed = None if going is None else _listed(going)
+        listed, exact = (None, True) if going is None else _listed(going)
         level = prefix_counts(segments, length, listed, above)
-        if going is not None and listed is None:
-            shorter = going.select("lang", F.col("prefix").alias("shorter"))
-            level = level.withColumn("shorter", F.substring("prefix", 1, above)).join(shorter, ["lang", "shorter"], "left_semi")
         sums = level.groupBy("lang", "prefix").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs)
+        if not exact:
+            shorter = going.select("lang", F.col("prefix").alias("shorter"))
+            sums = sums.withColumn("shorter", F.substring("prefix", 1, above)).join(shorter, ["lang", "shorter"], "left_semi")
         kept = settle(sums.select("lang", "prefix", F.expr("right(hex(prefix), 2) = '00'").alias("complete")))
         whole = kept.filter("complete").select("lang", "prefix")
         complete = whole if complete is None else complete.unionByName(whole)
@@ -174,20 +228,17 @@ def kept_terms(segments: DataFrame, least_docs: int, first_length: int = FIRST_L
 
 def source_counts(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang, source, term, n): occurrences of the kept terms of :func:`kept_terms`, where there are any."""
-    listed = _listed(terms)
+    listed, exact = _listed(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang = batch.column("lang")[i].as_py()
-                held, sources = batch.column("terms")[i].values, batch.column("sources")[i].values
-                codes, counts = _ints(batch, "codes", i), _ints(batch, "counts", i)
-                source = np.repeat(_ints(batch, "source_of", i), _ints(batch, "sizes", i)).astype(np.int64)
-                if listed is not None:
-                    wanted = listed.value.get(lang, frozenset())
-                    kept = np.array([term + END in wanted for term in held.to_pylist()], bool)
-                    at = kept[codes] if len(kept) else np.zeros(0, bool)
-                    codes, counts, source = codes[at], counts[at], source[at]
+                lang, sources = batch.column("lang")[i].as_py(), batch.column("sources")[i].values
+                held, *others = _arrays(batch.column("body")[i], *BODY)
+                sizes, codes, counts, source_of = (x.to_numpy() for x in others)
+                source = np.repeat(source_of, sizes).astype(np.int64)
+                at = _among(_ended(held), listed.value, lang)[codes]
+                codes, counts, source = codes[at], counts[at], source[at]
                 # Sorted cells, each with the sum of its run.
                 cells = source * max(len(held), 1) + codes
                 order = np.argsort(cells, kind="stable")
@@ -199,12 +250,12 @@ def source_counts(segments: DataFrame, terms: DataFrame) -> DataFrame:
                     held.take(pa.array(cell % max(len(held), 1))).cast(pa.string()), pa.array(n),
                 ], ["lang", "source", "term", "n"])
 
-    columns = ["lang", "terms", "sizes", "codes", "counts", "sources", "source_of"]
-    cells = segments.select(columns).mapInArrow(count, "lang string, source string, term string, n long")
-    if listed is None:
+    cells = segments.select("lang", "sources", "body").mapInArrow(count, "lang string, source string, term string, n long")
+    sums = cells.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    if not exact:
         whole = F.expr("substring(prefix, 1, length(prefix) - 1)").cast("string").alias("term")
-        cells = cells.join(terms.select("lang", whole), ["lang", "term"], "left_semi")
-    return settle(cells.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+        sums = sums.join(terms.select("lang", whole), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
+    return settle(sums)
 
 
 def share(n: Column, total: Column, kinds: Column) -> Column:

@@ -33,13 +33,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **options: str) -> DataFrame:
     """Compute a table once, as files in the shared folder, and go on from those.
 
     What follows neither repeats the work nor loses it with an executor, and is
-    planned with the table's true size.
+    planned with the table's true size. ``options`` are those of the write.
     """
     spark = df.sparkSession
     path = new_path(spark, "settled")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

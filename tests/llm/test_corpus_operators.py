@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,29 @@ def test_audit_discards_prefixes_before_terms(spark):
     }
 
 
+def test_segments_are_read_one_at_a_time(spark):
+    """However many segments a task has written, a reader holds one."""
+    rows = [(i, f"alpha al{'bcd'[i % 3]}eta word{i}", "en" if i % 2 else "fr", "s") for i in range(60)]
+    df = spark.createDataFrame(rows, EMPTY).coalesce(1)
+    segments = divergence.build_segments(df, "lang", "source", "text", 200)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in segments.inputFiles()]
+    groups = [meta.row_group(i).num_rows for meta in files for i in range(meta.num_row_groups)]
+    assert len(files) == 1 and len(groups) > 10 and set(groups) == {1}
+
+
+def test_audit_passes_over_prefixes_even_if_many_are_kept(spark, monkeypatch):
+    """Beyond LISTED_BYTES a filter is sent, so that not all prefixes of the corpus are shuffled."""
+    monkeypatch.setattr(divergence, "LISTED_BYTES", -1)
+    rows = [(i, f"alpha {chr(98 + i % 20) * 4}{i}x {chr(98 + i // 20 % 20) * 3}q", "en", "s") for i in range(400)]
+    rows += [(i, f"zz{i}", "fr", "s") for i in range(400)]
+    segments = divergence.build_segments(spark.createDataFrame(rows, EMPTY).repartition(2), "lang", "source", "text")
+    kept = spark.createDataFrame([("en", bytearray(b"alph"))], "lang string, prefix binary")
+    listed, exact = divergence._listed(kept)
+    found = divergence.prefix_counts(segments, 8, listed, 4)
+    assert not exact and found.count() < 40
+    assert found.filter("prefix = X'616C70686100'").agg(F.sum("docs")).first()[0] == 400
+
+
 def test_audit_of_odd_and_empty_tables(spark, odd):
     rows = [(r[0], r[1], r[2], r[3]) for r in ODD_ROWS]
     for least in (1, 2, 30):
