@@ -51,13 +51,16 @@ def staged(df: DataFrame, key: str, delim: str = " ") -> DataFrame:
     return flat.select(key, F.explode(F.array(*values)).alias("s")).select(key, "s.*")
 
 
-def fan_out(df: DataFrame, key: str, path: str, delim: str = " ", fmt: str = "parquet") -> dict[str, str]:
+def fan_out(
+    df: DataFrame, key: str, path: str, delim: str = " ", fmt: str = "parquet", **options
+) -> dict[str, str]:
     """Write each column beside the key to a folder of its own, all in one pass; the folder of each.
 
     The table is evaluated once however many targets there are. Each folder has the columns
-    ``key`` and ``value`` and can be loaded into a sink of its own.
+    ``key`` and ``value`` and can be loaded into a sink of its own. ``options`` are the writer's, such
+    as ``compression``.
     """
-    staged(df, key, delim).write.format(fmt).partitionBy("stage").save(path)
+    staged(df, key, delim).write.format(fmt).options(**options).partitionBy("stage").save(path)
     return {name: f"{path}/stage={name}" for name in df.columns if name != key}
 
 

@@ -1,5 +1,7 @@
 import json
+import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from lexsieve import functions as fn
 from lexsieve import sources as io
 from lexsieve.operators import hashed_tfidf, kept_summaries, merged_summaries, summary_measures
+from lexsieve.plans.catalog import QUERIES
 from lexsieve.streaming import append_stream
 
 ROWS = [(1, "A b", ["x", "y"]), (2, None, []), (3, "", None)]
@@ -161,6 +164,18 @@ def test_fan_out_is_one_pass(spark, df, tmp_path):
     }
 
 
+def test_fanned_out_texts_are_compressed_well(spark, tmp_path):
+    """The stages of a text are seven copies of it, so their files decide how much disk the query takes."""
+    random.seed(1)
+    words = ["".join(random.choices("abcdefgh", k=7)) for _ in range(500)]
+    rows = [(i, " ".join(random.choices(words, k=300))) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    files = QUERIES["normalize_sinks"](spark, str(tmp_path)).inputFiles()
+    metas = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in files]
+    chunks = [m.row_group(i).column(1) for m in metas for i in range(m.num_row_groups)]
+    assert len(chunks) >= 7 and {c.compression for c in chunks} == {"ZSTD"}
+
+
 def test_observed_write_is_one_job(spark, df, tmp_path):
     group = "observed"
     spark.sparkContext.setJobGroup(group, "")
